@@ -10,24 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe as bpe_op
 from . import token_counts
+from .relative_lz import relative_lz
+from .suffix_dedup import suffix_dedup
 from .tables import table
 
 #: Vocabulary of the tokenizing queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative_lz(table(spark, sf_dir, "documents").select("doc_id", "text"), width=50, digests=True, carry=["doc_id"])
+
+
 def op4_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("text")
     lengths = token_counts.encoded_lengths(docs, Path(VOCABULARY).read_bytes(), public_tokenizers.PATTERN)
     return token_counts.length_histogram(lengths)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), width=400, digests=True, carry=["doc_id"])
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_op.bpe(docs, Path(VOCABULARY).read_bytes(), public_tokenizers.PATTERN, digests=True, carry=["doc_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_relative_lz_dedup": op1_relative_lz_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op4_token_length_histogram": op4_token_length_histogram,
     "op9_byte_bpe": op9_byte_bpe,
 }
