@@ -18,6 +18,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 
 from .common import chunks
 
-#: Cuts and matches that a worker remembers; beyond it, it starts anew, so memory stays bounded.
-CACHE_ENTRIES = 250_000
+#: Cuts (and matches) after which a worker begins a new generation of what it remembers; it keeps two, so memory stays bounded.
+CACHE_ENTRIES = 300_000
 #: Matches that one recursive query takes, and the bytes they may have together.
 QUERY_WORDS, QUERY_BYTES = 60_000, 600_000
 
@@ -58,7 +59,7 @@ SELECT w, toks FROM words WHERE done ORDER BY w
 """
 
 DECODE = """
-SELECT w, unhex(string_agg(hex(vocabulary.bytes), '' ORDER BY pos)) AS bytes
+SELECT w, list(vocabulary.bytes ORDER BY pos) AS bytes
 FROM (SELECT w, unnest(toks) AS id, generate_subscripts(toks, 1) AS pos FROM encoded) ids
 JOIN vocabulary ON vocabulary.id = ids.id
 GROUP BY w ORDER BY w
@@ -70,8 +71,30 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
+class Known:
+    """Ids and decoded bytes of strings that were seen lately, in two generations."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Which of the keys must be learnt; the others are in the younger generation afterwards."""
+        if len(self.ids) > CACHE_ENTRIES:
+            self.old, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
+        left, (ids, decoded) = keys.difference(self.ids), self.old
+        for key in left & ids.keys():
+            self.ids[key], self.decoded[key] = ids[key], decoded[key]
+        return list(left.difference(ids))
+
+    def put(self, keys: Iterable[str], values: Iterable[tuple[bytes, bytes]]) -> None:
+        for key, (self.ids[key], self.decoded[key]) in zip(keys, values, strict=True):
+            pass
+
+
 class Encoder:
-    """A DuckDB connection with the merge table and what the worker has encoded so far."""
+    """A DuckDB connection with the merge table and what the worker has encoded lately."""
 
     def __init__(self, data: bytes, pattern: str) -> None:
         self.ranks = read_ranks(data)
@@ -84,10 +107,9 @@ class Encoder:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM token_rows")
         self.bytes = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
-        self.words: dict[str, tuple[bytes, bytes]] = {}  # a match: its ids, and what they decode to
-        self.cuts: dict[str, tuple[bytes, bytes]] = {"": (b"", b"")}
+        self.words, self.cuts = Known(), Known()
 
-    def run(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def run(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids, little-endian, and decoded bytes of each word."""
         lengths = np.array([len(x) for x in words])
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -102,42 +124,36 @@ class Encoder:
         tokens = encoded.column("toks").combine_chunks()
         ids = np.asarray(tokens.values, dtype="<u4").tobytes()
         ends = (np.asarray(tokens.offsets) * 4).tolist()
-        return [(ids[a:b], text) for a, b, text in zip(ends, ends[1:], back, strict=False)]
+        return ((ids[a:b], b"".join(parts)) for a, b, parts in zip(ends, ends[1:], back, strict=False))
 
     def learn(self, cuts: list[str]) -> None:
         """Encodes cuts that aren't known yet."""
-        if len(self.cuts) + len(cuts) > CACHE_ENTRIES:
-            self.words.clear()
-            self.cuts = {"": (b"", b"")}
-        matches = {cut: self.match(cut) for cut in cuts}
-        new, size, part = dict.fromkeys(x for found in matches.values() for x in found if x not in self.words), 0, []
-        for word in [*new, None]:
-            data = word.encode() if word is not None else b""
-            if word is not None and data in self.ranks:
-                self.words[word] = (self.ranks[data].to_bytes(4, "little"), data)
+        matches = [self.match(cut) for cut in cuts]
+        part: list[str] = []
+        size = 0
+        for word in self.words.missing(set(chain.from_iterable(matches))):
+            data = word.encode()
+            if data in self.ranks:
+                self.words.put((word,), ((self.ranks[data].to_bytes(4, "little"), data),))
                 continue
-            if part and (word is None or len(part) >= QUERY_WORDS or size + len(data) > QUERY_BYTES):
-                self.words.update(zip(part, self.run([x.encode() for x in part]), strict=True))
+            if part and (len(part) >= QUERY_WORDS or size + len(data) > QUERY_BYTES):
+                self.words.put(part, self.run([x.encode() for x in part]))
                 size, part = 0, []
-            if word is not None:
-                part.append(word)
-                size += len(data)
-        for cut, found in matches.items():
-            known = [self.words[x] for x in found]
-            self.cuts[cut] = known[0] if len(known) == 1 else (b"".join([x[0] for x in known]), b"".join([x[1] for x in known]))
+            part.append(word)
+            size += len(data)
+        if part:
+            self.words.put(part, self.run([x.encode() for x in part]))
+        ids, decoded = self.words.ids.__getitem__, self.words.decoded.__getitem__
+        self.cuts.put(cuts, ((b"".join(map(ids, found)), b"".join(map(decoded, found))) for found in matches))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids, little-endian, and decoded bytes of each text."""
         cut = [CUT.split(x) for x in texts]
-        known = self.cuts
-        if new := list(dict.fromkeys(x for row in cut for x in row if x not in known)):
-            if len(new) + len(known) > CACHE_ENTRIES:  # the cache starts anew: all cuts of these texts are needed
-                new = list(dict.fromkeys(x for row in cut for x in row))
+        if new := self.cuts.missing(set(chain.from_iterable(cut))):
             self.learn(new)
-        known = self.cuts
+        ids, decoded = self.cuts.ids.__getitem__, self.cuts.decoded.__getitem__
         for row in cut:
-            found = [known[x] for x in row]
-            yield b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+            yield b"".join(map(ids, row)), b"".join(map(decoded, row))
 
 
 _encoders: dict[tuple[int, str], Encoder] = {}
@@ -167,7 +183,7 @@ def bpe(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", dig
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None
-        for batch, texts in chunks(batches, "__text", 4 << 20):
+        for batch, texts in chunks(batches, "__text", 8 << 20):
             known = known or encoder(payload.value, pattern)
             out = list(known.encode([x.decode() for x in texts]))
             if digests:
