@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe as bpe_op
 from . import token_counts
 from .relative_lz import relative_lz
+from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
 from .tables import table
 
@@ -22,6 +23,10 @@ def op1_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative_lz(table(spark, sf_dir, "documents").select("doc_id", "text"), width=50, digests=True, carry=["doc_id"])
 
 
+def op3_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, radius=2, seed=42, carry=["doc_id"])
+
+
 def op4_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("text")
     lengths = token_counts.encoded_lengths(docs, Path(VOCABULARY).read_bytes(), public_tokenizers.PATTERN)
@@ -40,6 +45,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_relative_lz_dedup": op1_relative_lz_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op3_simhash_bk_tree": op3_simhash_bk_tree,
     "op4_token_length_histogram": op4_token_length_histogram,
     "op9_byte_bpe": op9_byte_bpe,
 }
