@@ -7,9 +7,12 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe as bpe_op
 from . import token_counts
+from .histogram_sort import shard_documents
+from .mixing import Mix
 from .relative_lz import relative_lz
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
@@ -23,6 +26,11 @@ def op1_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative_lz(table(spark, sf_dir, "documents").select("doc_id", "text"), width=50, digests=True, carry=["doc_id"])
 
 
+def op2_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=8, carry=["doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, radius=2, seed=42, carry=["doc_id"])
 
@@ -37,6 +45,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), width=400, digests=True, carry=["doc_id"])
 
 
+def op7_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=["doc_id"]).documents()
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_op.bpe(docs, Path(VOCABULARY).read_bytes(), public_tokenizers.PATTERN, digests=True, carry=["doc_id"])
@@ -45,8 +57,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_relative_lz_dedup": op1_relative_lz_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op2_histogram_sort_shards": op2_histogram_sort_shards,
     "op3_simhash_bk_tree": op3_simhash_bk_tree,
     "op4_token_length_histogram": op4_token_length_histogram,
+    "op7_golden_ratio_mix": op7_golden_ratio_mix,
     "op9_byte_bpe": op9_byte_bpe,
 }
 

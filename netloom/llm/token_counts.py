@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import CACHE_ENTRIES, CUT, read_ranks
-from .common import chunks
+from .common import chunks, written
 
 #: Lengths that one window group of the suffix sums takes.
-SPAN = 1024
+SPAN = 64
 
 
 def encoded_lengths(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text") -> DataFrame:
@@ -52,7 +52,7 @@ def length_histogram(lengths: DataFrame, length_col: str = "n_tokens", span: int
     then over the spans, so no window group holds more than ``span`` rows.
     """
     counts = lengths.where(F.col(length_col).isNotNull()).groupBy(F.col(length_col).cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs"))
-    counts = counts.withColumn("__span", F.floor(F.col("n_tokens") / span))
+    counts = written(counts).withColumn("__span", F.floor(F.col("n_tokens") / span))
     spans = counts.groupBy("__span").agg(F.sum("n_docs").alias("__docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("__tokens"))
     above = Window.partitionBy(F.lit(0)).orderBy(F.desc("__span")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(0))
