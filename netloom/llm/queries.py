@@ -13,6 +13,7 @@ from . import bpe as bpe_op
 from . import token_counts
 from .histogram_sort import shard_documents
 from .mixing import Mix
+from .quality import quality
 from .relative_lz import relative_lz
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
@@ -49,6 +50,11 @@ def op7_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=["doc_id"]).documents()
 
 
+def op8_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_op.bpe(docs, Path(VOCABULARY).read_bytes(), public_tokenizers.PATTERN, digests=True, carry=["doc_id"])
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_bk_tree": op3_simhash_bk_tree,
     "op4_token_length_histogram": op4_token_length_histogram,
     "op7_golden_ratio_mix": op7_golden_ratio_mix,
+    "op8_robust_quality": op8_robust_quality,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
