@@ -13,8 +13,10 @@ from . import bpe as bpe_op
 from . import token_counts
 from .histogram_sort import shard_documents
 from .mixing import Mix
+from .pivots import near_vectors
 from .quality import quality
 from .relative_lz import relative_lz
+from .reputation import filter_sql, filter_urls
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
 from .tables import table
@@ -46,6 +48,17 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), width=400, digests=True, carry=["doc_id"])
 
 
+def page_outcomes(labels: DataFrame) -> DataFrame:
+    """Outcomes of pages from the table labels, whose ids pages share: bad if of low quality or toxic."""
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
+    return labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+
+
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), page_outcomes(table(spark, sf_dir, "labels")), carry=["page_id"])
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=["doc_id"]).documents()
 
@@ -60,15 +73,21 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_op.bpe(docs, Path(VOCABULARY).read_bytes(), public_tokenizers.PATTERN, digests=True, carry=["doc_id"])
 
 
+def op10_pivot_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95, carry=["vec_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_relative_lz_dedup": op1_relative_lz_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op2_histogram_sort_shards": op2_histogram_sort_shards,
     "op3_simhash_bk_tree": op3_simhash_bk_tree,
     "op4_token_length_histogram": op4_token_length_histogram,
+    "op6_url_reputation": op6_url_reputation,
     "op7_golden_ratio_mix": op7_golden_ratio_mix,
     "op8_robust_quality": op8_robust_quality,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_pivot_permutation_index": op10_pivot_permutation_index,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_url_reputation": filter_sql()}
