@@ -1,0 +1,8 @@
+"""Registered queries over the driver's tables."""
+
+from __future__ import annotations
+
+from . import coordinates, curves, statistics
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "coordinates", "curves", "statistics"]
