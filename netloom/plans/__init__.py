@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import coordinates, curves, statistics
+from . import coordinates, curves, graphs, joins, statistics
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "coordinates", "curves", "statistics"]
+__all__ = ["ORACLE_SQL", "QUERIES", "coordinates", "curves", "graphs", "joins", "statistics"]
