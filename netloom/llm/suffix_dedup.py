@@ -32,7 +32,7 @@ from .relative_lz import Cutter, mark, phrase_table, window_table
 #: Bytes of a gram that can be an anchor, and windows that a phrase has at most.
 GRAM, LONGEST = 32, 1024
 #: Different phrases of an anchor that one task takes, and bytes of a shard whose suffixes are sorted together.
-MOST, SHARD_BYTES = 100, 1 << 20
+MOST, SHARD_BYTES = 1500, 1 << 20
 
 
 def segment_table(staged: DataFrame, picked: DataFrame, width: int) -> DataFrame:
