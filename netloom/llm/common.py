@@ -26,15 +26,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder or current.get()
 
 
-def written(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+_tables: list[str] = []
+
+
+def written(df: DataFrame, lasting: bool = False) -> DataFrame:
     """The rows of ``df``, written as Parquet in the shared scratch folder and read back.
 
-    This cuts the lineage: lost executors cost a read, not the work above it.
+    This cuts the lineage: lost executors cost a read, not the work above it. Tables stay until
+    drop_written(); with ``lasting`` that leaves them alone, too.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    (df.select(*columns) if columns else df).write.parquet(path)
-    return spark.read.schema(df.select(*columns).schema if columns else df.schema).parquet(path)
+    df.write.parquet(path)
+    if not lasting:
+        _tables.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables written so far: for when all results that are read from them have been stored."""
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

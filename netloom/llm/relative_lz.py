@@ -95,7 +95,15 @@ class Cutter:
         kinds = {total: "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string", "spans": "array<struct<start:int,stop:int>>", "kept_text": "string" if words else "binary"}
         self.added = [(c, kinds[c]) for c in results]
         self.renamed = {c: f"__c{i}" for i, c in enumerate(self.carried)}
-        self.keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in self.renamed.items()), F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text")).withColumn("__key", F.xxhash64("__id", "__text"))
+        #: The texts' column: the carried one if there is one, so that no text is moved twice.
+        self.text = self.renamed.get(text_col, "__text")
+        text = F.col(f"`{text_col}`")
+        own = [] if text_col in self.renamed else [text.alias("__text")]
+        self.keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in self.renamed.items()), *own, F.col(f"`{id_col}`").alias("__id"), F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(text, F.lit(""))).alias("__key"))
+
+    def texts(self, rows: DataFrame, *more: str) -> DataFrame:
+        """__id, __key and __text of rows, and more columns."""
+        return rows.select("__id", "__key", F.col(self.text).alias("__text"), *more)
 
     def first(self, marks: DataFrame) -> DataFrame:
         """Results of the texts that need no check, and the texts and marks of those that do."""
@@ -107,7 +115,11 @@ class Cutter:
         again = self._with(staged.where("__open"), marks.groupBy("__id", "__key").agg(F.collect_list("mark").alias("__more")))
         both = again.withColumn("__marks", F.concat("__marks", F.coalesce("__more", F.array().cast(f"array<{MARK}>")))).drop("__more")
         done = staged.where("NOT __open").unionByName(self._run(both.drop("__open", *(c for c, _ in self.added)), final=True))
-        return done.select(*(F.col(n).alias(c) for c, n in self.renamed.items()), *(c for c, _ in self.added))
+        added = {c: F.col(c) for c, _ in self.added}
+        if "kept_text" in added and self.text != "__text":  # texts that stay whole aren't stored twice
+            whole = F.coalesce(F.col(self.text), F.lit(""))
+            added["kept_text"] = F.coalesce("kept_text", whole if self.words else whole.cast("binary"))
+        return done.select(*(F.col(n).alias(c) for c, n in self.renamed.items()), *(v.alias(c) for c, v in added.items()))
 
     @staticmethod
     def _with(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -116,15 +128,17 @@ class Cutter:
 
     def _run(self, wide: DataFrame, final: bool) -> DataFrame:
         width, digests, cut = self.width, self.digests, cut_words if self.words else cut_bytes
-        as_text = self.words
+        as_text, text_name = self.words, self.text
         carried = list(self.renamed.values())
-        schema = T.StructType([*(wide.schema[c] for c in carried), wide.schema["__id"], wide.schema["__key"], *(T.StructField(c, T._parse_datatype_string(kind)) for c, kind in self.added), T.StructField("__open", T.BooleanType()), T.StructField("__text", T.StringType()), T.StructField("__marks", T._parse_datatype_string(f"array<{MARK}>"))])
+        own = text_name == "__text"
+        left_over = [T.StructField("__text", T.StringType())] if own else []
+        schema = T.StructType([*(wide.schema[c] for c in carried), wide.schema["__id"], wide.schema["__key"], *(T.StructField(c, T._parse_datatype_string(kind)) for c, kind in self.added), T.StructField("__open", T.BooleanType()), *left_over, T.StructField("__marks", T._parse_datatype_string(f"array<{MARK}>"))])
         types = {c: kind for c, kind in self.added}
         spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         mark = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("check", pa.bool_())]))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, texts in chunks(batches, "__text", 8 << 20):
+            for batch, texts in chunks(batches, text_name, 8 << 20):
                 rows, open_, left, rest = [], [], [], []
                 for text, marks in zip(texts, batch.column("__marks").to_pylist(), strict=True):
                     wait = not final and any(m["check"] for m in marks or ())
@@ -136,19 +150,19 @@ class Cutter:
                         continue
                     size, runs, kept = cut(text, [(m["first"], m["n"]) for m in marks or () if not m["check"]], width)
                     common = (size, sum(b - a for a, b in runs), len(runs))
-                    rows.append((*common, hashlib.sha256(kept).hexdigest()) if digests else (*common, [{"start": a, "stop": b} for a, b in runs], kept.decode() if as_text else kept))
+                    rows.append((*common, hashlib.sha256(kept).hexdigest()) if digests else (*common, [{"start": a, "stop": b} for a, b in runs], None if not own and not runs and kept == text else kept.decode() if as_text else kept))
                 kinds = [pa.int64()] * 3 + ([pa.string()] if digests else [spans, pa.string() if as_text else pa.binary()])
                 columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*carried, "__id", "__key")), *columns, pa.array(open_), pa.array(left, pa.string()), pa.array(rest, mark)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*carried, "__id", "__key")), *columns, pa.array(open_), *([pa.array(left, pa.string())] if own else []), pa.array(rest, mark)], names=schema.names)
 
-        return wide.select(*carried, "__id", "__key", "__text", "__marks").mapInArrow(run, schema)
+        return wide.select(*carried, *(["__text"] if own else []), "__id", "__key", "__marks").mapInArrow(run, schema)
 
 
 def mark(check: bool) -> Column:
     return F.struct(F.col("first"), F.col("n"), F.lit(check).alias("check")).alias("mark")
 
 
-def window_table(staged: DataFrame, width: int, words: bool) -> DataFrame:
+def window_table(cutter: Cutter, staged: DataFrame, width: int, words: bool) -> DataFrame:
     """A row for each window that waits for its check: w1 and w2 (128 bits of hash), __id, __key, first."""
     schema = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), staged.schema["__id"], T.StructField("__key", T.LongType()), T.StructField("first", T.IntegerType())])
     items, pieces = (word_items, word_pieces) if words else (byte_items, byte_pieces)
@@ -172,7 +186,7 @@ def window_table(staged: DataFrame, width: int, words: bool) -> DataFrame:
                     one, two = part.window_hashes(start, width)
                     yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), batch.column("__id").take(take), batch.column("__key").take(take), pa.array((start - part.begin[k] + begins[k]).astype(np.int32))], names=schema.names)
 
-    return staged.where("__open").select("__id", "__key", "__text", "__marks").mapInArrow(cut, schema)
+    return cutter.texts(staged.where("__open"), "__marks").mapInArrow(cut, schema)
 
 
 def relative_lz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, digests: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -183,7 +197,7 @@ def relative_lz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     cutter = Cutter(docs, id_col, text_col, width, True, digests, carry)
     gram = min(GRAM, width)
-    phrases = written(phrase_table(cutter.keyed.where("__id IS NOT NULL"), width, gram, LONGEST, True).drop("twice"))
+    phrases = written(phrase_table(cutter.texts(cutter.keyed.where("__id IS NOT NULL")), width, gram, LONGEST, True).drop("twice"))
     blocks = phrases.groupBy("anchor").agg(F.min("__id").alias("least"), F.max("__id").alias("most"), F.min("phrase").alias("a"), F.max("phrase").alias("b")).where("least < most")
     known = written(phrases.join(blocks.select("anchor", "least", (F.col("a") == F.col("b")).alias("alone")), "anchor").where("NOT alone OR __id > least"))
     several = known.where("NOT alone")
@@ -192,7 +206,7 @@ def relative_lz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     factors = known.where("alone").select("__id", "__key", mark(False)).unionByName(parsed.where("__id > entry").select("__id", "__key", mark(False)))
     boundaries = parsed.where("__id = entry").select("__id", "__key", mark(True))
     staged = cutter.first(factors.unionByName(boundaries))
-    windows = window_table(staged, width, True)
+    windows = window_table(cutter, staged, width, True)
     shared = windows.groupBy("w1", "w2").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most").drop("most")
     found = windows.join(shared, ["w1", "w2"]).where("__id > least").withColumn("n", F.lit(1)).select("__id", "__key", mark(False))
     return cutter.last(staged, found)

@@ -35,10 +35,10 @@ GRAM, LONGEST = 32, 1024
 MOST, SHARD_BYTES = 1500, 1 << 20
 
 
-def segment_table(staged: DataFrame, picked: DataFrame, width: int) -> DataFrame:
+def segment_table(cutter: Cutter, staged: DataFrame, picked: DataFrame, width: int) -> DataFrame:
     """A row for each picked phrase: anchor, __id, __key, first, n and the bytes that its windows cover."""
     schema = T.StructType([T.StructField("anchor", T.LongType()), staged.schema["__id"], T.StructField("__key", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("segment", T.BinaryType())])
-    wide = Cutter._with(staged.where("__open").select("__id", "__key", "__text"), picked.groupBy("__id", "__key").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("__picked"))).where("__picked IS NOT NULL")
+    wide = Cutter._with(cutter.texts(staged.where("__open")), picked.groupBy("__id", "__key").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("__picked"))).where("__picked IS NOT NULL")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "__text", 4 << 20):
@@ -98,7 +98,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``docs`` to keep (all). width: 8 or more.
     """
     cutter = Cutter(docs, id_col, text_col, width, False, digests, carry)
-    phrases = written(phrase_table(cutter.keyed, width, max(min(GRAM, width // 2), 8), LONGEST, False))
+    phrases = written(phrase_table(cutter.texts(cutter.keyed), width, max(min(GRAM, width // 2), 8), LONGEST, False))
     blocks = phrases.groupBy("anchor").agg(F.count("*").alias("n_block"), F.max("twice").alias("any_twice")).where("n_block > 1 OR any_twice").select("anchor")
     known = written(phrases.join(blocks, "anchor"))
     entries = known.groupBy("anchor", "phrase").agg(F.count("*").alias("copies"), F.max("twice").alias("twice"), F.min(F.struct("__key", "__id", "first", "n")).alias("one"))
@@ -110,8 +110,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     picked = open_.where(~hot)
     waiting = picked.select("__id", "__key", "first", F.lit(0).alias("n")).select("__id", "__key", mark(True))
     staged = cutter.first(whole.unionByName(waiting).unionByName(open_.where(hot).select("__id", "__key", mark(True))))
-    found = sorted_shards(segment_table(staged, picked, width), width, shard_bytes).select("__id", "__key", mark(False))
-    windows = window_table(staged, width, False)
+    found = sorted_shards(segment_table(cutter, staged, picked, width), width, shard_bytes).select("__id", "__key", mark(False))
+    windows = window_table(cutter, staged, width, False)
     shared = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").drop("times")
     by_hash = windows.join(shared, ["w1", "w2"]).withColumn("n", F.lit(1)).select("__id", "__key", mark(False))
     return cutter.last(staged, found.unionByName(by_hash))
