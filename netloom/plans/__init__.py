@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import coordinates, curves, features, graphs, joins, statistics
+from . import coordinates, curves, features, graphs, joins, rollups, sources, statistics
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "coordinates", "curves", "features", "graphs", "joins", "statistics"]
+__all__ = ["ORACLE_SQL", "QUERIES", "coordinates", "curves", "features", "graphs", "joins", "rollups", "sources", "statistics"]
