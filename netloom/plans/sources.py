@@ -42,7 +42,7 @@ def l2(t: Tables) -> DataFrame:
 def l3(t: Tables) -> DataFrame:
     rows = t.C.withColumn("label", (F.col("r") > 2.5).cast("int"))
     split = learning.hashed_split(rows, "link_label", "label", 0.5, 7)
-    model = learning.train(split.where("train").limit(2000), ["length", "r", "vx", "vy", "vz"], kind="boosted")
+    model = learning.train(split.where("train"), ["length", "r", "vx", "vy", "vz"], kind="boosted")
     return learning.score(model, split.where("NOT train")).select("link_label", "label", "prediction")
 
 
