@@ -46,7 +46,7 @@ def g6(t: Tables) -> DataFrame:
 
 @query("g7_component_sizes", f"WITH RECURSIVE {REACH.format(t='L')}, s AS (SELECT component, count(*) AS links, sum(length) AS length FROM L JOIN comp ON node = node_a GROUP BY 1) SELECT component, links, round(length, 4) AS length, round(links / (SELECT sum(links) FROM s), 9) AS share FROM s")
 def g7(t: Tables) -> DataFrame:
-    sizes = graph.link_components(t.L).groupBy("component").agg(F.count("*").alias("links"), F.round(F.sum("length"), 4).alias("length"))
+    sizes = graph.link_components(t.L).groupBy("component").agg(F.count("*").alias("links"), F.round(F.sum("length"), 5).alias("length"))
     return sizes.withColumn("share", F.round(F.col("links") / F.sum("links").over(Window.partitionBy(F.lit(0))), 9))
 
 
@@ -67,10 +67,10 @@ def g10(t: Tables) -> DataFrame:
     return t.M.where("node_a = node_b").select("link_label", "node_a", "n_voxel")
 
 
-@query("g11_parallel_links", "SELECT least(node_a, node_b) AS u, greatest(node_a, node_b) AS v, count(*) AS n, string_agg(link_label::VARCHAR, ',' ORDER BY link_label) AS labels, round(sum(length), 4) AS length FROM M WHERE node_a <> node_b GROUP BY 1, 2 HAVING count(*) > 1")
+@query("g11_parallel_links", "SELECT least(node_a, node_b) AS u, greatest(node_a, node_b) AS v, count(*) AS n, string_agg(link_label::VARCHAR, ',' ORDER BY link_label) AS labels, round(sum(length), 5) AS length FROM M WHERE node_a <> node_b GROUP BY 1, 2 HAVING count(*) > 1")
 def g11(t: Tables) -> DataFrame:
     out = graph.parallel_links(t.M)
-    return out.withColumn("labels", F.concat_ws(",", F.col("labels").cast("array<string>"))).withColumn("length", F.round("length", 4))
+    return out.withColumn("labels", F.concat_ws(",", F.col("labels").cast("array<string>"))).withColumn("length", F.round("length", 5))
 
 
 ORDER_SQL = """
@@ -153,12 +153,12 @@ WITH RECURSIVE ends AS (SELECT link_label, unnest([node_a, node_b]) AS node FROM
 j AS (SELECT min(link_label) AS u, max(link_label) AS v FROM ends JOIN deg USING (node) WHERE degree = 2 GROUP BY node), e AS (SELECT u, v FROM j UNION SELECT v, u FROM j),
 reach(link_label, root) AS (SELECT link_label, link_label FROM kept UNION SELECT e.v, reach.root FROM reach JOIN e ON e.u = reach.link_label), chain AS (SELECT link_label, min(root) AS chain FROM reach GROUP BY 1),
 tips AS (SELECT chain, min(node) AS node_a, max(node) AS node_b FROM ends JOIN deg USING (node) JOIN chain USING (link_label) WHERE degree <> 2 GROUP BY chain)
-SELECT c.chain AS link_label, tips.node_a AS node_a, tips.node_b AS node_b, round(sum(length), 4) AS length, count(*) AS n_links FROM kept JOIN chain c USING (link_label) LEFT JOIN tips ON tips.chain = c.chain GROUP BY 1, 2, 3"""
+SELECT c.chain AS link_label, tips.node_a AS node_a, tips.node_b AS node_b, round(sum(length), 5) AS length, count(*) AS n_links FROM kept JOIN chain c USING (link_label) LEFT JOIN tips ON tips.chain = c.chain GROUP BY 1, 2, 3"""
 
 
 @query("r1_delete_and_contract", CONTRACT.replace("WITH RECURSIVE", "WITH RECURSIVE kept AS (SELECT * FROM L WHERE intensity >= 40),"))
 def r1(t: Tables) -> DataFrame:
-    return graph.contract(t.L.where("intensity >= 40")).withColumn("length", F.round("length", 4))
+    return graph.contract(t.L.where("intensity >= 40")).withColumn("length", F.round("length", 5))
 
 
 @query("r3_short_self_loops", "SELECT link_label, n_voxel <= 20 AS deleted FROM M WHERE node_a = node_b")

@@ -67,10 +67,11 @@ def q7(t: Tables) -> DataFrame:
     return t.C.groupBy("block_id").agg(r6(total / 1000).alias("length_density"), r6(F.sum(F.when(r <= 2.5, length).otherwise(0.0)) / total).alias("small_share"), r6(F.sum(F.lit(pi) * length * r * r) / 1000).alias("volume_density"), r6(F.sum(F.lit(2 * pi) * length * r) / 1000).alias("surface_density"))
 
 
-@query("q8_block_feature_statistics", f"SELECT block_id, feature, {BASIC.format(v='value')} FROM (SELECT block_id, 'length' AS feature, length AS value FROM C UNION ALL SELECT block_id, 'r', r FROM C) u GROUP BY 1, 2")
+@query("q8_block_feature_statistics", f"SELECT block_id, feature, {BASIC.format(v='value').replace('4)', '5)')} FROM (SELECT block_id, 'length' AS feature, length AS value FROM C UNION ALL SELECT block_id, 'r', r FROM C) u GROUP BY 1, 2")
 def q8(t: Tables) -> DataFrame:
     long = t.C.select("block_id", F.inline(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("value")) for k in ("length", "r")))))
-    return rounded(stats.basic_statistics(long, ["block_id", "feature"], "value"))
+    out = stats.basic_statistics(long, ["block_id", "feature"], "value")
+    return rounded(out.drop("total")).join(out.select("block_id", "feature", F.round("total", 5).alias("total")), ["block_id", "feature"])
 
 
 @query("q9_block_table", "SELECT b.block_id, s.n FROM (SELECT range AS block_id FROM range(40)) b LEFT JOIN (SELECT block_id, count(*) AS n FROM V GROUP BY 1) s USING (block_id)")
@@ -78,10 +79,10 @@ def q9(t: Tables) -> DataFrame:
     return t.spark.range(40).withColumnRenamed("id", "block_id").join(t.V.groupBy("block_id").agg(F.count("*").alias("n")), "block_id", "left")
 
 
-@query("q10_whole_graph_statistics", "WITH d AS (SELECT node, count(*) AS degree FROM (SELECT unnest([node_a, node_b]) AS node FROM L) e GROUP BY node) SELECT degree, count(*) AS nodes, (SELECT count(*) FROM L) AS links, (SELECT round(sum(length), 4) FROM L) AS length FROM d GROUP BY degree")
+@query("q10_whole_graph_statistics", "WITH d AS (SELECT node, count(*) AS degree FROM (SELECT unnest([node_a, node_b]) AS node FROM L) e GROUP BY node) SELECT degree, count(*) AS nodes, (SELECT count(*) FROM L) AS links, (SELECT round(sum(length), 5) FROM L) AS length FROM d GROUP BY degree")
 def q10(t: Tables) -> DataFrame:
     degrees = t.L.select(F.explode(F.array("node_a", "node_b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    totals = t.L.agg(F.count("*").alias("links"), F.round(F.sum("length"), 4).alias("length"))
+    totals = t.L.agg(F.count("*").alias("links"), F.round(F.sum("length"), 5).alias("length"))
     return degrees.groupBy("degree").agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(totals))  # totals: one row
 
 

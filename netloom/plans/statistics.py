@@ -46,9 +46,9 @@ def a3(t: Tables) -> DataFrame:
     return rounded(stats.basic_statistics(t.orders, ["o_orderpriority"], "o_totalprice"))
 
 
-@query("a4_midpoint_percentiles", f"WITH {HAZEN.format(**BY_PRIORITY, levels=', '.join(str(float(p)) for p in stats.PERCENTILES))} SELECT o_orderpriority, CAST(level AS DOUBLE) AS level, round(percentile, 4) AS percentile FROM pct")
+@query("a4_midpoint_percentiles", f"WITH {HAZEN.format(**BY_PRIORITY, levels=', '.join(str(float(p)) for p in stats.PERCENTILES))} SELECT o_orderpriority, CAST(level AS DOUBLE) AS level, round(percentile, 6) AS percentile FROM pct")
 def a4(t: Tables) -> DataFrame:
-    return stats.midpoint_percentiles(t.orders, ["o_orderpriority"], "o_totalprice").withColumn("percentile", F.round("percentile", 4))
+    return stats.midpoint_percentiles(t.orders, ["o_orderpriority"], "o_totalprice").withColumn("percentile", F.round("percentile", 6))
 
 
 def nearest_sql(key: str, value: str, source: str) -> str:
