@@ -28,7 +28,7 @@ BASIC = "count(*) AS n, round(sum({v}), 4) AS total, round(avg({v}), 6) AS mean,
 
 def rounded(df: DataFrame) -> DataFrame:
     kinds = dict(df.dtypes)
-    return df.select(*((F.round(k, 4 if k == "total" else 6).alias(k) if kinds[k] == "double" else F.col(k)) for k in df.columns))
+    return df.select(*((F.round(k, 4 if k == "total" else 6).alias(k) if kinds[k] == "double" and k not in ("least", "most") else F.col(k)) for k in df.columns))
 
 
 @query("a1_group_by_value", "SELECT l_quantity AS value, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first_row FROM lineitem GROUP BY 1")
