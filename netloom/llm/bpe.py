@@ -74,14 +74,15 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Known:
     """Ids and decoded bytes of strings that were seen lately, in two generations."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.ids: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
         self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def missing(self, keys: set[str]) -> list[str]:
         """Which of the keys must be learnt; the others are in the younger generation afterwards."""
-        if len(self.ids) > CACHE_ENTRIES:
+        if len(self.ids) > self.most:
             self.old, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
         left, (ids, decoded) = keys.difference(self.ids), self.old
         for key in left & ids.keys():
@@ -96,7 +97,7 @@ class Known:
 class Encoder:
     """A DuckDB connection with the merge table and what the worker has encoded lately."""
 
-    def __init__(self, data: bytes, pattern: str) -> None:
+    def __init__(self, data: bytes, pattern: str, most: int | None = None) -> None:
         self.ranks = read_ranks(data)
         self.match = regex.compile(pattern).findall
         pairs = [(a, b, rank) for token, rank in self.ranks.items() for k in range(1, len(token)) if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None]
@@ -107,7 +108,7 @@ class Encoder:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM token_rows")
         self.bytes = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
-        self.words, self.cuts = Known(), Known()
+        self.words, self.cuts = Known(most or CACHE_ENTRIES), Known(most or CACHE_ENTRIES)
 
     def run(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids, little-endian, and decoded bytes of each word."""
@@ -156,24 +157,25 @@ class Encoder:
             yield b"".join(map(ids, row)), b"".join(map(decoded, row))
 
 
-_encoders: dict[tuple[int, str], Encoder] = {}
+_encoders: dict[tuple[int, str, int], Encoder] = {}
 
 
-def encoder(data: bytes, pattern: str) -> Encoder:
+def encoder(data: bytes, pattern: str, most: int) -> Encoder:
     """One encoder for a vocabulary and pattern in each Python worker."""
-    key = (hash(data), pattern)
+    key = (hash(data), pattern, most)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(data, pattern)
+        _encoders[key] = Encoder(data, pattern, most)
     return _encoders[key]
 
 
-def bpe(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", digests: bool = False, carry: list[str] | None = None) -> DataFrame:
+def bpe(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", digests: bool = False, carry: list[str] | None = None, remember: int = CACHE_ENTRIES, lot_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with its texts encoded and the ids decoded again.
 
     ranks: content of a .tiktoken file (about 1 MB, sent with the task). Adds ``ids`` (array of
     int) and ``decoded`` (binary), or with ``digests`` n_tokens, ids_sha256 and decoded_sha256;
     columns of ``docs`` with these names are replaced. carry: the columns of ``docs`` to keep (all).
+    remember: cuts of a generation that a worker keeps. lot_bytes: text that it takes at once; both bound its memory.
     """
     added = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType())]
     names = {name for name, _ in added}
@@ -183,8 +185,8 @@ def bpe(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", dig
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None
-        for batch, texts in chunks(batches, "__text", 8 << 20):
-            known = known or encoder(payload.value, pattern)
+        for batch, texts in chunks(batches, "__text", lot_bytes):
+            known = known or encoder(payload.value, pattern, remember)
             out = list(known.encode([x.decode() for x in texts]))
             if digests:
                 columns = [pa.array([len(a) // 4 for a, _ in out], pa.int64()), pa.array([hashlib.sha256(a).hexdigest() for a, _ in out]), pa.array([hashlib.sha256(b).hexdigest() for _, b in out])]
