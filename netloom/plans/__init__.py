@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chains, coordinates, curves, features, graphs, joins, rollups, sources, statistics
+from . import chains, coordinates, curves, features, graphs, joins, paths, rollups, sources, spaces, statistics
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "chains", "coordinates", "curves", "features", "graphs", "joins", "rollups", "sources", "statistics"]
+__all__ = ["ORACLE_SQL", "QUERIES", "chains", "coordinates", "curves", "features", "graphs", "joins", "paths", "rollups", "sources", "spaces", "statistics"]
