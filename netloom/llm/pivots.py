@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 from .common import written
 from .components import components
 
-PIVOTS, NEAREST, SHARED, SEED = 1024, 5, 3, 11
+#: Two shared pivots of five: recall 0.95 or more at cosine 0.95 for random pairs of dimension 64 (three: 0.75).
+PIVOTS, NEAREST, SHARED, SEED = 1024, 5, 2, 11
 #: Vectors of a list that a block takes.
 TILE = 1000
 #: Vectors that the smaller lists' pairs are computed of in one go.

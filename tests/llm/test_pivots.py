@@ -54,5 +54,20 @@ def test_recall_on_the_embeddings(spark):
     assert (found <= links).all() and found.sum() >= 0.97 * links.sum()
 
 
+@pytest.mark.parametrize("low", [0.95, 0.96, 0.97, 0.98, 0.99])
+def test_recall_on_planted_pairs(spark, low):
+    r = np.random.default_rng(7)
+    n, dim = 1500, 64
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in r.normal(size=(2, n, dim)))
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    cosine = r.uniform(low + 1e-6, low + 0.01, n)[:, None]
+    both = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * y])
+    links = int((both @ both.T >= 0.95).sum() - 2 * n)
+    assert links >= 2 * n
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    assert links >= sum(v.n_links for v in near_vectors(df, carry=["vec_id"]).collect()) > 0.92 * links
+
+
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
