@@ -2,10 +2,10 @@
 
 Every document is reference text for those with larger ids. The reference is indexed in blocks
 of content-defined phrases: an anchor names a block, a phrase hash an entry of it, and for each
-entry the least document id is kept. A document is parsed from left to right into the longest
-runs of phrases that blocks of smaller ids hold; such a factor covers at least one whole window.
-Where a factor ends, inside a phrase whose block is known but which is no entry of it as a
-whole, the windows at the boundary are checked one by one by 128-bit hashes. So exactly the
+entry the least document id is kept. In place of a parse from left to right, phrases are joined
+with these entries: one that a smaller id holds is a factor, which covers at least one whole
+window. Where a document is the first to hold a phrase but others share its anchor, the windows
+of the phrase are checked one by one by 128-bit hashes. So exactly the
 windows are found whose word sequence also starts in a document with a smaller id.
 
 The parse moves narrow rows, and the texts once. Hot blocks are met by aggregates that combine
