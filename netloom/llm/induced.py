@@ -1,9 +1,13 @@
-"""Suffix arrays by induced sorting, with numpy passes over whole buckets.
+"""Suffix arrays by induced sorting.
 
 Suffixes are classed as smaller or larger than the next one. The leftmost-smaller substrings are
-sorted by inducing, named, and where names repeat the string of names is sorted in turn (each
-round doubles the names that a rank stands for). From their order all suffixes are induced in
-one pass up and one pass down over the buckets of first characters. Common prefixes are then
+sorted by inducing and named in order; where names repeat, the string of names is sorted in turn
+by the same recursion. From the order of the leftmost-smaller suffixes all others are induced in
+one pass up and one pass down over the buckets of first characters.
+
+A string of bytes has few buckets: a pass takes a whole bucket at a time with numpy (the stable
+sort of 16-bit characters there is a counting sort, so passes are linear). A string of names has
+nearly as many buckets as places, and its passes go place by place. Common prefixes are then
 computed in text order: only at places whose left neighbours differ is anything compared.
 """
 
@@ -11,31 +15,79 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Places of a bucket on average from which passes take whole buckets.
+FULL = 64
 
-def _ranks_of_names(names: np.ndarray) -> np.ndarray:
-    """Ranks of the suffixes of a string of names whose last name is least and unique."""
-    m = len(names)
-    counts = np.bincount(names)
-    rank = (np.cumsum(counts) - counts)[names]
-    open_ = np.flatnonzero(counts[names] > 1)
-    reach = 1
-    while len(open_):
-        key = rank[open_] * m + rank[open_ + reach]
-        order = np.argsort(key, kind="stable")
-        open_, key = open_[order], key[order]
-        old = rank[open_]
-        group = np.concatenate([[True], old[1:] != old[:-1]])
-        part = np.concatenate([[True], key[1:] != key[:-1]])
-        at = np.arange(len(open_))
-        rank[open_] = old + np.maximum.accumulate(np.where(part, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
-        alone = part & np.concatenate([part[1:], [True]])
-        open_ = open_[~alone]
-        reach *= 2
-    return rank
+
+def _by_bucket(text: np.ndarray, smaller: np.ndarray, ordered: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All suffixes in order, induced from the leftmost-smaller ones in order; whole buckets at a time."""
+    n, sigma = len(text), len(counts)
+    end = np.cumsum(counts)
+    start = end - counts
+    larger = np.bincount(text[~smaller], minlength=sigma)
+    leftmosts = np.bincount(text[ordered], minlength=sigma)
+    present = np.flatnonzero(counts)
+    sa = np.full(n, -1, np.int32)
+    chars = text[ordered]
+    sa[(end - np.cumsum(leftmosts))[chars] + np.arange(len(chars))] = ordered
+    fill = start.copy()
+
+    def put(found: np.ndarray, want: bool, step: int) -> None:
+        before = found[found > 0] - 1
+        before = before[smaller[before] == want]
+        if not len(before):
+            return
+        chars = text[before]
+        order = np.argsort(chars, kind="stable")
+        chars = chars[order]
+        many = np.bincount(chars, minlength=sigma)
+        at = np.arange(len(chars)) - (np.cumsum(many) - many)[chars]
+        sa[fill[chars] + at if step > 0 else fill[chars] - 1 - at] = before[order]
+        fill[:] += step * many
+
+    for c in present:
+        done = start[c]
+        while done < fill[c]:
+            done, found = fill[c], sa[done : fill[c]]
+            put(found, False, 1)
+        put(sa[end[c] - leftmosts[c] : end[c]], False, 1)
+    fill = end.copy()
+    sa[0], fill[0] = n - 1, 0
+    for c in present[::-1]:
+        done = end[c]
+        while done > fill[c]:
+            done, found = fill[c], sa[fill[c] : done][::-1]
+            put(found, True, -1)
+        put(sa[start[c] : start[c] + larger[c]][::-1], True, -1)
+    return sa
+
+
+def _by_place(text: np.ndarray, smaller: np.ndarray, ordered: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The same, place by place."""
+    ends = np.cumsum(counts)
+    head, tail = (ends - counts).tolist(), ends.tolist()
+    chars, low = text.tolist(), smaller.tolist()
+    sa = [-1] * len(chars)
+    for i in ordered[::-1].tolist():
+        tail[chars[i]] -= 1
+        sa[tail[chars[i]]] = i
+    for i in sa:  # grows before the loop reaches what is put in
+        if i > 0 and not low[i - 1]:
+            c = chars[i - 1]
+            sa[head[c]] = i - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for at in range(len(sa) - 1, -1, -1):
+        i = sa[at]
+        if i > 0 and low[i - 1]:
+            c = chars[i - 1]
+            tail[c] -= 1
+            sa[tail[c]] = i - 1
+    return np.array(sa, np.int32)
 
 
 def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
-    """Sorted suffixes of ``text``: small non-negative integers under ``sigma``, the last one 0 and the only 0."""
+    """Sorted suffixes of ``text``: non-negative integers under ``sigma``, the last one 0 and the only 0."""
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int32)
@@ -47,49 +99,10 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     left[1:] = smaller[1:] & ~smaller[:-1]
     leftmost = np.flatnonzero(left).astype(np.int32)
     counts = np.bincount(text, minlength=sigma)
-    end = np.cumsum(counts)
-    start = end - counts
-    larger = np.bincount(text[~smaller], minlength=sigma)
-    leftmosts = np.bincount(text[leftmost], minlength=sigma)
-    present = np.flatnonzero(counts)
-
-    def induce(sorted_leftmost: np.ndarray) -> np.ndarray:
-        sa = np.full(n, -1, np.int32)
-        chars = text[sorted_leftmost]
-        sa[(end - np.cumsum(leftmosts))[chars] + np.arange(len(chars))] = sorted_leftmost
-        fill = start.copy()
-
-        def put(found: np.ndarray, want: bool, step: int) -> None:
-            before = found[found > 0] - 1
-            before = before[smaller[before] == want]
-            if not len(before):
-                return
-            chars = text[before]
-            order = np.argsort(chars, kind="stable")
-            chars = chars[order]
-            many = np.bincount(chars, minlength=sigma)
-            at = np.arange(len(chars)) - (np.cumsum(many) - many)[chars]
-            sa[fill[chars] + at if step > 0 else fill[chars] - 1 - at] = before[order]
-            fill[:] += step * many
-
-        for c in present:
-            done = start[c]
-            while done < fill[c]:
-                done, found = fill[c], sa[done : fill[c]]
-                put(found, False, 1)
-            put(sa[end[c] - leftmosts[c] : end[c]], False, 1)
-        fill = end.copy()
-        sa[0], fill[0] = n - 1, 0
-        for c in present[::-1]:
-            done = end[c]
-            while done > fill[c]:
-                done, found = fill[c], sa[fill[c] : done][::-1]
-                put(found, True, -1)
-            put(sa[start[c] : start[c] + larger[c]][::-1], True, -1)
-        return sa
-
-    sa = induce(leftmost[np.argsort(text[leftmost], kind="stable")])
+    induce = _by_bucket if n >= FULL * np.count_nonzero(counts) else _by_place
+    sa = induce(text, smaller, leftmost[np.argsort(text[leftmost], kind="stable")], counts)
     ordered = sa[left[sa]]
+    # names: a substring has the one before's if it is as long and equal
     length = np.zeros(n, np.int32)
     length[leftmost] = np.diff(leftmost, append=n - 1) + 1
     same = length[ordered[1:]] == length[ordered[:-1]]
@@ -100,13 +113,13 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
         same[open_[differ]] = False
         k += 1
         open_ = open_[~differ & (length[a] > k)]
-    names = np.zeros(n, np.int64)
+    names = np.zeros(n, np.int32)
     names[ordered] = np.concatenate([[0], np.cumsum(~same)])
     names = names[leftmost]
-    if names.max() + 1 < len(names):
-        ordered = np.empty_like(leftmost)
-        ordered[_ranks_of_names(names)] = leftmost
-    return induce(ordered)
+    kinds = int(names.max()) + 1
+    if kinds < len(names):  # some repeat: the order of the suffixes of the string of names, whose last name is least
+        ordered = leftmost[suffix_array(names, kinds)]
+    return induce(text, smaller, ordered, counts)
 
 
 def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,17 +134,22 @@ def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarr
     starts[0] = True
     places = np.flatnonzero(starts & (before >= 0))
     other = before[places]
-    four = np.ndarray((n,), "<u8", text.astype("<u2").tobytes() + bytes(8), 0, (2,))
+    # eight bytes of symbols at once, or four if they need two bytes each
+    kinds = np.flatnonzero(np.bincount(text))
+    symbol = np.zeros(int(kinds[-1]) + 1, np.uint8 if len(kinds) <= 256 else "<u2")
+    symbol[kinds] = np.arange(len(kinds))
+    symbols = symbol[text]
+    bits = symbols.itemsize * 8
+    lot = np.ndarray((n,), "<u8", symbols.tobytes() + bytes(8), 0, (symbols.itemsize,))
     length = np.zeros(len(places), np.int64)
     open_ = np.arange(len(places))
+    a, b = places, other
     while len(open_):
-        a, b = places[open_] + length[open_], other[open_] + length[open_]
-        differ = four[a] ^ four[b]
+        differ = lot[a] ^ lot[b]
         more = differ == 0
         low = differ[~more]
-        length[open_[~more]] += np.log2((low & (~low + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 4
-        open_ = open_[more]
-        length[open_] += 4
+        length[open_[~more]] = a[~more] - places[open_[~more]] + np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)).astype(np.int64) // bits
+        open_, a, b = open_[more], a[more] + 64 // bits, b[more] + 64 // bits
     common = np.zeros(n, np.int64)
     common[places] = length
     last = np.maximum.accumulate(np.where(starts, at, 0))

@@ -1,212 +1,113 @@
 """Substring deduplication by relative Lempel-Ziv parsing over words.
 
-Every document is reference text for those with larger ids. The reference is indexed in blocks
-of content-defined phrases: an anchor names a block, a phrase hash an entry of it, and for each
-entry the least document id is kept. In place of a parse from left to right, phrases are joined
-with these entries: one that a smaller id holds is a factor, which covers at least one whole
-window. Where a document is the first to hold a phrase but others share its anchor, the windows
-of the phrase are checked one by one by 128-bit hashes. So exactly the
-windows are found whose word sequence also starts in a document with a smaller id.
-
-The parse moves narrow rows, and the texts once. Hot blocks are met by aggregates that combine
-before the shuffle and by joins that Spark can split; nothing gathers a block in one task.
+Every document is reference text for those with larger ids. The reference is indexed in blocks:
+a block holds the different phrases of one anchor, each with the least id that has it and the
+place there (see blocks.py). Each phrase is parsed from left to right against its block: where
+the next ``width`` words also start in reference text of a smaller id, the index names the place
+with the least id, and the factor is extended from there as far as the words agree. A factor is
+(start, length, block, offset) and has at least ``width`` words. The parse goes on at the first
+window that crosses the factor's end, so windows across a boundary are looked up like all others,
+and exactly those windows lie in factors whose word sequence also starts in a smaller id.
+
+A phrase at further places than its first is a factor as a whole. So copies, however many, are
+parsed once; windows are compared by 128-bit hashes, phrases by their anchor and 64 bits.
 
 Defined cases: a null text has no words; a null id is neither smaller nor larger than another, so
 such rows stay whole and are no reference; rows with the same id and text are treated alike and
-are no reference for each other; other columns are carried along, and a column named like an
-output is replaced.
+are no reference for each other; an empty table gives no rows; other columns are carried along,
+and a column named like an output is replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, written
-from .phrases import byte_items, byte_pieces, passes, word_items, word_pieces
+from .blocks import MOST, SHARD_BYTES, WORDS, Texts, searched
+from .phrases import word_items
 
 #: Words of a gram that can be an anchor, and windows that a phrase has at most.
 GRAM, LONGEST = 8, 128
-MARK = "struct<first:int,n:int,check:boolean>"
-
-
-def phrase_table(keyed: DataFrame, width: int, gram: int, longest: int, words: bool) -> DataFrame:
-    """A row for each phrase of ``__text``: __id, __key, first, n, anchor, phrase, twice."""
-    schema = T.StructType([keyed.schema["__id"], T.StructField("__key", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("anchor", T.LongType()), T.StructField("phrase", T.LongType()), T.StructField("twice", T.BooleanType())])
-    items, pieces = (word_items, word_pieces) if words else (byte_items, byte_pieces)
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "__text", 8 << 20):
-            for rows, begins, lot in passes(texts, pieces, width):
-                found = items(lot).phrases(width, gram, longest)
-                if len(found.n):
-                    take = pa.array(rows[found.text])
-                    columns = [batch.column("__id").take(take), batch.column("__key").take(take), *(pa.array(x) for x in ((found.first + begins[found.text]).astype(np.int32), found.n.astype(np.int32), found.anchor.view(np.int64), found.phrase.view(np.int64), found.twice))]
-                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return keyed.select("__id", "__key", "__text").mapInArrow(cut, schema)
-
-
-def covered(marks: list[tuple[int, int]], width: int, size: int) -> list[tuple[int, int]]:
-    """Maximal runs of items covered by windows; marks: first window and how many."""
-    runs: list[list[int]] = []
-    for first, n in sorted(marks):
-        last = min(first + n - 1 + width, size)
-        if runs and first <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], last)
-        else:
-            runs.append([first, last])
-    return [(a, b) for a, b in runs]
-
-
-def cut_words(text: bytes, marks: list[tuple[int, int]], width: int) -> tuple[int, list[tuple[int, int]], bytes]:
-    words = text.split()
-    runs = covered(marks, width, len(words))
-    at, kept = 0, []
-    for a, b in runs:
-        kept += words[at:a]
-        at = b
-    return len(words), runs, b" ".join(kept + words[at:])
-
-
-def cut_bytes(text: bytes, marks: list[tuple[int, int]], width: int) -> tuple[int, list[tuple[int, int]], bytes]:
-    runs = covered(marks, width, len(text))
-    at, kept = 0, []
-    for a, b in runs:
-        kept.append(text[at:a])
-        at = b
-    return len(text), runs, b"".join([*kept, text[at:]])
-
-
-class Cutter:
-    """Joins marks to texts and takes covered spans out of them, in two steps where windows must be checked first."""
-
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, words: bool, digests: bool, carry: list[str] | None) -> None:
-        self.width, self.words, self.digests = width, words, digests
-        total = "n_words" if words else "n_bytes"
-        results = [total, "n_removed", "n_spans", "kept_sha256"] if digests else [total, "n_removed", "n_spans", "spans", "kept_text"]
-        self.carried = [c for c in (docs.columns if carry is None else carry) if c not in results]
-        kinds = {total: "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string", "spans": "array<struct<start:int,stop:int>>", "kept_text": "string" if words else "binary"}
-        self.added = [(c, kinds[c]) for c in results]
-        self.renamed = {c: f"__c{i}" for i, c in enumerate(self.carried)}
-        #: The texts' column: the carried one if there is one, so that no text is moved twice.
-        self.text = self.renamed.get(text_col, "__text")
-        text = F.col(f"`{text_col}`")
-        own = [] if text_col in self.renamed else [text.alias("__text")]
-        self.keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in self.renamed.items()), *own, F.col(f"`{id_col}`").alias("__id"), F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(text, F.lit(""))).alias("__key"))
-
-    def texts(self, rows: DataFrame, *more: str) -> DataFrame:
-        """__id, __key and __text of rows, and more columns."""
-        return rows.select("__id", "__key", F.col(self.text).alias("__text"), *more)
-
-    def first(self, marks: DataFrame) -> DataFrame:
-        """Results of the texts that need no check, and the texts and marks of those that do."""
-        wide = self._with(self.keyed, marks.groupBy("__id", "__key").agg(F.collect_list("mark").alias("__marks")))
-        return written(self._run(wide, final=False))
-
-    def last(self, staged: DataFrame, marks: DataFrame) -> DataFrame:
-        """All results; marks: what the check of windows found."""
-        again = self._with(staged.where("__open"), marks.groupBy("__id", "__key").agg(F.collect_list("mark").alias("__more")))
-        both = again.withColumn("__marks", F.concat("__marks", F.coalesce("__more", F.array().cast(f"array<{MARK}>")))).drop("__more")
-        done = staged.where("NOT __open").unionByName(self._run(both.drop("__open", *(c for c, _ in self.added)), final=True))
-        added = {c: F.col(c) for c, _ in self.added}
-        if "kept_text" in added and self.text != "__text":  # texts that stay whole aren't stored twice
-            whole = F.coalesce(F.col(self.text), F.lit(""))
-            added["kept_text"] = F.coalesce("kept_text", whole if self.words else whole.cast("binary"))
-        return done.select(*(F.col(n).alias(c) for c, n in self.renamed.items()), *(v.alias(c) for c, v in added.items()))
-
-    @staticmethod
-    def _with(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnsRenamed({"__id": "__rid", "__key": "__rkey"})
-        return left.join(right, (left["__key"] == right["__rkey"]) & left["__id"].eqNullSafe(right["__rid"]), "left").drop("__rid", "__rkey")
-
-    def _run(self, wide: DataFrame, final: bool) -> DataFrame:
-        width, digests, cut = self.width, self.digests, cut_words if self.words else cut_bytes
-        as_text, text_name = self.words, self.text
-        carried = list(self.renamed.values())
-        own = text_name == "__text"
-        left_over = [T.StructField("__text", T.StringType())] if own else []
-        schema = T.StructType([*(wide.schema[c] for c in carried), wide.schema["__id"], wide.schema["__key"], *(T.StructField(c, T._parse_datatype_string(kind)) for c, kind in self.added), T.StructField("__open", T.BooleanType()), *left_over, T.StructField("__marks", T._parse_datatype_string(f"array<{MARK}>"))])
-        types = {c: kind for c, kind in self.added}
-        spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        mark = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("check", pa.bool_())]))
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, texts in chunks(batches, text_name, 8 << 20):
-                rows, open_, left, rest = [], [], [], []
-                for text, marks in zip(texts, batch.column("__marks").to_pylist(), strict=True):
-                    wait = not final and any(m["check"] for m in marks or ())
-                    open_.append(wait)
-                    left.append(text.decode() if wait else None)
-                    rest.append(marks if wait else None)
-                    if wait:
-                        rows.append((None,) * len(types))
-                        continue
-                    size, runs, kept = cut(text, [(m["first"], m["n"]) for m in marks or () if not m["check"]], width)
-                    common = (size, sum(b - a for a, b in runs), len(runs))
-                    rows.append((*common, hashlib.sha256(kept).hexdigest()) if digests else (*common, [{"start": a, "stop": b} for a, b in runs], None if not own and not runs and kept == text else kept.decode() if as_text else kept))
-                kinds = [pa.int64()] * 3 + ([pa.string()] if digests else [spans, pa.string() if as_text else pa.binary()])
-                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*carried, "__id", "__key")), *columns, pa.array(open_), *([pa.array(left, pa.string())] if own else []), pa.array(rest, mark)], names=schema.names)
-
-        return wide.select(*carried, *(["__text"] if own else []), "__id", "__key", "__marks").mapInArrow(run, schema)
-
-
-def mark(check: bool) -> Column:
-    return F.struct(F.col("first"), F.col("n"), F.lit(check).alias("check")).alias("mark")
-
-
-def window_table(cutter: Cutter, staged: DataFrame, width: int, words: bool) -> DataFrame:
-    """A row for each window that waits for its check: w1 and w2 (128 bits of hash), __id, __key, first."""
-    schema = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), staged.schema["__id"], T.StructField("__key", T.LongType()), T.StructField("first", T.IntegerType())])
-    items, pieces = (word_items, word_pieces) if words else (byte_items, byte_pieces)
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "__text", 8 << 20):
-            marks = [[(m["first"], m["n"]) for m in x if m["check"]] for x in batch.column("__marks").to_pylist()]
-            for rows, begins, lot in passes(texts, pieces, width):
-                part = items(lot)
-                starts, row = [], []
-                for k, (r, at) in enumerate(zip(rows.tolist(), begins.tolist(), strict=True)):
-                    windows = int(part.end[k] - part.begin[k]) - width + 1
-                    for first, n in marks[r]:
-                        a, b = max(first - at, 0), min(first + n - at, windows)
-                        if a < b:
-                            starts.append(np.arange(a, b) + part.begin[k])
-                            row.append(np.full(b - a, k))
-                if starts:
-                    start, k = np.concatenate(starts), np.concatenate(row)
-                    take = pa.array(rows[k])
-                    one, two = part.window_hashes(start, width)
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), batch.column("__id").take(take), batch.column("__key").take(take), pa.array((start - part.begin[k] + begins[k]).astype(np.int32))], names=schema.names)
-
-    return cutter.texts(staged.where("__open"), "__marks").mapInArrow(cut, schema)
-
-
-def relative_lz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, digests: bool = False, carry: list[str] | None = None) -> DataFrame:
+
+
+def parse(segments: list[bytes], ids: np.ndarray, width: int) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
+    """Factors of segments (words joined by a space) against those with smaller ids: segment, start and windows, and the segment and place they are found at."""
+    part = word_items(segments)
+    n = part.end - part.begin - width + 1
+    base = np.cumsum(n) - n
+    seg = np.repeat(np.arange(len(n)), n)
+    one, two = part.window_hashes(np.arange(n.sum()) - base[seg] + part.begin[seg], width)
+    order = np.lexsort((ids[seg], two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+    number, entry = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new)  # equal windows have equal numbers
+    entry[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]  # the index: the window with the least id
+    hits = np.flatnonzero(ids[seg[entry]] < ids[seg])
+    stop = (base + n)[seg]
+    rows, starts, counts, sources, offsets = [], [], [], [], []
+    at = 0
+    while at < len(hits):
+        p = int(hits[at])
+        q = int(entry[p])
+        most = int(min(stop[p] - p, stop[q] - q))
+        differ = np.flatnonzero(number[p : p + most] != number[q : q + most])
+        m = int(differ[0]) if len(differ) else most
+        rows.append(int(seg[p]))
+        starts.append(p - int(base[seg[p]]))
+        counts.append(m)
+        sources.append(int(seg[q]))
+        offsets.append(q - int(base[seg[q]]))
+        at = int(np.searchsorted(hits, p + m))
+    return rows, starts, counts, sources, offsets
+
+
+def _factors(texts: DataFrame, width: int, most: int, shard_bytes: int) -> DataFrame:
+    """__id, __key, start, n (windows), block and offset of all factors."""
+    id_type = texts.schema["__id"].dataType
+    schema = T.StructType([*T._parse_datatype_string("anchor long, phrase long, later boolean").fields, T.StructField("least", id_type), *T._parse_datatype_string("start int, n int").fields, T.StructField("block", id_type), T.StructField("offset", T.IntegerType())])
+
+    def shared(phrases: DataFrame) -> DataFrame:
+        return phrases.groupBy("anchor").agg(F.min("__id").alias("a"), F.max("__id").alias("b")).where("a < b").select("anchor")
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        segments = [x.as_py() for x in batch.column("segment")]
+        ids = np.asarray(pc.rank(batch.column("least"), tiebreaker="dense")).astype(np.int64)
+        rows, starts, counts, sources, offsets = parse(segments, ids, width)
+        # places after the first one: the phrase itself is the reference
+        again = np.flatnonzero(np.asarray(pc.greater(batch.column("greatest"), batch.column("least")))).tolist()
+        later = [False] * len(rows) + [True] * len(again)
+        rows, sources = rows + again, sources + again
+        starts, offsets = starts + [0] * len(again), offsets + [0] * len(again)
+        counts = counts + [len(segments[k].split()) - width + 1 for k in again]
+        own, source = batch.take(pa.array(rows, pa.int64())), batch.take(pa.array(sources, pa.int64()))
+        offset = np.asarray(source.column("at")) + np.array(offsets, np.int32)
+        return pa.RecordBatch.from_arrays([own.column("anchor"), own.column("phrase"), pa.array(later, pa.bool_()), own.column("least"), pa.array(starts, pa.int32()), pa.array(counts, pa.int32()), source.column("least"), pa.array(offset.astype(np.int32))], names=schema.names)
+
+    found = searched(texts.where("__id IS NOT NULL"), WORDS, width, GRAM, LONGEST, shared, judge, schema, most, shard_bytes)
+    return found.where("later = (__id > least)").select("__id", "__key", (F.col("place") + F.col("start")).alias("start"), "n", "block", "offset")
+
+
+def lz_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, most: int = MOST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Factors of the documents: id, start and length (in words), block (the id whose text holds the factor) and offset there.
+
+    A factor ends where its phrase does, at the latest; the next one overlaps it by width - 1 words.
+    """
+    texts = Texts(docs, id_col, text_col, WORDS, True, [])
+    found = _factors(texts.keyed(), width, most, shard_bytes)
+    return found.select(F.col("__id").alias(id_col), "start", (F.col("n") + width - 1).alias("length"), "block", "offset").distinct()
+
+
+def relative_lz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, digests: bool = False, carry: list[str] | None = None, most: int = MOST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with the words taken out that a window of ``width`` words shared with a smaller id covers.
 
     Adds n_words, n_removed, n_spans, spans (array of start and stop, in words) and kept_text, or
-    with ``digests`` kept_sha256 instead of the last two. carry: the columns of ``docs`` to keep (all).
+    with ``digests`` kept_sha256 instead of the last two. carry: the columns of ``docs`` to keep
+    (all). Blocks of more than ``most`` phrases are cut anew, ``shard_bytes`` are parsed together.
     """
-    cutter = Cutter(docs, id_col, text_col, width, True, digests, carry)
-    gram = min(GRAM, width)
-    phrases = written(phrase_table(cutter.texts(cutter.keyed.where("__id IS NOT NULL")), width, gram, LONGEST, True).drop("twice"))
-    blocks = phrases.groupBy("anchor").agg(F.min("__id").alias("least"), F.max("__id").alias("most"), F.min("phrase").alias("a"), F.max("phrase").alias("b")).where("least < most")
-    known = written(phrases.join(blocks.select("anchor", "least", (F.col("a") == F.col("b")).alias("alone")), "anchor").where("NOT alone OR __id > least"))
-    several = known.where("NOT alone")
-    entries = several.groupBy("anchor", "phrase").agg(F.min("__id").alias("entry"))
-    parsed = several.join(entries, ["anchor", "phrase"])
-    factors = known.where("alone").select("__id", "__key", mark(False)).unionByName(parsed.where("__id > entry").select("__id", "__key", mark(False)))
-    boundaries = parsed.where("__id = entry").select("__id", "__key", mark(True))
-    staged = cutter.first(factors.unionByName(boundaries))
-    windows = window_table(cutter, staged, width, True)
-    shared = windows.groupBy("w1", "w2").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most").drop("most")
-    found = windows.join(shared, ["w1", "w2"]).where("__id > least").withColumn("n", F.lit(1)).select("__id", "__key", mark(False))
-    return cutter.last(staged, found)
+    texts = Texts(docs, id_col, text_col, WORDS, digests, carry)
+    return texts.cut(_factors(texts.keyed(), width, most, shard_bytes).select("__id", "__key", F.col("start").alias("first"), "n"), width)

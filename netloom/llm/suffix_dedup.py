@@ -1,93 +1,29 @@
 """Removal of byte strings that also start anywhere else, by suffix arrays.
 
-Texts are cut into content-defined phrases. Phrases that stand alone under their anchor can't
-hold a repeated string; copies of one phrase are counted, not moved. The rest, one copy of each,
-is dealt out by anchor, so that all that can be equal comes together, and every task sorts the
-suffixes of its share by inducing (see induced.py), a shard at a time. A string is repeated if
-its suffix shares ``width`` bytes with a neighbour in the suffix array.
-
-An anchor with more than ``MOST`` different phrases (a passage with ever different surroundings)
-isn't given to one task: its strings are compared as 128-bit hashes, by an aggregate that
-combines before the shuffle.
+Texts are cut into content-defined phrases, dealt out in blocks (see blocks.py), so that all
+strings of ``width`` bytes that can be equal come together. Every task sorts the suffixes of its
+blocks by inducing (see induced.py), a shard at a time: one copy of each different phrase, and a
+second one of a phrase that stands at several places. A string is repeated if its suffix shares
+``width`` bytes with a neighbour in the suffix array.
 
 Defined cases: a null text is empty; every row counts, so repeated rows are removed in both
-places, whatever their ids, null ones included; other columns are carried along, and a column
-named like an output is replaced.
+places, whatever their ids, null ones included; an empty table gives no rows; other columns are
+carried along, and a column named like an output is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, written
+from .blocks import BYTES, MOST, SHARD_BYTES, Texts, searched
 from .induced import repeated_windows
-from .relative_lz import Cutter, mark, phrase_table, window_table
 
 #: Bytes of a gram that can be an anchor, and windows that a phrase has at most.
 GRAM, LONGEST = 32, 1024
-#: Different phrases of an anchor that one task takes, and bytes of a shard whose suffixes are sorted together.
-MOST, SHARD_BYTES = 1500, 1 << 20
-
-
-def segment_table(cutter: Cutter, staged: DataFrame, picked: DataFrame, width: int) -> DataFrame:
-    """A row for each picked phrase: anchor, __id, __key, first, n and the bytes that its windows cover."""
-    schema = T.StructType([T.StructField("anchor", T.LongType()), staged.schema["__id"], T.StructField("__key", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("segment", T.BinaryType())])
-    wide = Cutter._with(cutter.texts(staged.where("__open")), picked.groupBy("__id", "__key").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("__picked"))).where("__picked IS NOT NULL")
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "__text", 4 << 20):
-            anchors, rows, firsts, parts = [], [], [], []
-            for row, (text, picks) in enumerate(zip(texts, batch.column("__picked").to_pylist(), strict=True)):
-                for p in picks:
-                    anchors.append(p["anchor"])
-                    rows.append(row)
-                    firsts.append(p["first"])
-                    parts.append(text[p["first"] : p["first"] + p["n"] - 1 + width])
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), batch.column("__id").take(take), batch.column("__key").take(take), pa.array(firsts, pa.int32()), pa.array(parts, pa.binary())], names=schema.names)
-
-    return wide.mapInArrow(cut, schema)
-
-
-def sorted_shards(segments: DataFrame, width: int, shard_bytes: int) -> DataFrame:
-    """Runs of windows (__id, __key, first, n) that are repeated among the segments of their anchor."""
-    schema = T.StructType([segments.schema["__id"], T.StructField("__key", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())])
-
-    def runs(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, firsts, counts = [], [], []
-        found = repeated_windows([x.as_py() for x in batch.column("segment")], width)
-        for row, (first, twice) in enumerate(zip(batch.column("first").to_pylist(), found, strict=True)):
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], twice.astype(np.int8), [0]])))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                rows.append(row)
-                firsts.append(first + a)
-                counts.append(b - a)
-        take = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("__id").take(take), batch.column("__key").take(take), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32())], names=schema.names)
-
-    def sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # begins with an anchor's first segment
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            while held.num_rows:
-                sizes = np.cumsum(np.asarray(pa.compute.binary_length(held.column("segment"))))
-                anchors = np.asarray(held.column("anchor"))
-                edges = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
-                full = edges[sizes[edges - 1] >= shard_bytes]
-                if not len(full):
-                    break
-                yield runs(held.slice(0, int(full[0])).combine_chunks().to_batches()[0])
-                held = held.slice(int(full[0]))
-        if held is not None and held.num_rows:
-            yield runs(held.combine_chunks().to_batches()[0])
-
-    return segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, schema)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, digests: bool = False, carry: list[str] | None = None, most: int = MOST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -95,23 +31,27 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Adds n_bytes, n_removed, n_spans, spans (array of start and stop, in bytes) and kept_text
     (binary), or with ``digests`` kept_sha256 instead of the last two. carry: the columns of
-    ``docs`` to keep (all). width: 8 or more.
+    ``docs`` to keep (all). width: 8 or more. Blocks of more than ``most`` phrases are cut anew,
+    ``shard_bytes`` are sorted together.
     """
-    cutter = Cutter(docs, id_col, text_col, width, False, digests, carry)
-    phrases = written(phrase_table(cutter.texts(cutter.keyed), width, max(min(GRAM, width // 2), 8), LONGEST, False))
-    blocks = phrases.groupBy("anchor").agg(F.count("*").alias("n_block"), F.max("twice").alias("any_twice")).where("n_block > 1 OR any_twice").select("anchor")
-    known = written(phrases.join(blocks, "anchor"))
-    entries = known.groupBy("anchor", "phrase").agg(F.count("*").alias("copies"), F.max("twice").alias("twice"), F.min(F.struct("__key", "__id", "first", "n")).alias("one"))
-    entries = written(entries)
-    different = entries.groupBy("anchor").agg(F.count("*").alias("different"), F.max("twice").alias("any_twice"))
-    whole = known.join(entries.where("copies > 1").select("anchor", "phrase"), ["anchor", "phrase"]).select("__id", "__key", mark(False))
-    open_ = entries.join(different.where("different > 1 OR any_twice").select("anchor", "different"), "anchor").select("anchor", "different", "one.*")
-    hot = F.col("different") > most
-    picked = open_.where(~hot)
-    waiting = picked.select("__id", "__key", "first", F.lit(0).alias("n")).select("__id", "__key", mark(True))
-    staged = cutter.first(whole.unionByName(waiting).unionByName(open_.where(hot).select("__id", "__key", mark(True))))
-    found = sorted_shards(segment_table(cutter, staged, picked, width), width, shard_bytes).select("__id", "__key", mark(False))
-    windows = window_table(cutter, staged, width, False)
-    shared = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    by_hash = windows.join(shared, ["w1", "w2"]).withColumn("n", F.lit(1)).select("__id", "__key", mark(False))
-    return cutter.last(staged, found.unionByName(by_hash))
+    texts = Texts(docs, id_col, text_col, BYTES, digests, carry)
+    schema = T._parse_datatype_string("anchor long, phrase long, start int, n int")
+
+    def shared(phrases: DataFrame) -> DataFrame:
+        return phrases.groupBy("anchor").agg(F.count("*").alias("a"), F.max("twice").alias("b")).where("a > 1 OR b").select("anchor")
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, starts, counts = [], [], []
+        segments = [x.as_py() for x in batch.column("segment")]
+        copies = np.flatnonzero(np.asarray(batch.column("copies")) > 1).tolist()
+        found = repeated_windows(segments + [segments[k] for k in copies], width)
+        for row, twice in enumerate(found[: len(segments)]):
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], twice.astype(np.int8), [0]])))
+            rows += [row] * (len(edges) // 2)
+            starts += edges[::2].tolist()
+            counts += (edges[1::2] - edges[::2]).tolist()
+        take = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("anchor").take(take), batch.column("phrase").take(take), pa.array(starts, pa.int32()), pa.array(counts, pa.int32())], names=schema.names)
+
+    found = searched(texts.keyed(), BYTES, width, max(min(GRAM, width // 2), 8), LONGEST, shared, judge, schema, most, shard_bytes)
+    return texts.cut(found.select("__id", "__key", (F.col("place") + F.col("start")).alias("first"), "n"), width)

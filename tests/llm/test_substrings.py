@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from netloom.llm.induced import permuted_common_prefixes, repeated_windows, suffix_array
-from netloom.llm.relative_lz import relative_lz
+from netloom.llm.relative_lz import lz_factors, relative_lz
 from netloom.llm.suffix_dedup import suffix_dedup
 
 
@@ -62,11 +62,11 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_relative_lz_matches_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "most"), [(1, 1500), (2, 1)])
+def test_relative_lz_matches_brute_force(spark, seed, most):
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, anchor string, n int").repartition(3)
-    out = relative_lz(df, width=10, digests=True)
+    out = relative_lz(df, width=10, digests=True, most=most, shard_bytes=500)
     assert out.columns == ["doc_id", "text", "anchor", "n", "n_words", "n_removed", "n_spans", "kept_sha256"]
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()) == brute_words(rows, 10)
 
@@ -116,3 +116,70 @@ def test_repeated_windows():
         parts = [bytes(r.choice(b"ab\0") for _ in range(r.randint(0, 30))) for _ in range(r.randint(1, 5))]
         seen = Counter(p[i : i + 4] for p in parts for i in range(len(p) - 3))
         assert [x.tolist() for x in repeated_windows(parts, 4)] == [[seen[p[i : i + 4]] > 1 for i in range(len(p) - 3)] for p in parts]
+
+
+def random_words(r, n):
+    return ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("most", [1500, 1])
+def test_factors(spark, most):
+    """Every factor stands in its block, with a smaller id, and can't go on there within its phrase; together they cover what a search by hand finds."""
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append((t or "").split())
+    found = lz_factors(df, width=10, most=most, shard_bytes=500).collect()
+    assert found
+    for f in found:
+        assert f.block < f.doc_id and f.length >= 10
+        own = [w[f.start : f.start + f.length] for w in texts[f.doc_id]]
+        assert any(w == b[f.offset : f.offset + f.length] and len(w) == f.length for w in own for b in texts[f.block])
+    assert max(f.length for f in found) > 10
+
+
+def test_a_passage_with_many_surroundings(spark):
+    """One passage just under the width in over 1500 different texts, and just over it in two: its blocks are cut anew."""
+    r = random.Random(8)
+    words, own = random_words(r, 49), [random_words(r, 70) for _ in range(1700)]
+    passage = " ".join(words)
+    texts = [" ".join(w[:35]) + " " + passage + " " + " ".join(w[35:]) for w in own]
+    texts += [f"start {passage} goes on {own[0][0]}", f"other {passage} goes on"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = relative_lz(df, digests=True)
+    assert Counter((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in out.collect()) == brute_words(rows, 50)
+    width = len(passage.encode()) + 3
+    out = suffix_dedup(df, width=width, digests=True)
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in out.collect()) == brute_bytes(rows, width)
+
+
+def test_rows_that_agree(spark):
+    """2000 equal rows, with one id, with none, and with an id each."""
+    r = random.Random(9)
+    text, other = " ".join(random_words(r, 600)), " ".join(random_words(r, 600))
+    rows = [(7, text)] * 2000 + [(None, other)] * 2000 + [(k, other) for k in range(100, 110)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = Counter((x.doc_id, x.n_removed) for x in relative_lz(df, digests=True).collect())
+    assert found == {(7, 0): 2000, (None, 0): 2000, (100, 0): 1} | {(k, 600): 1 for k in range(101, 110)}
+    gone = {7: len(text), None: len(other)} | {k: len(other) for k in range(100, 110)}
+    found = Counter((x.doc_id, x.n_removed) for x in suffix_dedup(df, digests=True).collect())
+    assert found == {(7, gone[7]): 2000, (None, gone[None]): 2000} | {(k, gone[k]): 1 for k in range(100, 110)}
+
+
+def test_texts_over_a_mebibyte(spark):
+    r = random.Random(10)
+    words = random_words(r, 220_000)
+    copy = words[130_000:130_300]
+    words[150_000:150_000] = copy  # within the text, on both sides of a cut
+    text = " ".join(words)
+    assert len(text) > 1 << 20
+    rows = [(1, text), (2, " ".join(["x", *copy, "y"])), (3, None), (4, "a" * 1_200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: x for x in relative_lz(df, digests=True).collect()}
+    assert {k: x.n_removed for k, x in found.items()} == {1: 0, 2: 300, 3: 0, 4: 0} and found[1].n_words == 220_300
+    found = {x.doc_id: x for x in suffix_dedup(df, digests=True).collect()}
+    size = len(" ".join(copy))
+    assert found[4].n_removed == 1_200_000 and found[3].n_removed == 0
+    assert 2 * size <= found[1].n_removed <= 2 * size + 8 and size <= found[2].n_removed <= size + 2 and found[1].n_spans == 2
