@@ -2,9 +2,10 @@
 
 Texts are cut into content-defined phrases, dealt out in blocks (see blocks.py), so that all
 strings of ``width`` bytes that can be equal come together. Every task sorts the suffixes of its
-blocks by inducing (see induced.py), a shard at a time: one copy of each different phrase, and a
-second one of a phrase that stands at several places. A string is repeated if its suffix shares
-``width`` bytes with a neighbour in the suffix array.
+blocks by inducing (see induced.py), a shard at a time: one copy of each different phrase. A
+suffix of a phrase that stands at several places is one entry of the array with a count, as all
+its copies would be neighbours. A string is repeated if its suffix shares ``width`` bytes with a
+neighbour in the suffix array, or is counted more than once.
 
 Defined cases: a null text is empty; every row counts, so repeated rows are removed in both
 places, whatever their ids, null ones included; an empty table gives no rows; other columns are
@@ -43,9 +44,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, starts, counts = [], [], []
         segments = [x.as_py() for x in batch.column("segment")]
-        copies = np.flatnonzero(np.asarray(batch.column("copies")) > 1).tolist()
-        found = repeated_windows(segments + [segments[k] for k in copies], width)
-        for row, twice in enumerate(found[: len(segments)]):
+        copies = batch.column("copies").to_pylist()
+        for row, (twice, n) in enumerate(zip(repeated_windows(segments, width), copies, strict=True)):
+            twice = twice if n == 1 else np.ones_like(twice)
             edges = np.flatnonzero(np.diff(np.concatenate([[0], twice.astype(np.int8), [0]])))
             rows += [row] * (len(edges) // 2)
             starts += edges[::2].tolist()
