@@ -1,5 +1,6 @@
 """BPE and length histograms against the tiktoken library."""
 
+import base64
 import hashlib
 import random
 from collections import Counter
@@ -29,8 +30,32 @@ def test_encoder_agrees_with_tiktoken(monkeypatch, entries):
     encoder = bpe.Encoder(DATA, P.PATTERN)
     for part in (texts()[:50], texts()[50:], texts()[:30]):
         for text, (ids, decoded) in zip(part, encoder.encode(part), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode_ordinary(text), text
-            assert decoded == text.encode()
+            assert ids.tolist() == LIBRARY.encode_ordinary(text), text
+            assert decoded.tobytes() == text.encode()
+
+
+def test_long_matches():
+    """Runs of letters of up to a megabyte: at random, of one letter, in periods, in a script without spaces."""
+    r = random.Random(3)
+    runs = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (255, 257, 300, 5000, 1_000_000)]
+    runs += ["a" * 1_000_000, "abcdefg" * 9000, "the" * 20_000, "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(30_000)), "".join(r.choice("ab") for _ in range(50_000)), "é" * 999]
+    encoder = bpe.Encoder(DATA, P.PATTERN)
+    for text, (ids, decoded) in zip(runs, encoder.encode(runs), strict=True):
+        assert ids.tolist() == LIBRARY.encode_ordinary(text), text[:20]
+        assert decoded.tobytes() == text.encode()
+
+
+def test_vocabulary_with_smaller_ranks_after_larger_ones():
+    """Tokens whose parts have larger ranks than they: contraction must stay in the library's order."""
+    r = random.Random(4)
+    for _ in range(20):
+        tokens = {bytes([i]) for i in range(256)} | {bytes(r.choice(b"abc") for _ in range(r.randint(2, 5))) for _ in range(25)}
+        order = sorted(tokens, key=lambda t: r.random())
+        data = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(order))
+        library = tiktoken.Encoding("odd", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(data), special_tokens={})
+        words = ["".join(r.choice("abc") for _ in range(n)) for n in (*range(1, 40), 400, 900)]
+        for text, (ids, decoded) in zip(words, bpe.Encoder(data, P.PATTERN).encode(words), strict=True):
+            assert ids.tolist() == library.encode_ordinary(text) and decoded.tobytes() == text.encode()
 
 
 def test_query_columns(spark):
