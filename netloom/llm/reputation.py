@@ -1,10 +1,13 @@
 """URL rules, and host reputation by empirical Bayes.
 
 A page's url is judged by the longest rule that fits it, or else by its host's reputation: labelled
-page outcomes (1: bad) are shrunk through beta-binomial priors. The suffix (last label) is shrunk
-towards all pages, the registered domain (last two labels) towards its suffix, the host towards
-its domain. Each level's prior strength is estimated by moments over that level's groups. A page is
-blocked if the lower posterior bound of its host's bad share, mean - Z deviations, is above LIMIT.
+page outcomes (1: bad) are shrunk through beta-binomial priors. The suffix (last label, or the last
+two where a country's registry sells names below a second label, as in co.uk) is shrunk towards
+all pages, the registered domain (suffix and one more label) towards its suffix, the host towards
+its domain. Each level's prior strength is estimated by moments over that level's groups, and is at
+most that of 1 / LEAST_RHO - 1 outcomes, so a host with many outcomes of its own is judged by them.
+A page is blocked if the lower posterior bound of its host's bad share, mean - Z deviations, is
+above the bad share of all labelled pages (or a given limit): its host is worse than the corpus.
 
 All of it is DataFrame functions. Outcomes are aggregated before any shuffle, and pages meet
 their host's row in an ordinary join, which Spark broadcasts or splits by size at run time.
@@ -24,9 +27,12 @@ from .common import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Deviations below the mean, the bad share that the bound must exceed, and limits of a level's correlation.
-Z, LIMIT = 1.645, 0.5
-LEAST_RHO, MOST_RHO = 1e-4, 0.9
+#: Deviations below the mean (90 % of a normal posterior lie above), and limits of a level's correlation.
+Z = 1.2816
+LEAST_RHO, MOST_RHO = 0.1, 0.9
+#: Second labels under which country registries sell names (fixed values).
+SECOND = "ac co com edu gob gov go mil ne net nom or org".split()
+TWO = rf"(^|\.)({'|'.join(SECOND)})\.[a-z][a-z]$"
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -46,11 +52,11 @@ def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
 
 
 def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    return F.when(F.rlike(host, F.lit(TWO)), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    return F.when(F.rlike(host, F.lit(TWO)), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
 def _strength(groups: DataFrame) -> float:
@@ -73,7 +79,7 @@ def _shrink(groups: DataFrame, strength: float) -> DataFrame:
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """Posterior of each host: host, n, k, mean, deviation; from rows of host and bad (0, 1 or null)."""
+    """Posterior of each host: host, n, k, mean, deviation, and share (bad ones of all pages); from rows of host and bad (0, 1 or null)."""
     hosts = written(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k")).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
     domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
     suffixes = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
@@ -83,13 +89,13 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     domains = domains.join(suffixes.select("suffix", F.col("mean").alias("m")), "suffix")
     domains = _shrink(domains, _strength(domains))
     hosts = hosts.join(domains.select("domain", F.col("mean").alias("m")), "domain")
-    return _shrink(hosts, _strength(hosts)).select("host", "n", "k", "mean", "deviation")
+    return _shrink(hosts, _strength(hosts)).select("host", "n", "k", "mean", "deviation", F.lit((k + 0.5) / (n + 1)).alias("share"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", z: float = Z, limit: float = LIMIT, rules: tuple[tuple[str, str, str], ...] = RULES, carry: list[str] | None = None) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", z: float = Z, limit: float | None = None, rules: tuple[tuple[str, str, str], ...] = RULES, carry: list[str] | None = None) -> DataFrame:
     """``pages`` with host, path, rule, verdict and bad_bound (the lower posterior bound).
 
-    labels: page_id and bad (0 or 1). carry: the columns of ``pages`` to keep (all); columns named like an output are replaced.
+    labels: page_id and bad (0 or 1). limit: the bad share that the bound must exceed (that of all pages). carry: the columns of ``pages`` to keep (all); columns named like an output are replaced.
     """
     outputs = {"host", "path", "rule", "verdict", "bad_bound"}
     carried = [c for c in (pages.columns if carry is None else carry) if c not in outputs]
@@ -98,9 +104,9 @@ def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", ur
     rows = pages.select(*(F.col(f"`{c}`").alias(n) for c, n in renamed.items()), F.col(f"`{id_col}`").alias("__id"), host.alias("host"), path.alias("path"))
     bad = labels.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     outcomes = rows.select("__id", "host").join(bad, F.col("__id") == F.col("page_id"), "left").select("host", F.col("bad").cast("long").alias("bad"))
-    known = host_reputation(outcomes).select(F.col("host").alias("__host"), F.greatest(F.col("mean") - z * F.col("deviation"), F.lit(0.0)).alias("bad_bound"))
+    known = host_reputation(outcomes).select(F.col("host").alias("__host"), F.greatest(F.col("mean") - z * F.col("deviation"), F.lit(0.0)).alias("bad_bound"), (F.col("share") if limit is None else F.lit(limit)).alias("__limit"))
     out = rows.join(known, rows["host"] == F.col("__host"), "left").withColumn("__rule", matching_rule(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("bad_bound") > limit, "block").otherwise("allow"))
+    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("bad_bound") > F.col("__limit"), "block").otherwise("allow"))
     return out.select(*(F.col(n).alias(c) for c, n in renamed.items()), "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), "bad_bound")
 
 
@@ -120,15 +126,16 @@ WITH split AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url,
 parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM split),
 bad AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, n, k
-    FROM (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM parts LEFT JOIN bad ON page_id = doc_id GROUP BY host)),
+hosts AS (SELECT host, array_to_string(string_split(host, '.')[CASE WHEN two THEN -3 ELSE -2 END:], '.') AS domain, array_to_string(string_split(host, '.')[CASE WHEN two THEN -2 ELSE -1 END:], '.') AS suffix, n, k
+    FROM (SELECT host, regexp_matches(host, '{TWO}') AS two, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM parts LEFT JOIN bad ON page_id = doc_id GROUP BY host)),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
-top AS (SELECT suffix, n, k, (SELECT (sum(k) + 0.5) / (sum(n) + 1) FROM suffixes) AS m FROM suffixes),{level("top", "top")},
+total AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS share FROM suffixes),
+top AS (SELECT suffix, n, k, share AS m FROM suffixes, total),{level("top", "top")},
 middle AS (SELECT domains.*, top_p.mean AS m FROM domains JOIN top_p USING (suffix)),{level("middle", "middle")},
 low AS (SELECT hosts.*, middle_p.mean AS m FROM hosts JOIN middle_p USING (domain)),{level("low", "low")},
 ruled AS (SELECT page_id, host, path, CASE {when} END AS rule FROM parts)
 SELECT page_id, ruled.host AS host, path, rule,
-    CASE rule {verdicts} ELSE CASE WHEN mean - {Z} * deviation > {LIMIT} THEN 'block' ELSE 'allow' END END AS verdict
-FROM ruled JOIN low_p ON low_p.host = ruled.host
+    CASE rule {verdicts} ELSE CASE WHEN mean - {Z} * deviation > share THEN 'block' ELSE 'allow' END END AS verdict
+FROM total, ruled JOIN low_p ON low_p.host = ruled.host
 """

@@ -64,3 +64,18 @@ def test_reputation_matches_sql(spark, empty):
     if not empty:
         verdict = {r.host: r.verdict for r in out.collect() if r.rule is None}
         assert verdict["bad.evil.org"] == "block" and verdict["good.site.org"] == "allow"
+
+
+def test_suffixes_below_a_second_label(spark):
+    from netloom.llm.reputation import domain_of, suffix_of
+
+    hosts = {"a.co.uk": ("a.co.uk", "co.uk"), "x.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "www.c.de": ("c.de", "de"), "co.com": ("co.com", "com"), "d.taco.uk": ("taco.uk", "uk"), "": ("", ""), "localhost": ("localhost", "localhost")}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    assert {r.h: (r.d, r.s) for r in df.select("h", domain_of(df["h"]).alias("d"), suffix_of(df["h"]).alias("s")).collect()} == hosts
+
+
+def test_reputation_decides_pages_of_the_tables(spark):
+    from netloom.llm.queries import op6_url_reputation
+
+    found = {r.verdict: r["count"] for r in op6_url_reputation(spark, "/root/testdata/sf0.1").where("rule IS NULL").groupBy("verdict").count().collect()}
+    assert found["block"] > 0 and found["allow"] > found["block"]
