@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Words are runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,6 +51,23 @@ def drop_written(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of one window of running sums.
+SPAN = 4096
+
+
+def sums_before(counts: DataFrame, key: str, at: str, n: str) -> DataFrame:
+    """``counts`` (key without nulls, at: distinct whole numbers of it, n) with ``before``, the sum of n at smaller ``at`` of the key.
+
+    Two levels of windows, within SPAN numbers and over such spans.
+    """
+    spans = counts.withColumn("__span", F.floor(F.col(at) / SPAN))
+    sums = spans.groupBy(key, "__span").agg(F.sum(n).alias("__n"))
+    earlier = lambda w, order: w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    above = sums.select(key, "__span", F.coalesce(F.sum("__n").over(earlier(Window.partitionBy(key), "__span")), F.lit(0)).alias("__above"))
+    within = F.coalesce(F.sum(n).over(earlier(Window.partitionBy(key, "__span"), at)), F.lit(0))
+    return spans.withColumn("__within", within).join(above, [key, "__span"]).withColumn("before", F.col("__above") + F.col("__within")).drop("__span", "__within", "__above")
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of record batches whose texts make up about ``limit`` bytes, with the texts as UTF-8 (null: empty)."""
     for batch in batches:

@@ -5,24 +5,25 @@ over the bits of a key; a round counts exactly how many bytes and rows lie below
 all partitions. A splitter whose nearest probe is within tolerance is settled; the others are
 looked for among finer probes inside the one interval that holds them, and inside a single heavy
 key among the next key's bits. Only counts of probes reach the driver: at most PROBES for each
-open splitter and round. As the counts below the splitters are exact, the exchange can also number
-the rows of a shard without gaps while each task sorts only a small range of it.
+open splitter and round. The last key is a row number, so no group of equal rows is too heavy to
+be split. Then all rows go to their place in one exchange by shard and keys, in as many ranges as
+their bytes ask for, and slots follow from a row's place in its range and the counts of ranges.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sums_before, written
 
 #: Bits of a round's probes.
 BITS = 12
 PROBES = 1 << BITS
-#: Bytes that a range sorted by one task has about, and ranges there are at most.
-RANGE_BYTES, RANGES = 16 << 20, 1024
+#: Bytes that a range sorted by one task has about.
+RANGE_BYTES = 64 << 20
 SIGN = -(1 << 63)
 
 
@@ -141,40 +142,44 @@ def _beyond(keys: list[str], bound: tuple[int, ...]) -> Column:
 def histogram_sort(df: DataFrame, keys: list[str], size: str, n_shards: int = 8, tolerance: float = 0.002) -> DataFrame:
     """``df`` with ``shard`` (0 to n_shards - 1, in key order, near equal sums of ``size``) and ``slot`` (gapless from 0 in key order).
 
-    keys: long columns without nulls. tolerance: of a shard's even share, for each splitter. Rows
-    that agree in all keys lie in one shard; with equal first keys they part only where a shard
-    would miss the tolerance otherwise. Sizes are non-negative. An empty table gives no rows.
+    keys: long columns without nulls. tolerance: of a shard's even share, for each splitter; it is
+    met unless a single row is heavier. Rows with equal first keys part only where a shard would
+    miss the tolerance otherwise; rows that agree in all keys go by an arbitrary row number. Sizes
+    are non-negative. An empty table gives no rows.
     """
-    narrow = written(df.select(*keys, F.col(size).cast("long").alias("__size")))
+    rows = written(df.withColumn("__row", F.monotonically_increasing_id()))
+    keys = [*keys, "__row"]
+    narrow = rows.select(*keys, F.col(size).cast("long").alias("__size"))
     total = narrow.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
-    fine = max(1, min(-(-total // n_shards // RANGE_BYTES), RANGES // n_shards))
-    n = n_shards * fine
     share = total / n_shards
-    targets = [(total * j // n, int(share * tolerance) if j % fine == 0 else int(share / fine)) for j in range(1, n)]
-    splitters = find_splitters(narrow, keys, "__size", targets)
     merged: list[Splitter] = []  # a splitter is never left of the one before it
-    for s in splitters:
+    for s in find_splitters(narrow, keys, "__size", [(total * j // n_shards, int(share * tolerance)) for j in range(1, n_shards)]):
         merged.append(merged[-1] if merged and (s.below_rows, s.below_bytes) < (merged[-1].below_rows, merged[-1].below_bytes) else s)
-    ranges = F.aggregate(F.array(*(_beyond(keys, s.bound) for s in merged)), F.lit(0), lambda a, x: a + x.cast("int")) if merged else F.lit(0)
-    before = [0, *(s.below_rows for s in merged)]
-    offset = F.element_at(F.array(*(F.lit(before[j] - before[j - j % fine]).cast("long") for j in range(n))), F.col("__range") + 1)
-    order = Window.partitionBy("__range").orderBy(*keys)
-    placed = df.withColumn("__range", ranges).withColumn("__row", F.row_number().over(order))
-    return placed.withColumn("shard", F.floor(F.col("__range") / fine).cast("int")).withColumn("slot", offset + F.col("__row") - 1).drop("__range", "__row")
+    shard = sum((_beyond(keys, s.bound).cast("int") for s in merged), F.lit(0))
+    ranges = max(-(-total // RANGE_BYTES), 2 * n_shards)
+    sorted_ = rows.withColumn("shard", shard).repartitionByRange(ranges, "shard", *keys).sortWithinPartitions("shard", *keys)
+    # a row's number has its range's number in the high bits and its place there in the low 33
+    placed = written(sorted_.drop("__row").withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33).alias("__part")
+    counts = placed.groupBy("shard", part).agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
+    before = sums_before(counts, "shard", "__part", "n").select("shard", "__part", "__first", "before")
+    slot = F.col("before") + F.col("__at") - F.col("__first")
+    return placed.withColumn("__part", part).join(before, ["shard", "__part"]).withColumn("slot", slot).select(*df.columns, "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 8, tolerance: float = 0.002, carry: list[str] | None = None) -> DataFrame:
     """``docs`` dealt into shards of near equal bytes, equal texts side by side.
 
-    Adds size (UTF-8 bytes of the text plus 1; null: 1), text_crc32 (null for a null text), shard
-    and slot; columns with these names are replaced. The keys are a hash of the text, then the
-    id (null first): equal texts share a shard unless their group is heavier than the tolerance.
-    Rows with equal text and id can't be told apart by the keys and share a shard.
+    Adds size (UTF-8 bytes of the text plus 1), text_crc32 (of these bytes), shard and slot; columns
+    with these names are replaced. A null text has no bytes: size 1, crc 0. The keys are a hash of
+    the text, then the id (null first): equal texts share a shard unless their group is heavier
+    than the tolerance. Rows with equal text and id are told apart by an arbitrary row number.
     """
     added = {"size", "text_crc32", "shard", "slot"}
     carried = [c for c in (docs.columns if carry is None else carry) if c not in added]
     renamed = {c: f"__c{i}" for i, c in enumerate(carried)}
     text = F.col(f"`{text_col}`")
-    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in renamed.items()), F.xxhash64(text).alias("__k1"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(SIGN)).alias("__k2"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    crc = F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32")
+    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in renamed.items()), F.xxhash64(text).alias("__k1"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(SIGN)).alias("__k2"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), crc)
     placed = histogram_sort(keyed, ["__k1", "__k2"], "size", n_shards, tolerance)
     return placed.select(*(F.col(n).alias(c) for c, n in renamed.items()), "size", "text_crc32", "shard", "slot")

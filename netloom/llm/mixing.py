@@ -9,9 +9,10 @@ round again where a source is taken more than once, up to ``most`` times.
 Targets: sources by code point, null last, take the weights in turn and share all words by them;
 a target stops at ``most`` times the source's words, and the excess is shared again by weight.
 
-Ranks and stream positions are prefix sums in two levels: within a stretch of slots, or a part of
-a source's hash range, by a window; over the parts by a window over their counts. So a hot source
-is many small groups, and no task holds a source.
+Ranks and stream positions are prefix sums: within a stretch of slots, or a part of a source's
+hash range, by a window; over the parts by windows over their counts. So a hot source is many
+small groups, and no task holds a source. Words are counted once: the rows are written with their
+sizes, all that follows moves narrow rows, and texts are joined to what is taken of them at the end.
 
 Defined cases: null or empty texts have size 0 and are never taken; null sources are one source;
 rows that agree in all columns are separate documents of equal standing; reruns agree up to such
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, sums_before, written
 
 #: Words of a block, slots of a stretch, and documents of a part of a source's stream (about).
 BLOCK, STRETCH, PART = 128, 8192, 2048
@@ -66,7 +67,7 @@ def schedule(spark_sources: DataFrame, n_slots: int) -> DataFrame:
     points = spark.range(n_slots).select(F.col("id").alias("slot"), ((F.col("id").bitwiseAND(F.lit((1 << 31) - 1)) * F.lit(GOLDEN)).bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(1 << 32)).alias("u"))
     slots = points.withColumn("cell", F.floor(F.col("u") * CELLS)).join(cells, "cell").where("low <= u AND u < high").select("slot", "sid", F.floor(F.col("slot") / STRETCH).alias("stretch"))
     counts = slots.groupBy("sid", "stretch").agg(F.count("*").alias("n"))
-    before = counts.select("sid", "stretch", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = sums_before(counts, "sid", "stretch", "n").select("sid", "stretch", "before")
     ranked = slots.withColumn("at", F.row_number().over(Window.partitionBy("sid", "stretch").orderBy("slot")) - 1)
     return ranked.join(before, ["sid", "stretch"]).select("slot", "sid", (F.col("before") + F.col("at")).alias("rank"))
 
@@ -85,7 +86,9 @@ class Mix:
         self.renamed = {c: f"__c{i}" for i, c in enumerate(carried)}
         id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
         rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in self.renamed.items()), F.col(f"`{source_col}`").alias("__source"), id_.alias("__id"), F.xxhash64(F.lit(seed), id_, text).alias("__h"), word_count(text).alias("size"))
-        narrow = written(rows.select("__source", "__h", "size"))
+        #: The documents with their sizes and a number for each.
+        self.rows = written(rows.withColumn("__row", F.monotonically_increasing_id()))
+        narrow = self.rows.select("__row", "__source", "__h", "__id", "size")
         total, n = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
         totals = narrow.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"))
         self.sources = written(source_targets(totals, weights, most))
@@ -93,14 +96,13 @@ class Mix:
         parts = 1 << max(0, (n // PART).bit_length())
         part = F.floor((F.col("__h").cast("double") + float(1 << 63)) / float(1 << 64) * (1 - 2**-40) * parts)
         sizes = self.sources.select(F.col("source").alias("__s"), "sid", "source_size", "target")
-        counts = narrow.groupBy("__source", part.alias("__part")).agg(F.sum("size").alias("n"))
-        before = counts.select(F.col("__source").alias("__bs"), F.col("__part").alias("__bp"), F.coalesce(F.sum("n").over(Window.partitionBy("__source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-        order = Window.partitionBy("__source", "__part").orderBy("__h", "__id").rowsBetween(Window.unboundedPreceding, 0)
-        placed = rows.withColumn("__part", part).withColumn("__end", F.sum("size").over(order))
-        placed = placed.join(before, placed["__source"].eqNullSafe(F.col("__bs")) & (F.col("__part") == F.col("__bp")))
-        placed = placed.join(sizes, placed["__source"].eqNullSafe(F.col("__s")))
-        #: Each document with its source's columns and where it begins in its source's stream.
-        self.placed = placed.withColumn("begin", F.col("__before") + F.col("__end") - F.col("size"))
+        of_source = narrow.withColumn("__part", part).join(sizes, narrow["__source"].eqNullSafe(F.col("__s"))).drop("__s", "__source")
+        counts = of_source.groupBy("sid", "__part").agg(F.sum("size").alias("n"))
+        before = sums_before(counts, "sid", "__part", "n").select("sid", "__part", "before")
+        order = Window.partitionBy("sid", "__part").orderBy("__h", "__id", "__row").rowsBetween(Window.unboundedPreceding, 0)
+        placed = of_source.withColumn("__end", F.sum("size").over(order)).join(before, ["sid", "__part"])
+        #: Each document's number with its source's columns and where it begins in its source's stream.
+        self.placed = written(placed.select("__row", "sid", "source_size", "target", "size", (F.col("before") + F.col("__end") - F.col("size")).alias("begin")))
 
     def pieces(self) -> DataFrame:
         """What each slot takes: slot, sid, begin (of the document), turn (of the stream), n (words) from word ``skip`` on."""
@@ -113,16 +115,20 @@ class Mix:
         start, stop = F.greatest("first", F.col("rank") * self.block), F.least("last", (F.col("rank") + 1) * self.block)
         return docs.join(self.slots, ["sid", "rank"]).select("slot", "sid", "begin", "turn", (start - F.col("first")).alias("skip"), (stop - start).alias("n"))
 
+    def _taken(self, *turn: str) -> DataFrame:
+        """What is taken of each document, in all or in each turn: __row, size and taken."""
+        taken = self.pieces().groupBy("sid", "begin", *turn).agg(F.sum("n").alias("taken"))
+        return self.placed.where("size > 0").join(taken, ["sid", "begin"]).select("__row", "size", "taken")
+
     def documents(self) -> DataFrame:
         """The documents with size, source_size, target and taken."""
-        taken = self.pieces().groupBy("sid", "begin").agg(F.sum("n").alias("taken")).withColumnsRenamed({"sid": "__tsid", "begin": "__tbegin"})
-        joined = self.placed.join(taken, (F.col("sid") == F.col("__tsid")) & (F.col("begin") == F.col("__tbegin")) & (F.col("size") > 0), "left")
+        taken = self.placed.select("__row", "source_size", "target").join(self._taken().select("__row", "taken"), "__row", "left")
+        joined = self.rows.join(taken, "__row")
         return joined.select(*(F.col(n).alias(c) for c, n in self.renamed.items()), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
     def texts(self, text_col: str = "text") -> DataFrame:
         """The mix itself: a row for each turn in which a document is taken, with the words taken; a text taken in part is cut."""
-        turns = self.pieces().groupBy("sid", "begin", "turn").agg(F.sum("n").alias("taken")).withColumnsRenamed({"sid": "__tsid", "begin": "__tbegin"})
-        joined = self.placed.join(turns, (F.col("sid") == F.col("__tsid")) & (F.col("begin") == F.col("__tbegin")) & (F.col("size") > 0))
+        joined = self.rows.drop("size").join(self._taken("turn"), "__row")
         text = F.col(self.renamed[text_col])
         words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
         part = F.when(F.col("taken") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("taken").cast("int")), " ")).otherwise(text)
