@@ -2,14 +2,17 @@
 
 All of it is DataFrame functions. Statistics are taken from whole texts by array functions, each
 in its own row. For every language and source the statistic vectors get a mean and a scatter by
-the minimum covariance determinant: from two starts (all rows; medians and median deviations),
-concentration steps keep the KEEP share of rows with the least Mahalanobis distances and estimate
-anew, and the start that ends with the smaller determinant counts. A row is rejected if its
-distance is above CUTOFF. Groups with fewer than ``least`` rows use their language's estimate, or
-that of all rows.
+the minimum covariance determinant, in its regularised form (a fixed diagonal, FLOORS squared, is
+part of the scatter whose determinant is minimised): from two starts (all rows; medians and median
+deviations), concentration steps keep the KEEP share of rows with the least Mahalanobis distances
+and estimate anew until the determinant no longer falls by SETTLED, and the start that ends with
+the smaller determinant counts. A row is rejected if its distance is above CUTOFF. Groups with
+fewer than ``least`` rows use their language's estimate, or that of all rows.
 
 The share of rows is cut at exact counts of distances in fine bins, so groups of any size are
 aggregates that combine before the shuffle; only the vectors, not the texts, are read again.
+Estimates, one row a group, are broadcast while they are FEW; beyond, rows meet them by group and
+salt, so the key of all rows isn't one task's.
 
 Defined cases: null and empty texts have no words and fail the base; null languages and sources
 are groups of their own; every row is judged by itself, so repeated rows and null ids need no
@@ -33,7 +36,10 @@ CUTOFF = 35.888
 #: Spread added to the scatter of each statistic, so that one that hardly varies in clean text doesn't reject by itself at once.
 FLOORS = (0.5, 0.08, 0.2, 0.06, 0.1)
 N = len(FLOORS)
-STEPS = 3
+#: Fall of the log determinant below which a group has settled.
+SETTLED = 1e-4
+#: Groups whose estimates are broadcast (some 250 bytes each), and parts that a group's rows are dealt into beyond.
+FEW, SALTS = 20_000, 64
 #: Bins of distances per doubling, and width of the bins that medians are taken from.
 FINE, WIDTH = 32, 0.01
 PAIRS = [(i, j) for i in range(N) for j in range(i + 1)]
@@ -99,13 +105,19 @@ def _level(lang: Column, source: Column) -> list[Column]:
     return [F.concat(tag(lang), F.lit("\n"), tag(source)), tag(lang), F.lit("")]
 
 
-def _estimates(rows: DataFrame) -> DataFrame:
-    """Mean, inverse Cholesky factor of the scatter, and log determinant of each group's rows."""
-    moments = rows.groupBy("key").agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(N)), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in PAIRS))
-    return _inverted(moments, CONSISTENT)
+def _of_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` joined with the rows of ``groups`` (written; some for each key) that have their key."""
+    if groups.count() <= FEW:
+        return rows.join(F.broadcast(groups), "key")
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*(f"x{i}" for i in range(N))), F.lit(SALTS)))
+    return salted.join(groups.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["key", "__salt"]).drop("__salt")
 
 
-def _inverted(moments: DataFrame, factor: float) -> DataFrame:
+def _moments(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.groupBy("key", *more).agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(N)), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in PAIRS))
+
+
+def _inverted(moments: DataFrame, factor: float, *more: str) -> DataFrame:
     """m0.., and c00.. (times factor, plus the floors) turned into w00.. with distance = sum of (sum of w_ij (x_j - m_j))^2."""
     out = moments
     for i, j in PAIRS:  # Cholesky factor, row by row
@@ -120,7 +132,7 @@ def _inverted(moments: DataFrame, factor: float) -> DataFrame:
                 value = value - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
             out = out.withColumn(f"w{i}{j}", value / F.col(f"l{i}{i}"))
     determinant = sum((F.log(f"l{i}{i}") for i in range(1, N)), F.log("l00"))
-    return out.select("key", *(f"m{i}" for i in range(N)), *(f"w{i}{j}" for i, j in PAIRS), determinant.alias("logdet"))
+    return out.select("key", *more, *(f"m{i}" for i in range(N)), *(f"w{i}{j}" for i, j in PAIRS), determinant.alias("logdet"))
 
 
 def distance() -> Column:
@@ -134,12 +146,13 @@ def distance() -> Column:
 
 
 def _nearest(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """The KEEP share of each group's rows with the least distances: whole bins, at least that share."""
-    binned = rows.join(estimates, "key").withColumn("bin", F.floor(F.log2(distance() + 1e-9) * FINE)).select("key", *(f"x{i}" for i in range(N)), "bin")
-    counts = binned.groupBy("key", "bin").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    cut = counts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("key"))).where(F.col("before") < KEEP * F.col("all")).groupBy("key").agg(F.max("bin").alias("cut"))
-    return binned.join(cut, "key").where("bin <= cut").drop("bin", "cut")
+    """The KEEP share of each group's rows with the least distances, for each start: whole bins, at least that share."""
+    binned = _of_group(rows, estimates).withColumn("bin", F.floor(F.log2(distance() + 1e-9) * FINE)).select("key", "start", *(f"x{i}" for i in range(N)), "bin")
+    counts = binned.groupBy("key", "start", "bin").agg(F.count("*").alias("n"))
+    group = Window.partitionBy("key", "start")
+    order = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    cut = written(counts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("all", F.sum("n").over(group)).where(F.col("before") < KEEP * F.col("all")).groupBy("key", "start").agg(F.max("bin").alias("cut")))
+    return _of_group(binned, cut.withColumnRenamed("start", "s")).where("start = s AND bin <= cut").drop("bin", "cut", "s")
 
 
 def _medians(rows: DataFrame, values: list[Column]) -> DataFrame:
@@ -155,22 +168,25 @@ def robust_estimates(vectors: DataFrame, least: int) -> DataFrame:
     """MCD estimates by ``key`` from vectors (lang, source, x0..): for each group of at least ``least`` rows, and for all rows."""
     rows = vectors.select(F.explode(F.array(*_level(F.col("lang"), F.col("source")))).alias("key"), *(f"x{i}" for i in range(N)))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") >= least) | (F.col("key") == ""))
-    rows = written(rows.join(sizes.select("key"), "key"))
-    plain = written(_inverted(rows.groupBy("key").agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(N)), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in PAIRS)), 1.0))
+    rows = written(_of_group(rows, written(sizes.select("key"))))
+    plain = _inverted(_moments(rows), 1.0)
     middle = written(_medians(rows, [F.col(f"x{i}") for i in range(N)]))
-    spread = _medians(rows.join(middle, "key"), [F.abs(F.col(f"x{i}") - F.col(f"v{i}")) for i in range(N)])
+    spread = _medians(_of_group(rows, middle), [F.abs(F.col(f"x{i}") - F.col(f"v{i}")) for i in range(N)])
     spread = spread.select("key", *(F.col(f"v{i}").alias(f"s{i}") for i in range(N))).join(middle, "key")
     deviation = 1.4826  # of a normal spread from its median deviation (a fixed value)
-    middled = written(_inverted(spread.select("key", *(F.col(f"v{i}").alias(f"m{i}") for i in range(N)), *((F.pow(F.col(f"s{i}") * deviation, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS)), 1.0))
-    ends = []
-    for start in (plain, middled):
-        at = start
-        for _ in range(STEPS):
-            at = written(_estimates(_nearest(rows, at)))
-        ends.append(at)
-    both = ends[0].withColumn("start", F.lit(0)).unionByName(ends[1].withColumn("start", F.lit(1)))
+    middled = _inverted(spread.select("key", *(F.col(f"v{i}").alias(f"m{i}") for i in range(N)), *((F.pow(F.col(f"s{i}") * deviation, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS)), 1.0)
+    # the starts' own determinants are of other shares of the rows, so any first step is better
+    at = plain.withColumn("start", F.lit(0)).unionByName(middled.withColumn("start", F.lit(1))).withColumn("logdet", F.lit(float("inf")))
+    at, open_ = written(at.withColumn("open", F.lit(True))), True
+    names = at.columns
+    while open_:
+        moved = _inverted(_moments(_nearest(rows, at.where("open").drop("open", "logdet")), "start"), CONSISTENT, "start")
+        both = at.alias("a").join(moved.alias("b"), ["key", "start"], "left")
+        falls = F.coalesce(F.col("b.logdet") < F.col("a.logdet") - SETTLED, F.lit(False))
+        at = written(both.select("key", "start", *(F.when(falls, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in names if c not in ("key", "start", "open")), falls.alias("open")))
+        open_ = not at.where("open").isEmpty()
     first = Window.partitionBy("key").orderBy("logdet", "start")
-    return both.withColumn("at", F.row_number().over(first)).where("at = 1").drop("at", "start", "logdet")
+    return at.withColumn("at", F.row_number().over(first)).where("at = 1").drop("at", "start", "logdet", "open")
 
 
 def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 50, cutoff: float = CUTOFF, carry: list[str] | None = None) -> DataFrame:
@@ -188,7 +204,8 @@ def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     for i, level in enumerate(levels[:2]):
         groups = groups.withColumn(f"k{i}", level).join(keys.select(F.col("key").alias(f"k{i}"), F.col("has").alias(f"h{i}")), f"k{i}", "left")
     groups = groups.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), F.when(F.col("h0"), F.col("k0")).when(F.col("h1"), F.col("k1")).otherwise(F.lit("")).alias("key"))
-    fitted = groups.join(estimates, "key", "left").drop("key")
+    fitted = written(groups.join(estimates, "key", "left").drop("key"))
+    fitted = F.broadcast(fitted) if fitted.count() <= FEW else fitted
     judged = rows.join(fitted, rows["lang"].eqNullSafe(F.col("gl")) & rows["source"].eqNullSafe(F.col("gs")), "left")
     judged = judged.withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(distance())))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff**0.5)

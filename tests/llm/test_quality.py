@@ -41,12 +41,17 @@ def plain_mcd(x):
     middle = median(x)
     ends = []
     for mean, scatter in ((x.mean(0), np.cov(x.T, bias=True)), (middle, np.diag((1.4826 * median(abs(x - middle))) ** 2))):
-        for _ in range(q.STEPS):
+        at = None
+        while True:
             bins = np.floor(np.log2(distances(mean, scatter) + 1e-9) * q.FINE)
             order = np.sort(bins)
             near = x[bins <= order[int(np.ceil(q.KEEP * len(x))) - 1]]
-            mean, scatter = near.mean(0), np.cov(near.T, bias=True) * q.CONSISTENT
-        ends.append((np.linalg.slogdet(scatter + floors)[1], mean, scatter))
+            new = near.mean(0), np.cov(near.T, bias=True) * q.CONSISTENT
+            half = np.linalg.slogdet(new[1] + floors)[1] / 2
+            if at is not None and half >= at - q.SETTLED:
+                break
+            at, (mean, scatter) = half, new
+        ends.append((at, mean, scatter))
     _, mean, scatter = min(ends, key=lambda e: e[0])
     return lambda v: float(np.sqrt((v - mean) @ np.linalg.inv(scatter + floors) @ (v - mean)))
 
