@@ -64,25 +64,32 @@ def _by_bucket(text: np.ndarray, smaller: np.ndarray, ordered: np.ndarray, count
 
 def _by_place(text: np.ndarray, smaller: np.ndarray, ordered: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The same, place by place."""
+    n = len(text)
     ends = np.cumsum(counts)
-    head, tail = (ends - counts).tolist(), ends.tolist()
-    chars, low = text.tolist(), smaller.tolist()
-    sa = [-1] * len(chars)
-    for i in ordered[::-1].tolist():
-        tail[chars[i]] -= 1
-        sa[tail[chars[i]]] = i
-    for i in sa:  # grows before the loop reaches what is put in
-        if i > 0 and not low[i - 1]:
-            c = chars[i - 1]
-            sa[head[c]] = i - 1
-            head[c] += 1
-    tail = ends.tolist()
-    for at in range(len(sa) - 1, -1, -1):
-        i = sa[at]
-        if i > 0 and low[i - 1]:
-            c = chars[i - 1]
-            tail[c] -= 1
-            sa[tail[c]] = i - 1
+    leftmosts = np.bincount(text[ordered], minlength=len(counts))
+    chars = text[ordered]
+    first = np.full(n, -1, np.int64)
+    first[(ends - np.cumsum(leftmosts))[chars] + np.arange(len(chars))] = ordered
+    sa = first.tolist()
+    # the character before each place, if that is to be put in on the way up, or down; the last entry is for -1
+    before = np.full(n + 1, -1, np.int64)
+    before[1:n] = text[:-1]
+    up, down = before.copy(), before
+    up[1:n][smaller[:-1]] = -1
+    down[1:n][~smaller[:-1]] = -1
+    of, head = up.tolist(), (ends - counts).tolist()
+    for i in sa:  # sees what is put in ahead of it
+        c = of[i]
+        if c >= 0:
+            h = head[c]
+            sa[h] = i - 1
+            head[c] = h + 1
+    of, tail = down.tolist(), ends.tolist()
+    for i in reversed(sa):
+        c = of[i]
+        if c >= 0:
+            tail[c] = t = tail[c] - 1
+            sa[t] = i - 1
     return np.array(sa, np.int32)
 
 

@@ -5,7 +5,8 @@ strings of ``width`` bytes that can be equal come together. Every task sorts the
 blocks by inducing (see induced.py), a shard at a time: one copy of each different phrase. A
 suffix of a phrase that stands at several places is one entry of the array with a count, as all
 its copies would be neighbours. A string is repeated if its suffix shares ``width`` bytes with a
-neighbour in the suffix array, or is counted more than once.
+neighbour in the suffix array, or is counted more than once. A phrase that makes up its block has
+no neighbours but its copies, so it needs no sorting.
 
 Defined cases: a null text is empty; every row counts, so repeated rows are removed in both
 places, whatever their ids, null ones included; an empty table gives no rows; other columns are
@@ -44,9 +45,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, starts, counts = [], [], []
         segments = [x.as_py() for x in batch.column("segment")]
-        copies = batch.column("copies").to_pylist()
-        for row, (twice, n) in enumerate(zip(repeated_windows(segments, width), copies, strict=True)):
-            twice = twice if n == 1 else np.ones_like(twice)
+        copies, anchors = np.asarray(batch.column("copies")), np.asarray(batch.column("anchor"))
+        block = np.concatenate([[True], anchors[1:] != anchors[:-1], [True]])
+        alone = block[:-1] & block[1:] & (copies > 1)
+        found = iter(repeated_windows([x for x, one in zip(segments, alone.tolist(), strict=True) if not one], width))
+        for row, (n, one) in enumerate(zip(copies.tolist(), alone.tolist(), strict=True)):
+            twice = None if one else next(found)
+            if n > 1:
+                twice = np.ones(len(segments[row]) - width + 1, bool)
             edges = np.flatnonzero(np.diff(np.concatenate([[0], twice.astype(np.int8), [0]])))
             rows += [row] * (len(edges) // 2)
             starts += edges[::2].tolist()
