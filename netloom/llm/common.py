@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,36 +19,48 @@ CHUNK_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one is set only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir. A local one stands in only where it is unset and Spark runs in one process, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return folder or current.get()
 
 
-_tables: list[str] = []
+_owners: list[list[str]] = []
 
 
-def written(df: DataFrame, lasting: bool = False) -> DataFrame:
+@contextmanager
+def collecting(tables: list[str]) -> Iterator[None]:
+    """Notes in ``tables`` what written() writes inside, so that its owner can drop it."""
+    _owners.append(tables)
+    try:
+        yield
+    finally:
+        _owners.remove(tables)
+
+
+def written(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written as Parquet in the shared scratch folder and read back.
 
     This cuts the lineage: lost executors cost a read, not the work above it. Tables stay until
-    drop_written(); with ``lasting`` that leaves them alone, too.
+    their owner drops them; those of nobody go with the folder.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not lasting:
-        _tables.append(path)
+    if _owners:
+        _owners[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Deletes the tables written so far: for when all results that are read from them have been stored."""
-    while _tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+def drop(spark: SparkSession, tables: list[str]) -> None:
+    """Deletes tables: for when all results that are read from them have been stored."""
+    while tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(tables.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -11,7 +11,7 @@ import tiktoken
 import corpus_pipeline as pipeline
 from netloom.llm.bpe import read_ranks
 from netloom.llm.quality import quality
-from tests.llm.test_simhash import brute_groups
+from tests.llm.test_near_copies import brute
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "tag"]
 
@@ -52,21 +52,25 @@ def test_stages(spark, docs, tmp_path):
     assert sorted(str((x.doc_id, x.text)) for x in judged if x.kept) == sorted(str((x.doc_id, x.text)) for x in rows["quality_rules"])
     assert any(not x.base_failed and not x.kept for x in judged)
 
-    groups = brute_groups([(x.doc_id, x.text) for x in rows["quality_rules"]])
-    assert sorted(x.doc_id for x in rows["simhash_near_dedup"]) == sorted({g[2] for g in groups})
+    kept = [(x.doc_id, x.text) for x in rows["quality_rules"]]
+    least = {}
+    for (i, _), group in zip(kept, brute(kept), strict=True):
+        least[group] = min((k for k in (least.get(group), i) if k is not None), default=None)
+    assert sorted(x.doc_id for x in rows["simhash_near_dedup"]) == sorted(least.values())
 
+    width = pipeline.REPEATED
     texts = {x.doc_id: x.text.encode() for x in rows["simhash_near_dedup"]}
     seen = {}
     for t in texts.values():
-        for s in range(len(t) - 399):
-            seen[t[s : s + 400]] = seen.get(t[s : s + 400], 0) + 1
+        for s in range(len(t) - width + 1):
+            seen[t[s : s + width]] = seen.get(t[s : s + width], 0) + 1
     assert max(seen.values()) > 1
     for x in rows["suffix_array_dedup"]:
         t = texts[x.doc_id]
         gone = np.zeros(len(t), bool)
-        for s in range(len(t) - 399):
-            if seen[t[s : s + 400]] > 1:
-                gone[s : s + 400] = True
+        for s in range(len(t) - width + 1):
+            if seen[t[s : s + width]] > 1:
+                gone[s : s + width] = True
         assert x.text == bytes(b for b, g in zip(t, gone, strict=True) if not g).decode(errors="ignore")
 
     before = {x.doc_id: x for x in rows["suffix_array_dedup"]}
