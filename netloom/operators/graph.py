@@ -7,34 +7,45 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import checkpointed
 
-ROUNDS = 100
-
-
 def both_ways(links: DataFrame, *keep: str) -> DataFrame:
     """Edges u, v in both directions."""
     one = links.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"), *keep)
     return one.unionByName(links.select(F.col("node_b").alias("u"), F.col("node_a").alias("v"), *keep))
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours hang on the least of it and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours hang on the least of them; edges run from larger to smaller."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    hung = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component``, the least node reachable, for each node of u, v.
 
-    Each round a node takes the least label around it, then that label's own label, so labels
-    halve their way to the root; every round is checkpointed, and one without a change is the last.
+    Large and small stars in turn: edges are hung on the least node around until each node has one
+    edge, to its root; about as many rounds as the logarithm of the longest path. Every round is
+    checkpointed, and one that changes nothing is the last. A root's edges are many rows of one
+    key, but narrow and on the larger side of joins that Spark splits. Null ends are left out.
     """
-    edges = checkpointed(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = checkpointed(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")))
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).where("node IS NOT NULL").distinct()
+    state = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(ROUNDS):
-        around = edges.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        hooked = labels.join(around, "u").select("u", F.least("l", "m").alias("l"))
-        roots = hooked.select(F.col("u").alias("l"), F.col("l").alias("up"))
-        labels = checkpointed(hooked.join(roots, "l").select("u", F.col("up").alias("l")))
-        now = labels.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
+    while True:
+        state = checkpointed(_small_star(_large_star(state)))
+        now = tuple(state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
         if now == before:
-            return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
+            break
         before = now
-    raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+    roots = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def link_components(links: DataFrame) -> DataFrame:
@@ -74,10 +85,10 @@ def link_edges(links: DataFrame) -> DataFrame:
     return ends.select("node", F.col("link_label").alias("u")).join(ends.select("node", F.col("link_label").alias("v")), "node").where("u <> v").select("u", "v").distinct()
 
 
-def contract(links: DataFrame) -> DataFrame:
-    """Chains of links through nodes of degree 2 as one link: label (the least), ends, summed length, number of links.
+def contract(links: DataFrame, keep: bool = False) -> DataFrame:
+    """Chains of links through nodes of degree 2 as one link: label (the least), ends, summed length (and n_voxel), number of links, greatest intensity.
 
-    A chain that closes on itself has no free ends: both are null.
+    n_voxel and intensity only with ``keep``, where ``links`` has them. A chain that closes on itself has no free ends: both are null.
     """
     ends = links.select("link_label", F.explode(F.array("node_a", "node_b")).alias("node"))
     degree = ends.groupBy("node").agg(F.count("*").alias("degree"))
@@ -86,8 +97,10 @@ def contract(links: DataFrame) -> DataFrame:
     alone = links.select(F.col("link_label").alias("u"), F.col("link_label").alias("v"))
     chains = components(joins.select("u", "v").unionByName(alone)).select(F.col("node").alias("link_label"), F.col("component").alias("chain"))
     tips = ends.join(degree.where("degree <> 2"), "node").join(chains, "link_label").groupBy("chain").agg(F.min("node").alias("node_a"), F.max("node").alias("node_b"))
-    sums = links.join(chains, "link_label").groupBy("chain").agg(F.sum("length").alias("length"), F.count("*").alias("n_links"))
-    return sums.join(tips, "chain", "left").select(F.col("chain").alias("link_label"), "node_a", "node_b", "length", "n_links")
+    more = [f(c).alias(c) for c, f in (("n_voxel", F.sum), ("intensity", F.max)) if c in links.columns and keep]
+    sums = links.join(chains, "link_label").groupBy("chain").agg(F.sum("length").alias("length"), F.count("*").alias("n_links"), *more)
+    names = [c for c in ("n_voxel", "intensity") if c in links.columns and keep]
+    return sums.join(tips, "chain", "left").select(F.col("chain").alias("link_label"), "node_a", "node_b", "length", "n_links", *names)
 
 
 def parallel_links(links: DataFrame) -> DataFrame:

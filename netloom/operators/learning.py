@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +55,14 @@ def validation(rows: DataFrame, label: Column, prediction: Column) -> DataFrame:
 def folds(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """``df`` with fold, by md5 of key and seed."""
     return df.withColumn("fold", F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long") % k)
+
+
+def cross_validated(rows: DataFrame, features: Sequence[str], trees: Sequence[int], depths: Sequence[int], k: int, label: str = "label", fold: str = "fold", seed: int = 7) -> DataFrame:
+    """Mean loss (share of wrong predictions) over the folds for each number of trees and depth: trees, depth, loss."""
+    forest = RandomForestClassifier(labelCol=label, seed=seed)
+    grid = ParamGridBuilder().addGrid(forest.numTrees, list(trees)).addGrid(forest.maxDepth, list(depths)).build()
+    ready = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(rows).select("features", label, fold)
+    right = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    found = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=right, numFolds=k, foldCol=fold).fit(ready)
+    losses = [(m[forest.numTrees], m[forest.maxDepth], 1.0 - float(a)) for m, a in zip(grid, found.avgMetrics, strict=True)]
+    return rows.sparkSession.createDataFrame(losses, "trees int, depth int, loss double")  # one row a setting

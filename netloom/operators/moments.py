@@ -36,6 +36,23 @@ def eigenvalues(m: Sequence[Column]) -> list[Column]:
     return [F.when(flat, q).otherwise(first), F.when(flat, q).otherwise(3 * q - first - last), F.when(flat, q).otherwise(last)]
 
 
+def axis_columns(m: Sequence[Column], values: Sequence[Column]) -> list[Column]:
+    """The nine numbers of (A - b I)(A - c I), column by column, b and c the two smaller eigenvalues: its columns lie along the greatest one's axis."""
+    xx, xy, xz, yy, yz, zz = m
+    _, b, c = values
+    one = [[xx - b, xy, xz], [xy, yy - b, yz], [xz, yz, zz - b]]
+    two = [[xx - c, xy, xz], [xy, yy - c, yz], [xz, yz, zz - c]]
+    return [one[i][0] * two[0][j] + one[i][1] * two[1][j] + one[i][2] * two[2][j] for j in range(3) for i in range(3)]
+
+
+def longest_column(k: Sequence[Column]) -> list[Column]:
+    """Unit vector of the longest of three columns; all zero (no direction stands out): null."""
+    length = [F.sqrt(k[3 * j] * k[3 * j] + k[3 * j + 1] * k[3 * j + 1] + k[3 * j + 2] * k[3 * j + 2]) for j in range(3)]
+    longest = F.greatest(*length)
+    which = F.when(length[0] == longest, 0).when(length[1] == longest, 1).otherwise(2)
+    return [F.when(longest > 0, F.when(which == 0, k[i]).when(which == 1, k[3 + i]).otherwise(k[6 + i]) / longest) for i in range(3)]
+
+
 def anisotropy(values: Sequence[Column]) -> Column:
     """Fractional anisotropy of three eigenvalues."""
     a, b, c = values
@@ -65,13 +82,13 @@ def through_origin(df: DataFrame, keys: Sequence[str], x: Column, y: Column) ->
 
 
 def solve3(rows: Sequence[Sequence[Column]], right: Sequence[Column]) -> list[Column]:
-    """A symmetric 3 x 3 system by Cramer's rule."""
+    """A symmetric 3 x 3 system by Cramer's rule; null if it has no single solution."""
 
     def det(m: Sequence[Sequence[Column]]) -> Column:
         return m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
 
     whole = det(rows)
-    return [det([[right[i] if j == k else rows[i][j] for j in range(3)] for i in range(3)]) / whole for k in range(3)]
+    return [F.when(whole != 0, det([[right[i] if j == k else rows[i][j] for j in range(3)] for i in range(3)]) / whole) for k in range(3)]
 
 
 def quadratic(df: DataFrame, keys: Sequence[str], x: Column, y: Column) -> DataFrame:

@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpointed
+
 AXES = ("x", "y", "z")
 
 
@@ -51,23 +53,36 @@ def mutual_nearest(left: DataFrame, right: DataFrame, key: str, radius: float) -
     return best_a.join(best_b, ["a", "b"])
 
 
-def nearest_source(cells_: DataFrame, sources: DataFrame, label: str, radius: float) -> DataFrame:
-    """Each cell (x, y, z) with the label and distance of its nearest source within ``radius``; ties: the least label."""
-    near = within(cells_.select(*AXES), sources.select(*AXES, label), radius)
-    best = near.groupBy("a").agg(F.min(F.struct(F.col("distance"), F.col(f"b.{label}").alias("label"))).alias("m"))
-    return best.select("a.x", "a.y", "a.z", F.col("m.label").alias(label), F.col("m.distance").alias("distance"))
-
-
-def nearest_of_few(points: DataFrame, centres: DataFrame, key: str, weights: Sequence[float] = (1, 1, 1), limit: int = 100_000) -> DataFrame:
-    """Each point with the key of the nearest centre under axis weights; ``centres`` is checked to be a small table."""
-    if centres.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} centres: use nearest_source")
-    c = F.broadcast(centres.select(F.col(key).alias("__k"), *(F.col(k).alias(f"__{k}") for k in AXES)))
-    d = F.lit(0.0)
-    for k, w in zip(AXES, weights, strict=True):
-        d = d + F.pow((F.col(k) - F.col(f"__{k}")) * float(w), 2)
-    best = points.join(c, F.lit(True)).groupBy(*points.columns).agg(F.min(F.struct(F.sqrt(d).alias("d"), F.col("__k").alias("k"))).alias("m"))
-    return best.select(*points.columns, F.col("m.k").alias(f"nearest_{key}"), F.col("m.d").alias("distance"))
+def nearest(points: DataFrame, sources: DataFrame, label: str, radius: float, weights: Sequence[float] = (1, 1, 1)) -> DataFrame:
+    """Each point (x, y, z, different ones) with the label and distance of its nearest source under axis weights; ties: the least label.
+
+    Rings widen: points that have no source within ``radius`` are looked at again with twice that,
+    until none is left. Without sources there are no rows.
+    """
+    scaled = lambda df, *more: df.select(*((F.col(k) * float(w)).alias(k) for k, w in zip(AXES, weights, strict=True)), *more)
+    left = checkpointed(scaled(points, F.struct(*AXES).alias("p")).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"))
+    given = checkpointed(scaled(sources, label).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"))
+    out = None
+    while not left.isEmpty() and not given.isEmpty():
+        near = within(left, given, radius)
+        best = near.groupBy("a.p").agg(F.min(F.struct(F.col("distance"), F.col(f"b.{label}").alias("label"))).alias("m"))
+        best = checkpointed(best.select("p", F.col("m.label").alias(label), F.col("m.distance").alias("distance")))
+        out = best if out is None else out.unionByName(best)
+        left, radius = checkpointed(left.join(best, "p", "left_anti")), radius * 2
+    if out is None:
+        out = left.crossJoin(given.withColumn("distance", F.lit(0.0))).select("p", label, "distance")  # one side is empty
+    return out.select("p.x", "p.y", "p.z", label, "distance")
+
+
+def nearest_source(cells_: DataFrame, sources: DataFrame, label: str, radius: float = 4) -> DataFrame:
+    """Each cell (x, y, z) with the label and distance of its nearest source, looked for within ``radius`` first; ties: the least label."""
+    return nearest(cells_.select(*AXES).distinct(), sources.select(*AXES, label), label, radius)
+
+
+def nearest_centre(points: DataFrame, centres: DataFrame, key: str, radius: float, weights: Sequence[float] = (1, 1, 1)) -> DataFrame:
+    """Each point with the key of the nearest centre under axis weights, looked for within ``radius`` first."""
+    found = nearest(points.select(*AXES).distinct(), centres, key, radius, weights).withColumnRenamed(key, f"nearest_{key}")
+    return points.join(found, list(AXES))
 
 
 HALF = [s for s in product((-1, 0, 1), repeat=3) if s > (0, 0, 0)]

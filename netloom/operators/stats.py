@@ -21,12 +21,37 @@ def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
 
 
+#: Parts by value that the distinct values of a group are ranked in.
+PARTS = 128
+
+
+def same_keys(a: str, b: str, keys: Sequence[str]) -> Column:
+    """Whether two sides agree in all keys, nulls included."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return out
+
+
 def _ranked(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct values with ranks ``first`` to ``last`` and the group's ``n``."""
+    """Distinct values with ranks ``first`` to ``last`` and the group's ``n``.
+
+    A group's values are cut into PARTS by approximate percentiles of the distinct ones; ranks are
+    exact running counts within a part, plus the counts of the parts below it. So a group, even
+    the only one, is many windows.
+    """
     counts = df.where(finite(F.col(value))).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    last = F.sum("c").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("last", last).withColumn("first", F.col("last") - F.col("c") + 1).withColumn("n", F.sum("c").over(group))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("v", [i / PARTS for i in range(1, PARTS)], 1000).alias("__cuts"))
+    cut = counts.alias("a").join(cuts.alias("b"), same_keys("a", "b", keys)) if keys else counts.crossJoin(F.broadcast(cuts)).alias("a")  # without keys: one row
+    parted = cut.select(*(F.col(f"a.{k}") for k in keys), "v", "c", F.size(F.filter("__cuts", lambda x: x < F.col("v"))).alias("__part"))
+    sums = parted.groupBy(*keys, "__part").agg(F.sum("c").alias("__c"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # at most PARTS rows a group
+    below = F.coalesce(F.sum("__c").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*keys, "__part", below.alias("__below"), F.sum("__c").over(group).alias("n"))
+    within = F.sum("c").over(Window.partitionBy(*keys, "__part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    both = parted.withColumn("__within", within).alias("a").join(sums.alias("b"), same_keys("a", "b", [*keys, "__part"]))
+    last = F.col("__below") + F.col("__within")
+    return both.select(*(F.col(f"a.{k}") for k in keys), "v", "c", last.alias("last"), (last - F.col("c") + 1).alias("first"), "n")
 
 
 def _pick(rank: Column) -> Column:

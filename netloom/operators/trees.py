@@ -60,7 +60,7 @@ def prune_leaves(nodes: DataFrame, least: float) -> DataFrame:
 def downsample(nodes: DataFrame, spacing: float) -> DataFrame:
     """Critical nodes, and of each branch the first node in every ``spacing`` along it."""
     w = Window.partitionBy("tree", "branch").orderBy("along", "id")
-    marked = branches(nodes).withColumn("cell", F.floor(F.col("along") / spacing)).withColumn("before", F.lag("cell").over(w))
+    marked = branches(nodes).withColumn("cell", F.floor(F.round("along", 9) / spacing)).withColumn("before", F.lag("cell").over(w))
     return marked.where((F.col("id") == F.col("branch")) | (F.col("cell") > F.col("before"))).select(*nodes.columns)
 
 

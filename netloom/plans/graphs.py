@@ -46,7 +46,7 @@ def g6(t: Tables) -> DataFrame:
 
 @query("g7_component_sizes", f"WITH RECURSIVE {REACH.format(t='L')}, s AS (SELECT component, count(*) AS links, sum(length) AS length FROM L JOIN comp ON node = node_a GROUP BY 1) SELECT component, links, round(length, 4) AS length, round(links / (SELECT sum(links) FROM s), 9) AS share FROM s")
 def g7(t: Tables) -> DataFrame:
-    sizes = graph.link_components(t.L).groupBy("component").agg(F.count("*").alias("links"), F.round(F.sum("length"), 5).alias("length"))
+    sizes = graph.link_components(t.L).groupBy("component").agg(F.count("*").alias("links"), F.round(F.sum("length"), 4).alias("length"))
     return sizes.withColumn("share", F.round(F.col("links") / F.sum("links").over(Window.partitionBy(F.lit(0))), 9))
 
 
@@ -79,10 +79,15 @@ w(link_label, rank) AS (SELECT link_label, 0 FROM L WHERE intensity < 10 UNION S
 SELECT link_label, CAST(min(rank) AS INTEGER) AS rank FROM w GROUP BY 1"""
 
 
-@query("g14_branching_order", ORDER_SQL.format(most=6))
+@query("g14_branching_order", """
+WITH RECURSIVE ends AS (SELECT link_label, unnest([node_a, node_b]) AS node FROM L), e AS MATERIALIZED (SELECT DISTINCT p.link_label AS u, q.link_label AS v FROM ends p JOIN ends q USING (node) WHERE p.link_label <> q.link_label),
+w(link_label, rank) USING KEY (link_label) AS (SELECT link_label, 0 FROM L WHERE intensity < 10 UNION SELECT e.v, min(w.rank) + 1 FROM w JOIN e ON e.u = w.link_label ANTI JOIN recurring.w r ON r.link_label = e.v GROUP BY e.v)
+SELECT link_label, CAST(rank AS INTEGER) AS rank FROM L LEFT JOIN w USING (link_label)""")
 def g14(t: Tables) -> DataFrame:
+    """Steps to the nearest labelled link; null where none is reached."""
     start = t.L.where("intensity < 10").select(F.col("link_label").alias("node"))
-    return graph.spread(start, graph.link_edges(t.L), 6).withColumnRenamed("node", "link_label")
+    found = graph.spread(start, graph.link_edges(t.L)).withColumnRenamed("node", "link_label")
+    return t.L.select("link_label").join(found, "link_label", "left")
 
 
 @query("g15_neighbourhood_by_order", ORDER_SQL.format(most=2).replace("intensity < 10", "link_label = (SELECT min(link_label) FROM L)"))

@@ -40,11 +40,10 @@ def j4(t: Tables) -> DataFrame:
 
 
 @query("j5_nearest_source", f"""
-WITH s AS (SELECT * FROM V WHERE r >= 4), f AS (SELECT * FROM V WHERE r < 1), p AS (SELECT a.x, a.y, a.z, b.voxel_id, {D3} AS d FROM f a JOIN s b ON abs(a.x - b.x) <= 4 AND abs(a.y - b.y) <= 4 AND abs(a.z - b.z) <= 4 WHERE {D3} <= 4),
-o AS (SELECT *, row_number() OVER (PARTITION BY x, y, z ORDER BY d, voxel_id) AS i FROM p)
-SELECT x, y, z, voxel_id, round(d, 6) AS distance FROM o WHERE i = 1""")
+WITH p AS (SELECT a.x, a.y, a.z, min(struct_pack(d := {D3}, v := b.voxel_id)) AS m FROM V a, V b WHERE a.r < 1 AND b.r >= 4 GROUP BY 1, 2, 3)
+SELECT x, y, z, m.v AS voxel_id, round(m.d, 6) AS distance FROM p""")
 def j5(t: Tables) -> DataFrame:
-    return spatial.nearest_source(t.V.where("r < 1"), t.V.where("r >= 4"), "voxel_id", 4).withColumn("distance", r6(F.col("distance")))
+    return spatial.nearest_source(t.V.where("r < 1"), t.V.where("r >= 4"), "voxel_id").withColumn("distance", r6(F.col("distance")))
 
 
 CENTRES = "centres AS (SELECT tile, (gx - 0.5) * 200.0 AS x, (gy - 0.5) * 200.0 AS y, (gz - 0.5) * 250.0 AS z FROM T)"
@@ -56,7 +55,7 @@ def centres(t: Tables) -> DataFrame:
 
 @query("j6_nearest_centre", f"WITH {CENTRES}, p AS (SELECT a.node, b.tile, {D3} AS d FROM N a, centres b), o AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY d, tile) AS i FROM p) SELECT node, tile AS nearest_tile, round(d, 6) AS distance FROM o WHERE i = 1")
 def j6(t: Tables) -> DataFrame:
-    out = spatial.nearest_of_few(t.N.select("node", *xyz()), centres(t), "tile")
+    out = spatial.nearest_centre(t.N.select("node", *xyz()), centres(t), "tile", 200)
     return out.select("node", "nearest_tile", r6(F.col("distance")).alias("distance"))
 
 
@@ -67,7 +66,7 @@ SELECT tile, CASE WHEN T.reliable THEN T.model ELSE o.model END AS model FROM T
 def j7(t: Tables) -> DataFrame:
     at = [F.col(g).alias(k) for g, k in (("gx", "x"), ("gy", "y"), ("gz", "z"))]
     good, bad = t.T.where("reliable"), t.T.where("NOT reliable")
-    taken = spatial.nearest_of_few(bad.select("tile", *at), good.select("tile", *at), "tile", (1, 2.5, 1e5)).select("tile", "nearest_tile")
+    taken = spatial.nearest_centre(bad.select("tile", *at), good.select("tile", *at), "tile", 4, (1, 2.5, 1e5)).select("tile", "nearest_tile")
     models = taken.join(good.select(F.col("tile").alias("nearest_tile"), "model"), "nearest_tile").select("tile", "model")
     return good.select("tile", "model").unionByName(models)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import moments, spatial
+from .chains import chain_sql, linked
 from .coordinates import r6
 from .registry import Tables, query
 
@@ -17,21 +18,26 @@ def nearest_sql(cells: str, sources: str) -> str:
     return f"near AS (SELECT a.x, a.y, a.z, b.voxel_id AS label, {D3} AS d, row_number() OVER (PARTITION BY a.x, a.y, a.z ORDER BY {D3}, b.voxel_id) AS i FROM (SELECT * FROM V WHERE {cells}) a JOIN (SELECT * FROM V WHERE {sources}) b ON abs(a.x - b.x) <= 4 AND abs(a.y - b.y) <= 4 AND b.z BETWEEN a.z - 4 AND a.z + 4 WHERE {D3} <= 4)"
 
 
+def all_nearest_sql(cells: str, sources: str) -> str:
+    """near (x, y, z, label, d, i): the nearest source of each cell, however far."""
+    return f"near AS (SELECT x, y, z, m.v AS label, m.d AS d, 1 AS i FROM (SELECT a.x, a.y, a.z, min(struct_pack(d := {D3}, v := b.voxel_id)) AS m FROM (SELECT * FROM V WHERE {cells}) a, (SELECT * FROM V WHERE {sources}) b GROUP BY 1, 2, 3) p)"
+
+
 FACE = "x IN (1, 24) OR y IN (1, 24)"
 
 
-@query("f15_tissue_regions", f"WITH {nearest_sql('r < 1', 'r >= 4')} SELECT label, CASE WHEN NOT bool_or({FACE}) THEN count(*) END AS volume, CASE WHEN NOT bool_or({FACE}) THEN round(avg(d), 6) END AS mean, CASE WHEN NOT bool_or({FACE}) THEN round(max(d), 6) END AS most, CASE WHEN NOT bool_or({FACE}) THEN round(median(d), 6) END AS median FROM near WHERE i = 1 GROUP BY label")
+@query("f15_tissue_regions", f"WITH {all_nearest_sql('r < 1', 'r >= 4')} SELECT label, CASE WHEN NOT bool_or({FACE}) THEN count(*) END AS volume, CASE WHEN NOT bool_or({FACE}) THEN round(avg(d), 6) END AS mean, CASE WHEN NOT bool_or({FACE}) THEN round(max(d), 6) END AS most, CASE WHEN NOT bool_or({FACE}) THEN round(median(d), 6) END AS median FROM near WHERE i = 1 GROUP BY label")
 def f15(t: Tables) -> DataFrame:
     """Cells by nearest source: volume and distances; null where the region touches a face."""
-    near = spatial.nearest_source(t.V.where("r < 1"), t.V.where("r >= 4"), "voxel_id", 4)
+    near = spatial.nearest_source(t.V.where("r < 1"), t.V.where("r >= 4"), "voxel_id")
     inner = ~F.bool_or(F.expr(FACE))
     return near.groupBy(F.col("voxel_id").alias("label")).agg(F.when(inner, F.count("*")).alias("volume"), F.when(inner, r6(F.avg("distance"))).alias("mean"), F.when(inner, r6(F.max("distance"))).alias("most"), F.when(inner, r6(F.median("distance"))).alias("median"))
 
 
-@query("f17_small_to_large", f"WITH {nearest_sql('r < 2', 'r >= 4.5')}, served AS (SELECT CAST(floor((z - 1) / 24.0) AS BIGINT) AS block_id, label, d FROM near WHERE i = 1), votes AS (SELECT block_id, label, row_number() OVER (PARTITION BY block_id ORDER BY count(*) DESC, label) AS i FROM served GROUP BY 1, 2) SELECT s.block_id, count(*) AS n, round(avg(d), 6) AS mean, round(median(d), 6) AS median, any_value(v.label) AS modal FROM served s JOIN votes v ON v.block_id = s.block_id AND v.i = 1 GROUP BY 1")
+@query("f17_small_to_large", f"WITH {all_nearest_sql('r < 2', 'r >= 4.5')}, served AS (SELECT CAST(floor((z - 1) / 24.0) AS BIGINT) AS block_id, label, d FROM near WHERE i = 1), votes AS (SELECT block_id, label, row_number() OVER (PARTITION BY block_id ORDER BY count(*) DESC, label) AS i FROM served GROUP BY 1, 2) SELECT s.block_id, count(*) AS n, round(avg(d), 6) AS mean, round(median(d), 6) AS median, any_value(v.label) AS modal FROM served s JOIN votes v ON v.block_id = s.block_id AND v.i = 1 GROUP BY 1")
 def f17(t: Tables) -> DataFrame:
     """Small voxels of each block: distance to the nearest large one, and the large one that serves most (ties: the least)."""
-    near = spatial.nearest_source(t.V.where("r < 2"), t.V.where("r >= 4.5"), "voxel_id", 4)
+    near = spatial.nearest_source(t.V.where("r < 2"), t.V.where("r >= 4.5"), "voxel_id")
     served = near.select(F.floor((F.col("z") - 1) / 24).alias("block_id"), F.col("voxel_id").alias("label"), "distance")
     votes = served.groupBy("block_id", "label").agg(F.count("*").alias("n")).groupBy("block_id").agg(F.min(F.struct(-F.col("n"), F.col("label"))).alias("m")).select("block_id", F.col("m.label").alias("modal"))
     sums = served.groupBy("block_id").agg(F.count("*").alias("n"), r6(F.avg("distance")).alias("mean"), r6(F.median("distance")).alias("median"))
@@ -50,25 +56,61 @@ def f18(t: Tables) -> DataFrame:
     return sums.join(shares, "label", "left").select(*sums.columns, r6(F.col("most") / F.when(F.col("taken") > 0, F.col("taken"))).alias("largest_share"))
 
 
-@query("f20_distance_to_surface", "WITH c AS (SELECT DISTINCT floor((x - 1) / 4.0) AS cx, floor((y - 1) / 4.0) AS cy FROM V), d AS (SELECT cx, cy, 4 * least(cx, 5 - cx, cy, 5 - cy) AS d FROM c) SELECT block_id, round(avg(d), 6) AS distance FROM V JOIN d ON cx = floor((x - 1) / 4.0) AND cy = floor((y - 1) / 4.0) GROUP BY block_id")
-def f20(t: Tables) -> DataFrame:
-    """Mean over each block's voxels of a distance field of four times the step."""
-    cell = t.V.select("block_id", F.floor((F.col("x") - 1) / 4).alias("cx"), F.floor((F.col("y") - 1) / 4).alias("cy"))
-    field = cell.select("cx", "cy").distinct().withColumn("d", 4 * F.least("cx", 5 - F.col("cx"), "cy", 5 - F.col("cy")))
-    return cell.join(field, ["cx", "cy"]).groupBy("block_id").agg(r6(F.avg("d")).alias("distance"))
+def r8(c: Column) -> Column:
+    return F.round(c, 8)
+
 
+COARSE = "SELECT DISTINCT (x - 1) // 4 AS x, (y - 1) // 4 AS y, (z - 1) // 4 AS z FROM V"
 
-@query("f22_intensity_profile", "WITH o AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY voxel_id) AS i, count(*) OVER (PARTITION BY block_id) AS n FROM V), s AS (SELECT block_id, any_value(n) AS n, avg(r) AS mean, stddev_samp(r) AS std, median(r) AS median, min(r) AS least, max(r) AS most, max(r) FILTER (i = 1) AS first, max(r) FILTER (i = n) AS last, max(r) FILTER (i = (n + 1) // 2) AS middle, arg_min(i, r * 1000000 + i) AS place FROM o GROUP BY block_id) SELECT block_id, round(mean, 6) AS mean, round(std, 6) AS std, round(median, 6) AS median, least, most, first, last, middle, round(place / n, 6) AS least_at, round(mean / nullif(std, 0), 6) AS snr FROM s")
+
+@query("f20_distance_to_surface", f"WITH c AS ({COARSE}), d AS (SELECT a.x, a.y, a.z, min({D3}) AS d FROM c a, c b WHERE b.x IN (0, 5) OR b.y IN (0, 5) GROUP BY 1, 2, 3) SELECT block_id, round(avg(4 * d), 6) AS distance FROM V JOIN d ON d.x = (V.x - 1) // 4 AND d.y = (V.y - 1) // 4 AND d.z = (V.z - 1) // 4 GROUP BY block_id")
+def f20(t: Tables) -> DataFrame:
+    """Mean over each block's voxels of the distance to the surface, a field on cells of four voxels: the nearest cell at an outer side."""
+    cell = t.V.select("block_id", *(F.expr(f"({k} - 1) div 4").alias(k) for k in "xyz"))
+    coarse = cell.select("x", "y", "z").distinct()
+    surface = coarse.where("x IN (0, 5) OR y IN (0, 5)").withColumn("label", F.lit(1))
+    field = spatial.nearest_source(coarse, surface, "label", 2)
+    return cell.join(field, ["x", "y", "z"]).groupBy("block_id").agg(r6(F.avg(4 * F.col("distance"))).alias("distance"))
+
+
+@query("f22_classifier_link_features", f"""{chain_sql('V')}, o AS MATERIALIZED (SELECT label, pos, size, V.x, V.y, V.z, V.r FROM link JOIN V USING (voxel_id) WHERE size >= 3),
+st AS (SELECT a.label, sum({D3}) AS steps FROM o a JOIN o b ON a.label = b.label AND b.pos = a.pos + 1 GROUP BY 1),
+s AS (SELECT label, any_value(size) AS n, avg(r) AS mean, stddev_samp(r) AS std, median(r) AS median, min(r) AS least, max(r) AS most, max(r) FILTER (pos = 1) AS first, max(r) FILTER (pos = size) AS last, max(r) FILTER (pos = (size + 1) // 2) AS middle, arg_min(pos, r * 1000000 + pos) AS place,
+ max(x) FILTER (pos = 1) AS ax, max(y) FILTER (pos = 1) AS ay, max(z) FILTER (pos = 1) AS az, max(x) FILTER (pos = size) AS bx, max(y) FILTER (pos = size) AS by_, max(z) FILTER (pos = size) AS bz,
+ min(x) - 2 AS x0, max(x) + 2 AS x1, min(y) - 2 AS y0, max(y) + 2 AS y1, min(z) - 2 AS z0, max(z) + 2 AS z1 FROM o GROUP BY label),
+g AS (SELECT s.label, count(*) AS bg_n, avg(V.r) AS bg_mean, stddev_samp(V.r) AS bg_std FROM s JOIN V ON V.z BETWEEN z0 AND z1 AND V.x BETWEEN x0 AND x1 AND V.y BETWEEN y0 AND y1 WHERE (s.label, V.x, V.y, V.z) NOT IN (SELECT (label, x, y, z) FROM o) GROUP BY 1),
+w AS (SELECT s.*, 1 + steps AS length, sqrt(pow(ax - bx, 2) + pow(ay - by_, 2) + pow(az - bz, 2)) AS chord, coalesce(bg_n, 0) AS bg_n, bg_mean, bg_std FROM s JOIN st USING (label) LEFT JOIN g USING (label))
+SELECT label, n, round(mean, 8) AS mean, round(std, 8) AS std, round(median, 8) AS median, least, most, first, last, middle, round(place / n, 8) AS least_at, round(mean / nullif(std, 0), 8) AS snr,
+ round(abs(first - last), 8) AS end_difference, round((most - least) / length, 8) AS range_over_length, round((first + last) / nullif(chord, 0), 8) AS ends_over_chord, round(chord / length, 8) AS straightness, bg_n, round(bg_mean, 8) AS bg_mean, round(bg_std, 8) AS bg_std,
+ round(mean / nullif(bg_mean, 0), 8) AS over_background, round((mean - bg_mean) / nullif(bg_std, 0), 8) AS contrast, round(least / nullif(bg_mean, 0), 8) AS least_over_background, round((first + last) / 2 / nullif(middle, 0), 8) AS ends_over_middle FROM w""")
 def f22(t: Tables) -> DataFrame:
-    """Statistics of the values along ordered voxels: ends, middle and where the least one lies."""
-    w = Window.partitionBy("block_id")
-    o = t.V.select("block_id", "r", F.row_number().over(w.orderBy("voxel_id")).alias("i"), F.count("*").over(w).alias("n"))
-    at = lambda c: F.max(F.when(c, F.col("r")))
-    s = o.groupBy("block_id").agg(
-        F.max("n").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), F.median("r").alias("median"), F.min("r").alias("least"), F.max("r").alias("most"),
-        at(F.col("i") == 1).alias("first"), at(F.col("i") == F.col("n")).alias("last"), at(F.col("i") == F.expr("(n + 1) div 2")).alias("middle"), F.min(F.struct("r", "i"))["i"].alias("at"),
+    """Of links of three voxels or more: values along the voxels, radii against length and chord, and the voxels around in the bounding box grown by 2."""
+    o = linked(t.V).where("pos IS NOT NULL AND size >= 3").select("label", "voxel_id", "pos", "size").join(t.V.select("voxel_id", "x", "y", "z", "r"), "voxel_id")
+    at = lambda c, k="r": F.max(F.when(c, F.col(k)))
+    first, last = F.col("pos") == 1, F.col("pos") == F.col("size")
+    step = o.select("label", (F.col("pos") - 1).alias("pos"), *(F.col(k).alias(f"n{k}") for k in "xyz"))
+    gap = lambda a, b: F.sqrt(sum((F.pow((F.col(p) - F.col(q)).cast("double"), F.lit(2.0)) for p, q in zip(a, b, strict=True)), F.lit(0.0)))
+    steps = o.join(step, ["label", "pos"]).groupBy("label").agg(F.sum(gap(("x", "y", "z"), ("nx", "ny", "nz"))).alias("steps"))
+    s = o.groupBy("label").agg(
+        F.max("size").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), F.median("r").alias("median"), F.min("r").alias("least"), F.max("r").alias("most"),
+        at(first).alias("first"), at(last).alias("last"), at(F.col("pos") == F.expr("(size + 1) div 2")).alias("middle"), F.min(F.struct("r", "pos"))["pos"].alias("at"),
+        *(at(c, k).alias(f"{p}{k}") for p, c in (("a", first), ("b", last)) for k in "xyz"), *((f(k) + d).alias(f"{k}{i}") for k in "xyz" for i, f, d in ((0, F.min, -2), (1, F.max, 2))),
+    )
+    # the box in cells of eight voxels, which voxels are met in by equality
+    cut = lambda k, i: F.floor(F.col(f"{k}{i}") / 8)
+    boxes = s.select("label", *(f"{k}{i}" for k in "xyz" for i in (0, 1)))
+    for i, k in enumerate("xyz"):
+        boxes = boxes.withColumn(f"c{i}", F.explode(F.sequence(cut(k, 0), cut(k, 1))))
+    inside = boxes.join(spatial.cells(t.V.select("voxel_id", "x", "y", "z", "r"), 8), ["c0", "c1", "c2"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1")
+    around = inside.join(o.select("label", "voxel_id"), ["label", "voxel_id"], "left_anti").groupBy("label").agg(F.count("*").alias("bg_n"), F.avg("r").alias("bg_mean"), F.stddev_samp("r").alias("bg_std"))
+    w = s.join(steps, "label").join(around, "label", "left").withColumn("length", 1 + F.col("steps")).withColumn("chord", gap(("ax", "ay", "az"), ("bx", "by", "bz")))
+    c, over = F.col, lambda a, b: r8(a / F.when(b != 0, b))
+    return w.select(
+        "label", "n", *(r8(c(k)).alias(k) for k in ("mean", "std", "median")), "least", "most", "first", "last", "middle", r8(c("at") / c("n")).alias("least_at"), over(c("mean"), c("std")).alias("snr"),
+        r8(F.abs(c("first") - c("last"))).alias("end_difference"), r8((c("most") - c("least")) / c("length")).alias("range_over_length"), over(c("first") + c("last"), c("chord")).alias("ends_over_chord"), r8(c("chord") / c("length")).alias("straightness"),
+        F.coalesce("bg_n", F.lit(0)).alias("bg_n"), r8(c("bg_mean")).alias("bg_mean"), r8(c("bg_std")).alias("bg_std"), over(c("mean"), c("bg_mean")).alias("over_background"), over(c("mean") - c("bg_mean"), c("bg_std")).alias("contrast"),
+        over(c("least"), c("bg_mean")).alias("least_over_background"), over((c("first") + c("last")) / 2, c("middle")).alias("ends_over_middle"),
     )
-    return s.select("block_id", *(r6(F.col(k)).alias(k) for k in ("mean", "std", "median")), "least", "most", "first", "last", "middle", r6(F.col("at") / F.col("n")).alias("least_at"), r6(F.col("mean") / F.when(F.col("std") != 0, F.col("std"))).alias("snr"))
 
 
 RANGES = [(0, 2), (1, 3), (2, 4), (0, 5)]

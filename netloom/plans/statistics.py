@@ -137,10 +137,8 @@ def a15(t: Tables) -> DataFrame:
 WITH b AS (SELECT l_orderkey, {bin_sql('l_linenumber', [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 1e9])} AS bin, l_quantity FROM lineitem)
 SELECT l_orderkey, {', '.join(f'coalesce(sum(CASE WHEN bin = {i} THEN l_quantity END), 0) AS w{i}' for i in range(6))} FROM b GROUP BY 1""")
 def a16(t: Tables) -> DataFrame:
-    arrays = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("orders"), F.collect_list("l_quantity").alias("shares"))
-    rows = arrays.where("size(orders) = size(shares)").select("l_orderkey", F.inline(F.arrays_zip("orders", "shares")))
-    rows = rows.withColumn("bin", stats.bin_of(F.col("orders"), [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 1e9]))
-    return rows.groupBy("l_orderkey").agg(*(F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("shares"))), F.lit(0.0)).alias(f"w{i}") for i in range(6)))
+    rows = t.lineitem.select("l_orderkey", "l_quantity", stats.bin_of(F.col("l_linenumber"), [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 1e9]).alias("bin"))
+    return rows.groupBy("l_orderkey").agg(*(F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("l_quantity"))), F.lit(0.0)).alias(f"w{i}") for i in range(6)))
 
 
 @query("a17_max_projection", "SELECT x, y, max(r) AS r FROM V GROUP BY x, y")
