@@ -40,10 +40,17 @@ def f7(t: Tables) -> DataFrame:
     return moments.second_moments(t.C, ["block_id"], ["vx", "vy", "vz"]).select("block_id", *(F.round(k, 8).alias(k) for k in moments.SIX))
 
 
-@query("f6_principal_axes")
+def eigen_sql(source: str, keys: str) -> str:
+    """Common table expressions after ``source`` (keys, n, xx .. zz): ev, with e0 >= e1 >= e2, in closed form."""
+    return f"""ea AS (SELECT *, (xx + yy + zz) / 3 AS q, pow(xx - (xx + yy + zz) / 3, 2) + pow(yy - (xx + yy + zz) / 3, 2) + pow(zz - (xx + yy + zz) / 3, 2) + 2 * (xy * xy + xz * xz + yz * yz) AS p2 FROM {source}),
+eb AS (SELECT *, sqrt(p2 / 6) AS p FROM ea), ec AS (SELECT *, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / nullif(p * p * p, 0) / 2 AS half FROM eb),
+ed AS (SELECT *, acos(least(greatest(half, -1.0), 1.0)) / 3 AS phi FROM ec), ev AS (SELECT {keys}, n, CASE WHEN p2 <= 1e-300 THEN q ELSE q + 2 * p * cos(phi) END AS e0, CASE WHEN p2 <= 1e-300 THEN q ELSE 3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2.0943951023931953)) END AS e1, CASE WHEN p2 <= 1e-300 THEN q ELSE q + 2 * p * cos(phi + 2.0943951023931953) END AS e2 FROM ed)"""
+
+
+@query("f6_principal_axes", "WITH m AS (SELECT block_id, count(*) AS n, " + ", ".join(f"covar_samp(v{a}, v{b}) AS {a}{b}" for a, b in moments.SIX) + f" FROM C GROUP BY block_id), {eigen_sql('m', 'block_id')} SELECT block_id, round(e0, 6) AS eigenvalue_0, round(e1, 6) AS eigenvalue_1, round(e2, 6) AS eigenvalue_2 FROM ev")
 def f6(t: Tables) -> DataFrame:
     m = moments.second_moments(t.C, ["block_id"], ["vx", "vy", "vz"], sample=True)
-    return m.select("block_id", *(v.alias(f"eigenvalue_{i}") for i, v in enumerate(moments.eigenvalues([F.col(k) for k in moments.SIX]))))
+    return m.select("block_id", *(r6(v).alias(f"eigenvalue_{i}") for i, v in enumerate(moments.eigenvalues([F.col(k) for k in moments.SIX]))))
 
 
 @query("f8_radius_fill", "WITH g AS (SELECT *, CASE WHEN r < 1 THEN NULL ELSE r END AS q FROM V) SELECT voxel_id, round(CASE WHEN m IS NULL THEN 0 ELSE greatest(coalesce(q, m), 0.25) END, 6) AS radius FROM g JOIN (SELECT block_id, median(q) AS m FROM g GROUP BY 1) b USING (block_id)")
@@ -104,14 +111,14 @@ def f25(t: Tables) -> DataFrame:
     return boxes.groupBy("size").agg(F.count("*").alias("boxes"))
 
 
-@query("f26_orientation_anisotropy")
+@query("f26_orientation_anisotropy", "WITH u AS (SELECT block_id, length::DOUBLE AS w, f * vx / g AS x, f * vy / g AS y, f * vz / g AS z FROM (SELECT *, sqrt(pow(vx, 2) + pow(vy, 2) + pow(vz, 2)) AS g, CASE WHEN vz < 0 THEN -1 ELSE 1 END AS f FROM C) c WHERE g > 0), m AS (SELECT block_id, count(*) AS n, " + ", ".join(f"sum(w * {a} * {b}) / (sum(w) - 1) AS {a}{b}" for a, b in moments.SIX) + f" FROM u GROUP BY block_id HAVING count(*) >= 3), {eigen_sql('m', 'block_id')} SELECT block_id, n, round(e0, 6) AS eigenvalue_0, round(e1, 6) AS eigenvalue_1, round(e2, 6) AS eigenvalue_2, round(e2 / e0, 6) AS least_to_most, round(sqrt((pow(e0 - e1, 2) + pow(e1 - e2, 2) + pow(e0 - e2, 2)) / (2 * (e0 * e0 + e1 * e1 + e2 * e2))), 6) AS fractional_anisotropy FROM ev")
 def f26(t: Tables) -> DataFrame:
     gap = F.sqrt(F.pow("vx", F.lit(2)) + F.pow("vy", F.lit(2)) + F.pow("vz", F.lit(2)))
     chords = t.C.withColumn("gap", gap).where("gap > 0").withColumn("flip", F.when(F.col("vz") < 0, -1).otherwise(1))
     unit = chords.select("block_id", "length", *((F.col("flip") * F.col(f"v{k}") / F.col("gap")).alias(k) for k in "xyz"))
     m = moments.second_moments(unit, ["block_id"], ["x", "y", "z"], sample=True, weight="length", centred=False).where("n >= 3")
     values = moments.eigenvalues([F.col(k) for k in moments.SIX])
-    return m.select("block_id", "n", *(v.alias(f"eigenvalue_{i}") for i, v in enumerate(values)), (values[2] / values[0]).alias("least_to_most"), moments.anisotropy(values).alias("fractional_anisotropy"))
+    return m.select("block_id", "n", *(r6(v).alias(f"eigenvalue_{i}") for i, v in enumerate(values)), r6(values[2] / values[0]).alias("least_to_most"), r6(moments.anisotropy(values)).alias("fractional_anisotropy"))
 
 
 @query("f29_axis_cosine", "SELECT a.block_id, round(abs(a.x * b.x + a.y * b.y) / (sqrt(a.x * a.x + a.y * a.y) * sqrt(b.x * b.x + b.y * b.y)), 6) AS cosine FROM (SELECT block_id, avg(vx) AS x, avg(vz) AS y FROM C WHERE class = 'A' GROUP BY 1) a JOIN (SELECT block_id, avg(vx) AS x, avg(vz) AS y FROM C WHERE class = 'N' GROUP BY 1) b USING (block_id)")
@@ -194,18 +201,6 @@ def x5(t: Tables) -> DataFrame:
     return moments.through_origin(t.part, ["p_brand"], x, F.col("p_retailprice")).withColumn("slope", r6(F.col("slope")))
 
 
-@query("x8_edge_removal_curve")
-def x8(t: Tables) -> DataFrame:
-    from ..operators.graph import components
-
-    shares = F.array(*(F.lit(p) for p in (0.2, 0.5, 0.8)))
-    edges = t.L.withColumn("p", F.explode(shares)).where(F.pmod(F.xxhash64("link_label", "p"), F.lit(1000)) < F.col("p") * 1000)
-    step = F.round(F.col("p") * 10).cast("long") * 10**12
-    found = components(edges.select((F.col("node_a") + step).alias("u"), (F.col("node_b") + step).alias("v")))
-    sizes = found.groupBy((F.floor(F.col("component") / 10**12) / 10).alias("p"), "component").agg(F.count("*").alias("n"))
-    return sizes.groupBy("p").agg(F.count("*").alias("components"), F.max("n").alias("largest"), (F.max("n") / F.sum("n")).alias("share"))
-
-
 @query("x11_calibration_curve", f"WITH p AS (SELECT {bin_sql('l_quantity', [1.0, 3.0, 9.0, 27.0, 81.0])} AS bin, l_extendedprice AS y FROM lineitem) SELECT bin, count(*) AS n, round(median(y), 6) AS median FROM p GROUP BY bin")
 def x11(t: Tables) -> DataFrame:
     rows = t.lineitem.select(stats.bin_of(F.col("l_quantity"), [1.0, 3.0, 9.0, 27.0, 81.0]).alias("bin"), F.col("l_extendedprice").alias("y"))

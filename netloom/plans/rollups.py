@@ -74,9 +74,11 @@ def q8(t: Tables) -> DataFrame:
     return rounded(out.drop("total")).join(out.select("block_id", "feature", F.round("total", 5).alias("total")), ["block_id", "feature"])
 
 
-@query("q9_block_table", "SELECT b.block_id, s.n FROM (SELECT range AS block_id FROM range(40)) b LEFT JOIN (SELECT block_id, count(*) AS n FROM V GROUP BY 1) s USING (block_id)")
+@query("q9_block_table", "SELECT b.block_id, s.n FROM (SELECT unnest(range((SELECT max(block_id) + 1 FROM V))) AS block_id) b LEFT JOIN (SELECT block_id, count(*) AS n FROM V GROUP BY 1) s USING (block_id)")
 def q9(t: Tables) -> DataFrame:
-    return t.spark.range(40).withColumnRenamed("id", "block_id").join(t.V.groupBy("block_id").agg(F.count("*").alias("n")), "block_id", "left")
+    """A row for each block of the volume, null where it has no voxels."""
+    blocks = t.V.agg(F.max("block_id").alias("last")).where("last IS NOT NULL").select(F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block_id"))
+    return blocks.join(t.V.groupBy("block_id").agg(F.count("*").alias("n")), "block_id", "left")
 
 
 @query("q10_whole_graph_statistics", "WITH d AS (SELECT node, count(*) AS degree FROM (SELECT unnest([node_a, node_b]) AS node FROM L) e GROUP BY node) SELECT degree, count(*) AS nodes, (SELECT count(*) FROM L) AS links, (SELECT round(sum(length), 5) FROM L) AS length FROM d GROUP BY degree")
@@ -142,23 +144,36 @@ def v1(t: Tables) -> DataFrame:
     return t.V.groupBy(*cell).agg(F.max("r").alias("most"), r6(F.avg("r")).alias("mean"))
 
 
-GRID = "cells AS (SELECT user_id % 16 AS row, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day, sum(value) AS v FROM events GROUP BY 1, 2)"
+BOX = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+BOX_SQL = "e AS (SELECT max(z) AS zmax FROM V), o AS (SELECT a.i AS dx, b.i AS dy, c.i AS dz FROM range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i)), p AS (SELECT DISTINCT x + dx AS x, y + dy AS y, z + dz AS z FROM V, o, e WHERE x + dx BETWEEN 1 AND 24 AND y + dy BETWEEN 1 AND 24 AND z + dz BETWEEN 1 AND zmax), w AS (SELECT p.x, p.y, p.z, V.r FROM p CROSS JOIN o CROSS JOIN e LEFT JOIN V ON V.x = least(greatest(p.x + dx, 1), 24) AND V.y = least(greatest(p.y + dy, 1), 24) AND V.z = least(greatest(p.z + dz, 1), zmax))"
 
 
-def cells(t: Tables) -> DataFrame:
-    return t.events.groupBy((F.col("user_id") % 16).alias("row"), F.datediff(F.to_date("ts"), F.lit("1970-01-01")).alias("day")).agg(F.sum("value").alias("v"))
+def in_boxes(t: Tables) -> DataFrame:
+    """x, y, z, r and times: each voxel in all boxes of 3 x 3 x 3 cells that hold it; cells beyond the volume repeat its edge."""
+    ends = t.V.agg(F.max("z").alias("zmax"))
+    away = spatial.shifted(t.V.crossJoin(F.broadcast(ends)).select("x", "y", "z", "r", "zmax"), BOX).where("nx BETWEEN 1 AND 24 AND ny BETWEEN 1 AND 24 AND nz BETWEEN 1 AND zmax")  # ends: one row
+    again = lambda k, last: F.when(F.col(f"n{k}") == F.col(k), 1 + (F.col(k) == 1).cast("int") + (F.col(k) == last).cast("int")).otherwise(1)
+    return away.select(*(F.col(f"n{k}").alias(k) for k in "xyz"), "r", (again("x", 24) * again("y", 24) * again("z", F.col("zmax"))).alias("times"))
 
 
-@query("v3_local_mean_and_std", f"WITH {GRID} SELECT row, day, round(avg(v) OVER w, 4) AS mean, round(stddev_pop(v) OVER w, 4) AS std FROM cells WINDOW w AS (PARTITION BY row ORDER BY day RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+@query("v3_local_mean_and_std", f"WITH {BOX_SQL} SELECT x, y, z, round(avg(coalesce(r, 0)), 6) AS mean, round(stddev_pop(coalesce(r, 0)), 6) AS std, round(stddev_samp(coalesce(r, 0)), 6) AS sample_std FROM w GROUP BY 1, 2, 3")
 def v3(t: Tables) -> DataFrame:
-    w = Window.partitionBy("row").orderBy("day").rangeBetween(-2, 2)
-    return cells(t).select("row", "day", F.round(F.avg("v").over(w), 4).alias("mean"), F.round(F.stddev_pop("v").over(w), 4).alias("std"))
+    """Mean and both standard deviations of boxes of 27 cells around, cells without a voxel being 0; boxes without a voxel are left out."""
+    times, r = F.col("times"), F.col("r")
+    sums = in_boxes(t).groupBy("x", "y", "z").agg(F.sum(times * r).alias("s"), F.sum(times * r * r).alias("q"))
+    rest = F.greatest(F.col("q") - F.col("s") * F.col("s") / 27, F.lit(0.0))
+    return sums.select("x", "y", "z", r6(F.col("s") / 27).alias("mean"), r6(F.sqrt(rest / 27)).alias("std"), r6(F.sqrt(rest / 26)).alias("sample_std"))
 
 
-@query("v4_masked_local_mean", f"WITH {GRID} SELECT row, day, CASE WHEN day % 3 <> 0 THEN round(avg(CASE WHEN day % 3 <> 0 THEN v END) OVER w, 4) END AS mean FROM cells WINDOW w AS (PARTITION BY row ORDER BY day RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+@query("v4_masked_local_mean", f"WITH {BOX_SQL} SELECT w.x, w.y, w.z, CASE WHEN any_value(m.r) >= 2 THEN count(*) FILTER (w.r >= 2) END AS n, CASE WHEN any_value(m.r) >= 2 THEN round(avg(w.r) FILTER (w.r >= 2), 6) END AS mean, CASE WHEN any_value(m.r) >= 2 THEN round(stddev_pop(w.r) FILTER (w.r >= 2), 6) END AS std FROM w JOIN V m ON m.x = w.x AND m.y = w.y AND m.z = w.z GROUP BY 1, 2, 3")
 def v4(t: Tables) -> DataFrame:
-    w, mask = Window.partitionBy("row").orderBy("day").rangeBetween(-2, 2), F.col("day") % 3 != 0
-    return cells(t).select("row", "day", F.when(mask, F.round(F.avg(F.when(mask, F.col("v"))).over(w), 4)).alias("mean"))
+    """The same over voxels of 2 or more only, for all voxels; null where the voxel itself is below 2."""
+    times, r = F.col("times"), F.col("r")
+    sums = in_boxes(t).where("r >= 2").groupBy("x", "y", "z").agg(F.sum(times).alias("n"), F.sum(times * r).alias("s"), F.sum(times * r * r).alias("q"))
+    rows = t.V.select("x", "y", "z", F.col("r").alias("own")).join(sums, ["x", "y", "z"], "left")
+    mask = lambda c: F.when(F.col("own") >= 2, c)
+    rest = F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0))
+    return rows.select("x", "y", "z", mask(F.col("n")).alias("n"), mask(r6(F.col("s") / F.col("n"))).alias("mean"), mask(r6(F.sqrt(rest / F.col("n")))).alias("std"))
 
 
 @query("v5_contrast_stretch", "WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem), m AS (SELECT l_suppkey, max(CASE WHEN i = greatest(floor((n * 5 + 50) / 100), 1) THEN l_extendedprice END) AS a, max(CASE WHEN i = floor((n * 95 + 50) / 100) THEN l_extendedprice END) AS b FROM o GROUP BY 1) SELECT l_orderkey, l_linenumber, round(CASE WHEN a = b THEN l_extendedprice ELSE (least(greatest(l_extendedprice, a), b) - a) / (b - a) END, 6) AS v FROM lineitem JOIN m USING (l_suppkey)")
@@ -232,11 +247,19 @@ def t4(t: Tables) -> DataFrame:
     return marked.groupBy("tile").agg((~(full[0] & full[1])).alias("flagged"))
 
 
-@query("t6_curvature_model", "SELECT l_suppkey AS tile, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS linear FROM lineitem GROUP BY 1 HAVING count(*) >= 3")
+CURVE = "sums AS (SELECT l_suppkey AS tile, count(*)::DOUBLE AS n, sum(x) AS s1, sum(x * x) AS s2, sum(x * x * x) AS s3, sum(x * x * x * x) AS s4, sum(y) AS t0, sum(x * y) AS t1, sum(x * x * y) AS t2 FROM (SELECT l_suppkey, l_quantity - 25.0 AS x, l_extendedprice / 10000.0 AS y FROM lineitem) p GROUP BY 1 HAVING count(*) >= 3), fit AS (SELECT tile, n, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / d AS c0, (n * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / d AS c1, (n * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / d AS c2 FROM (SELECT *, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS d FROM sums) q WHERE d <> 0)"
+
+
+@query("t6_curvature_model", f"WITH {CURVE}, rest AS (SELECT l_suppkey AS tile, count(*) FILTER (abs(l_extendedprice / 10000.0 - (c0 + c1 * (l_quantity - 25.0) + c2 * pow(l_quantity - 25.0, 2))) > 2) AS outliers FROM lineitem JOIN fit ON tile = l_suppkey GROUP BY 1) SELECT tile, n::BIGINT AS n, round(CASE WHEN abs(c2) > 0.0001 THEN 25 - c1 / (2 * c2) END, 2) AS p1, round(-c2, 6) AS p2, round(CASE WHEN abs(c2) > 0.0001 THEN c0 - c1 * c1 / (4 * c2) END, 4) AS p3, outliers, outliers < 0.25 * n AS valid FROM fit JOIN rest USING (tile)")
 def t6(t: Tables) -> DataFrame:
-    fit = moments.quadratic(t.lineitem, ["l_suppkey"], F.col("l_quantity"), F.col("l_extendedprice")).select(F.col("l_suppkey").alias("tile"), "n")
-    slope = t.lineitem.groupBy(F.col("l_suppkey").alias("tile")).agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("linear"))
-    return fit.join(slope, "tile")
+    """y = p3 - p2 (x - p1)^2 of each tile; rows more than 2 off are outliers, and a model with under a quarter of them is valid. A line (no curvature) has no p1 and p3."""
+    x, y = F.col("l_quantity") - 25.0, F.col("l_extendedprice") / 10000.0  # centred, so the sums are well conditioned
+    fit = moments.quadratic(t.lineitem, ["l_suppkey"], x, y).where("c2 IS NOT NULL")
+    off = F.abs(y - (F.col("c0") + F.col("c1") * x + F.col("c2") * x * x))
+    rest = t.lineitem.join(fit, "l_suppkey").groupBy("l_suppkey").agg(F.count(F.when(off > 2, 1)).alias("outliers"))
+    c0, c1, c2 = (F.col(f"c{k}") for k in range(3))
+    bent = lambda v: F.when(F.abs(c2) > 0.0001, v)
+    return fit.join(rest, "l_suppkey").select(F.col("l_suppkey").alias("tile"), "n", F.round(bent(25 - c1 / (2 * c2)), 2).alias("p1"), F.round(-c2, 6).alias("p2"), F.round(bent(c0 - c1 * c1 / (4 * c2)), 4).alias("p3"), "outliers", (F.col("outliers") < 0.25 * F.col("n")).alias("valid"))
 
 
 @query("t8_unreliable_tiles", "WITH m AS (SELECT avg(model) AS mean FROM T WHERE reliable) SELECT tile, abs(model - mean) > 0.5 * abs(mean) AS deviates FROM T, m")

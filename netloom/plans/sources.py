@@ -52,7 +52,7 @@ def l5(t: Tables) -> DataFrame:
     return out.select("tp", "tn", "fp", "fn", *(r6(F.col(k)).alias(k) for k in ("precision", "recall", "false_rate")))
 
 
-@query("l6_hashed_folds")
+@query("l6_hashed_folds", "SELECT doc_id, CAST('0x' || substr(md5(doc_id::VARCHAR || '|7'), 1, 8) AS BIGINT) % 5 AS fold FROM labels")
 def l6(t: Tables) -> DataFrame:
     return learning.folds(t.labels, "doc_id", 5, 7).select("doc_id", "fold")
 
@@ -82,7 +82,7 @@ def m2(t: Tables) -> DataFrame:
     return trees.prune_leaves(tree(t), 300).select("tree", "id")
 
 
-@query("m3_downsample_tree")
+@query("m3_downsample_tree", f"{BRANCHES}, far AS (SELECT e.tree, e.id, e.branch, coalesce(sum(s.step), 0) AS along FROM ends e LEFT JOIN walk w ON w.tree = e.tree AND w.id = e.id AND w.rank > 0 LEFT JOIN steps s ON s.tree = w.tree AND s.id = w.spot GROUP BY 1, 2, 3), c AS (SELECT tree, id, branch, floor(round(along, 9) / 10.0) AS cell, lag(floor(round(along, 9) / 10.0)) OVER (PARTITION BY tree, branch ORDER BY along, id) AS before FROM far) SELECT tree, id FROM c WHERE id = branch OR cell > before")
 def m3(t: Tables) -> DataFrame:
     return trees.downsample(tree(t), 10.0).select("tree", "id")
 
@@ -92,6 +92,10 @@ def m4(t: Tables) -> DataFrame:
     return trees.upsample(tree(t), 4.0).select("tree", "id", r6(F.col("at")).alias("at"), r6(F.col("x")).alias("x"))
 
 
-@query("m5_smooth_tree")
+def median_sql(source: str) -> str:
+    return f"SELECT tree, id, parent, branch, rank, " + ", ".join(f"CASE WHEN id <> branch THEN median({k}) OVER (PARTITION BY tree, branch ORDER BY rank, id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) ELSE {k} END AS {k}" for k in "xyz") + f" FROM {source}"
+
+
+@query("m5_smooth_tree", f"{BRANCHES}, placed AS (SELECT t.tree, t.id, t.parent, e.branch, e.rank, x, y, z FROM tree t JOIN ends e USING (tree, id)), once AS ({median_sql('placed')}), twice AS ({median_sql('once')}) SELECT tree, id, parent, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM twice")
 def m5(t: Tables) -> DataFrame:
-    return trees.smooth(tree(t), width=3)
+    return trees.smooth(tree(t), width=3).select("tree", "id", "parent", *(r6(F.col(k)).alias(k) for k in "xyz"))

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from netloom.operators import graph, moments, spatial, stats, trees
+from netloom.operators import graph, moments, paths, spatial, stats, trees
+from netloom.plans import fields, refinement
 from netloom.sources import files
 
 
@@ -79,3 +80,57 @@ def test_files(spark, tmp_path):
     assert files.read_analysis(spark, str(tmp_path / "t")).count() == 2
     files.write_region_csv(table, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv/all"), header=True).count() == 2 and spark.read.csv(str(tmp_path / "csv/finite"), header=True).count() == 1
+
+
+def test_large_and_small_stars(spark):
+    """A chain of 300, a star of 200, a pair, a loop and a node by itself."""
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 201)] + [(2001, 2000), (3000, 3000)]
+    found = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(201)} | {2000: 2000, 2001: 2000, 3000: 3000}
+    assert graph.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_shortest_loops_of_many_links(spark):
+    """A ring of eight short links is shorter than the way by two long ones."""
+    ring = [(i, i, (i + 1) % 8, 1.0) for i in range(8)] + [(100, 0, 50, 30.0), (101, 50, 4, 30.0), (102, 9, 9, 2.0), (103, 60, 61, 1.0)]
+    df = spark.createDataFrame(ring, "link_label long, node_a long, node_b long, length double")
+    got = {r.link_label: (r.length, r.n_edges) for r in paths.shortest_loops(df).collect()}
+    assert got == {i: (8.0, 8) for i in range(8)} | {100: (64.0, 6), 101: (64.0, 6), 102: (2.0, 1)}
+
+
+def test_nearest_however_far(spark):
+    points = spark.createDataFrame([(0.0, 0.0, 0.0), (5000.0, 0.0, 0.0), (3.0, 4.0, 0.0)], "x double, y double, z double")
+    sources = spark.createDataFrame([(7, 0.0, 0.0, 1.0), (5, 0.0, 1.0, 0.0)], "id long, x double, y double, z double")
+    got = {r.x: (r.id, round(r.distance, 3)) for r in spatial.nearest_source(points, sources, "id", 1).collect()}
+    assert got == {0.0: (5, 1.0), 5000.0: (5, 5000.0), 3.0: (5, 4.243)}
+    assert spatial.nearest_source(points, sources.where("id > 9"), "id").collect() == []
+
+
+def test_ranks_in_parts(spark):
+    df = spark.createDataFrame([("a" if i % 3 else None, float(i * i % 997)) for i in range(3000)], "k string, v double")
+    for keys in (["k"], []):
+        rows = [(r["k"] if keys else 0, r.v, r.c, r.first, r.last, r.n) for r in stats._ranked(df, keys, "v").collect()]
+        for k in {r[0] for r in rows}:
+            own = sorted(float(i * i % 997) for i in range(3000) if not keys or ("a" if i % 3 else None) == k)
+            assert sorted(r[1:] for r in rows if r[0] == k) == [(v, own.count(v), own.index(v) + 1, own.index(v) + own.count(v), len(own)) for v in sorted(set(own))]
+
+
+def test_clean_up_ends(spark):
+    """A stub falls, the chain it hung on becomes one link; of a weak pair one goes."""
+    rows = [(1, 1, 2, 5.0, 30, 9), (2, 2, 3, 5.0, 30, 9), (3, 2, 9, 1.0, 2, 5), (4, 3, 4, 5.0, 10, 3), (5, 3, 4, 6.0, 40, 8), (6, 4, 5, 9.0, 60, 9), (7, 4, 6, 9.0, 60, 9), (8, 1, 7, 9.0, 60, 9), (9, 1, 8, 9.0, 60, 9)]
+    df = spark.createDataFrame(rows, "link_label long, node_a long, node_b long, length double, n_voxel long, intensity long")
+    left, audit = refinement.clean_up(df)
+    assert sorted((r["round"], r.kind, r.n) for r in audit.collect()) == [(1, "hair", 1), (1, "parallel", 1)]
+    assert sorted((r.link_label, r.length) for r in left.collect()) == [(1, 16.0), (6, 9.0), (7, 9.0), (8, 9.0), (9, 9.0)]
+
+
+def test_axis_of_points(spark):
+    df = spark.createDataFrame([(1, float(k), 2.0 * k, 2.0 * k) for k in range(-3, 4)], "g int, x double, y double, z double")
+    row = refinement.axes(df, ["g"]).first()
+    assert all(abs(abs(row[f"u{k}"]) - v) < 1e-6 for k, v in (("x", 1 / 3), ("y", 2 / 3), ("z", 2 / 3)))
+
+
+def test_affine_of_tiles(spark):
+    rows = [(1, *p, *(sum(a * b for a, b in zip(m, p, strict=True)) for m in ((0.1, 0, 0.02), (0, 0.2, 0), (0.01, 0, 0.3)))) for p in ((200.0, 1.0, 0.0), (0.0, 180.0, 2.0), (3.0, 0.0, 150.0), (-200.0, -1.0, 0.0))]
+    row = fields.affine(spark.createDataFrame(rows, "tile int, p0 double, p1 double, p2 double, s0 double, s1 double, s2 double"), "tile").first()
+    assert [round(v, 9) for v in row[2:]] == [0.1, 0, 0.02, 0, 0.2, 0, 0.01, 0, 0.3]
