@@ -26,25 +26,30 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a window of 50 words shared with a smaller doc_id covers, removed: one row a row of documents. Null texts have no words; rows of null ids stay whole and are no reference; see relative_lz.py."""
     return relative_lz(table(spark, sf_dir, "documents").select("doc_id", "text"), width=50, digests=True, carry=["doc_id"])
 
 
 def op2_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row, near equal bytes (law ``bytes``). Null texts have no bytes (size 1, crc 0); rows that agree are told apart by an arbitrary row number; see histogram_sort.py."""
     placed = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=8, carry=["doc_id"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every row and the least doc_id that links of up to two bits reach. Null and empty texts have fingerprint zero; null ids are never least; see simhash.py."""
     return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, radius=2, seed=42, carry=["doc_id"])
 
 
 def op4_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each token length that occurs, with totals for every context limit. Null and empty texts have length 0; no documents, no rows; see token_counts.py."""
     docs = table(spark, sf_dir, "documents").select("text")
     lengths = token_counts.encoded_lengths(docs, Path(VOCABULARY).read_bytes(), public_tokenizers.PATTERN)
     return token_counts.length_histogram(lengths)
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that a string of 400 bytes covers which also starts anywhere else, removed: one row a row of documents. Null texts are empty; repeated rows go in all places; see suffix_dedup.py."""
     return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), width=400, digests=True, carry=["doc_id"])
 
 
@@ -55,25 +60,30 @@ def page_outcomes(labels: DataFrame) -> DataFrame:
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or reputation verdict of every page. Null urls have an empty host and path; null and repeated ids are judged like any other; see reputation.py."""
     judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), page_outcomes(table(spark, sf_dir, "labels")), carry=["page_id"])
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every row. Null texts have size 0; null sources are one source, last; see mixing.py."""
     return Mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=["doc_id"]).documents()
 
 
 def op8_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every row. Null and empty texts have no words and fail the base; null languages and sources are groups; see quality.py."""
     judged = quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of every row's ids and of their decoded bytes. Null and empty texts have no ids; see bpe.py."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_op.bpe(docs, Path(VOCABULARY).read_bytes(), public_tokenizers.PATTERN, digests=True, carry=["doc_id"])
 
 
 def op10_pivot_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector. Null, zero and non-finite vectors link with nothing; rows of one id are separate vectors; see pivots.py."""
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95, carry=["vec_id"])
 
 

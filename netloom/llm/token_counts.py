@@ -1,4 +1,9 @@
-"""Exact token length histogram, with answers for every context limit."""
+"""Exact token length histogram, with answers for every context limit.
+
+Defined cases: a null or empty text has length 0; every row counts, so repeated rows and null ids
+need no care, and texts of any length are one row; rows of null length are left out of a
+histogram; an empty table gives no rows; a column named like the length is replaced.
+"""
 
 from __future__ import annotations
 
