@@ -31,6 +31,8 @@ BLOCK, STRETCH, PART = 128, 8192, 2048
 #: 2**32 divided by the golden ratio, odd (a fixed value), and cells of the unit interval that sources are looked up by.
 GOLDEN, CELLS = 2654435769, 1024
 WEIGHTS = (1, 2, 3)
+#: Sources whose rows (some 100 bytes each) are broadcast to the documents; more meet them in an ordinary join.
+FEW = 100_000
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
@@ -92,11 +94,12 @@ class Mix:
         total, n = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
         totals = narrow.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"))
         self.sources = written(source_targets(totals, weights, most))
+        self.few = F.broadcast if self.sources.count() <= FEW else lambda df: df
         self.slots = written(schedule(self.sources, -(-total // block)))
         parts = 1 << max(0, (n // PART).bit_length())
         part = F.floor((F.col("__h").cast("double") + float(1 << 63)) / float(1 << 64) * (1 - 2**-40) * parts)
         sizes = self.sources.select(F.col("source").alias("__s"), "sid", "source_size", "target")
-        of_source = narrow.withColumn("__part", part).join(sizes, narrow["__source"].eqNullSafe(F.col("__s"))).drop("__s", "__source")
+        of_source = narrow.withColumn("__part", part).join(self.few(sizes), narrow["__source"].eqNullSafe(F.col("__s"))).drop("__s", "__source")
         counts = of_source.groupBy("sid", "__part").agg(F.sum("size").alias("n"))
         before = sums_before(counts, "sid", "__part", "n").select("sid", "__part", "before")
         order = Window.partitionBy("sid", "__part").orderBy("__h", "__id", "__row").rowsBetween(Window.unboundedPreceding, 0)
@@ -107,7 +110,7 @@ class Mix:
     def pieces(self) -> DataFrame:
         """What each slot takes: slot, sid, begin (of the document), turn (of the stream), n (words) from word ``skip`` on."""
         taken = self.slots.groupBy("sid").agg((F.count("*") * self.block).alias("limit"))
-        docs = self.placed.where("size > 0").select("sid", "begin", "size", "source_size").join(taken, "sid")
+        docs = self.placed.where("size > 0").select("sid", "begin", "size", "source_size").join(self.few(taken), "sid")
         docs = docs.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(self.most - 1))))
         docs = docs.withColumn("first", F.col("begin") + F.col("turn") * F.col("source_size")).where("first < limit")
         docs = docs.withColumn("last", F.least(F.col("first") + F.col("size"), "limit"))
