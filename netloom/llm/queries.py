@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from . import bpe as bpe_op
 from . import token_counts
+from .hard_negatives import hard_negatives, negatives_sql
 from .histogram_sort import shard_documents
+from .html_text import extract_text
 from .mixing import Mix
 from .pivots import near_vectors
 from .quality import quality
@@ -20,6 +22,7 @@ from .reputation import filter_sql, filter_urls
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
 from .tables import table
+from .whitening import whiten
 
 #: Vocabulary of the tokenizing queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -87,6 +90,22 @@ def op10_pivot_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95, carry=["vec_id"])
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best negatives of each positive's window, for all anchors against all rows. Rows with a null id, label, vector or component, or a non-finite one, take no part; see hard_negatives.py."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_consensus_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Null and empty pages have an empty text; pages with a null url are judged alone; see html_text.py."""
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), carry=["page_id", "url"])
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector without null or non-finite entries; see whitening.py."""
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4, carry=["vec_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_relative_lz_dedup": op1_relative_lz_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
@@ -98,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_robust_quality": op8_robust_quality,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_pivot_permutation_index": op10_pivot_permutation_index,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_consensus_extraction": op12_consensus_extraction,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_url_reputation": filter_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_url_reputation": filter_sql(), "op11_hard_negatives": negatives_sql()}
