@@ -41,5 +41,5 @@ def test_no_voxels(spark):
 
 def test_theta_loops(spark):
     links = spark.createDataFrame([(1, 1, 2, 5.0), (2, 1, 2, 7.0), (3, 1, 2, 9.0), (4, 3, 3, 2.0), (5, 2, 4, 1.0)], "link_label long, node_a long, node_b long, length double")
-    got = {r["link_label"]: (r["length"], r["n_edges"]) for r in paths.shortest_loops(links, 3).collect()}
+    got = {r["link_label"]: (r["length"], r["n_edges"]) for r in paths.shortest_loops(links).collect()}
     assert got == {1: (12.0, 2), 2: (12.0, 2), 3: (14.0, 2), 4: (2.0, 1)}
