@@ -53,25 +53,68 @@ def mutual_nearest(left: DataFrame, right: DataFrame, key: str, radius: float) -
     return best_a.join(best_b, ["a", "b"])
 
 
-def nearest(points: DataFrame, sources: DataFrame, label: str, radius: float, weights: Sequence[float] = (1, 1, 1)) -> DataFrame:
-    """Each point (x, y, z, different ones) with the label and distance of its nearest source under axis weights; ties: the least label.
+def _box(size: float) -> tuple[Column, Column]:
+    """Distance of p to the nearest and to the farthest place of the cell c0, c1, c2."""
+    low = [F.col(f"c{i}") * size - F.col(f"p{i}") for i in range(3)]
+    gaps = [(F.greatest(d, -d - size, F.lit(0.0)), F.greatest(F.abs(d), F.abs(d + size))) for d in low]
+    return tuple(F.sqrt(sum((g[side] * g[side] for g in gaps), F.lit(0.0))) for side in (0, 1))
+
 
-    Rings widen: points that have no source within ``radius`` are looked at again with twice that,
-    until none is left. Without sources there are no rows.
+def _near_cells(left: DataFrame, given: DataFrame, label: str, k: int, radius: float, size: float) -> DataFrame:
+    """``p`` and the cells of ``size`` that may hold one of its ``k`` nearest labels within ``radius``.
+
+    Occupied cells, with two of their labels, stand for their sources: the k-th label's farthest
+    place bounds the search, and cells that begin beyond it are passed over.
+    """
+    at = [F.col(f"c{i}") for i in range(3)]
+    occupied = cells(given, size).groupBy("c0", "c1", "c2").agg(F.min(label).alias("l0"), F.max(label).alias("l1"))
+    centres = occupied.select(*((c + 0.5) * size for c in at), "c0", "c1", "c2", "l0", "l1").toDF(*AXES, "c0", "c1", "c2", "l0", "l1")
+    pairs = within(left.select(*AXES, "p"), centres, radius + size).select("a.p", *(F.col(f"a.{a}").alias(f"p{i}") for i, a in enumerate(AXES)), "b.c0", "b.c1", "b.c2", "b.l0", "b.l1")
+    low, high = _box(size)
+    pairs = pairs.select("p", "c0", "c1", "c2", "l0", "l1", low.alias("low"), high.alias("high")).where(F.col("low") <= radius)
+    known = pairs.select("p", F.explode(F.array_distinct(F.array("l0", "l1"))).alias("l"), "high").groupBy("p", "l").agg(F.min("high").alias("high"))
+    bound = known.groupBy("p").agg(F.array_sort(F.collect_list("high")).alias("highs")) if k > 1 else known.groupBy("p").agg(F.array(F.min("high")).alias("highs"))
+    bound = bound.select("p", F.coalesce(F.get("highs", F.lit(k - 1)), F.lit(float("inf"))).alias("bound"))
+    return pairs.join(bound, "p").where("low <= bound").select("p", "c0", "c1", "c2")
+
+
+def k_nearest(points: DataFrame, sources: DataFrame, label: str, k: int, radius: float, weights: Sequence[float] = (1, 1, 1)) -> DataFrame:
+    """Each point (x, y, z, different ones) with its ``k`` (1 or 2) nearest labels under axis weights: label, distance, place (from 1); ties: the least label.
+
+    A label's distance is that of its nearest source. Rings widen: points with fewer labels than
+    that within ``radius`` are looked at again with twice that, until none is left or no label is.
+    After the first ring cells of a quarter of the radius are looked through before their sources.
+    Coordinates that are null or not finite are left out on both sides.
     """
-    scaled = lambda df, *more: df.select(*((F.col(k) * float(w)).alias(k) for k, w in zip(AXES, weights, strict=True)), *more)
-    left = checkpointed(scaled(points, F.struct(*AXES).alias("p")).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"))
-    given = checkpointed(scaled(sources, label).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"))
-    out = None
-    while not left.isEmpty() and not given.isEmpty():
-        near = within(left, given, radius)
-        best = near.groupBy("a.p").agg(F.min(F.struct(F.col("distance"), F.col(f"b.{label}").alias("label"))).alias("m"))
-        best = checkpointed(best.select("p", F.col("m.label").alias(label), F.col("m.distance").alias("distance")))
+    place = lambda a, w: F.col(a).cast("double") * float(w)
+    scaled = lambda df, *more: df.select(*(place(a, w).alias(a) for a, w in zip(AXES, weights, strict=True)), *more).where(" AND ".join(f"abs({a}) < double('infinity')" for a in AXES))
+    left = checkpointed(scaled(points, F.struct(*AXES).alias("p")))
+    given = checkpointed(scaled(sources, label).where(F.col(label).isNotNull()))
+    k = min(k, given.select(label).distinct().limit(k).count())
+    out, first = None, True
+    while k and not left.isEmpty():
+        if first:
+            near = within(left, given, radius).select("a.p", F.col(f"b.{label}").alias(label), "distance")
+        else:
+            size = radius / 4
+            sought = _near_cells(left, given, label, k, radius, size).join(cells(given, size), ["c0", "c1", "c2"])
+            far = F.sqrt(sum((F.pow(F.col(a) - F.col(f"p.{a}").cast("double") * float(w), F.lit(2.0)) for a, w in zip(AXES, weights, strict=True)), F.lit(0.0)))
+            near = sought.select("p", label, far.alias("distance")).where(F.col("distance") <= radius)
+        best = near.groupBy("p", label).agg(F.min("distance").alias("distance"))
+        order = Window.partitionBy("p").orderBy("distance", label)
+        best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        done = best.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") == k).select("p")
+        best = checkpointed(best.join(done, "p"))
         out = best if out is None else out.unionByName(best)
-        left, radius = checkpointed(left.join(best, "p", "left_anti")), radius * 2
-    if out is None:
-        out = left.crossJoin(given.withColumn("distance", F.lit(0.0))).select("p", label, "distance")  # one side is empty
-    return out.select("p.x", "p.y", "p.z", label, "distance")
+        left, radius, first = checkpointed(left.join(best.where("place = 1").select("p"), "p", "left_anti")), radius * 2, False
+    if out is None:  # one side is empty
+        out = left.limit(0).crossJoin(given.select(label).limit(0)).select("p", label, F.lit(0.0).alias("distance"), F.lit(0).alias("place"))
+    return out.select("p.x", "p.y", "p.z", label, "distance", "place")
+
+
+def nearest(points: DataFrame, sources: DataFrame, label: str, radius: float, weights: Sequence[float] = (1, 1, 1)) -> DataFrame:
+    """Each point (x, y, z, different ones) with the label and distance of its nearest source, however far; without sources there are no rows."""
+    return k_nearest(points, sources, label, 1, radius, weights).drop("place")
 
 
 def nearest_source(cells_: DataFrame, sources: DataFrame, label: str, radius: float = 4) -> DataFrame:

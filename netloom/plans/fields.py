@@ -1,4 +1,4 @@
-"""Queries: fields on voxels (F19, F23, F28, V7, V8, Q18) and tiles that overlap."""
+"""Queries: fields on voxels (F23, F28, V7, V8, Q18) and tiles that overlap."""
 
 from __future__ import annotations
 
@@ -9,29 +9,12 @@ from ..operators import graph, moments, spatial, stats
 from ..sources.scratch import checkpointed
 from .coordinates import r6
 from .registry import Tables, query
-from .spaces import nearest_sql
 from .statistics import bin_sql
 
 D3 = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
 TOUCH = "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND b.z BETWEEN a.z - 1 AND a.z + 1"
 
 
-@query("f19_local_maximum_response", f"""WITH {nearest_sql('r < 1', 'r >= 4')}, p AS MATERIALIZED (SELECT a.label, a.x, a.y, a.z, b.d AS after FROM near a JOIN near b ON a.x = b.x AND a.y = b.y AND a.z = b.z AND b.i = 2 WHERE a.i = 1),
-m AS (SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.label = a.label AND {TOUCH} AND b.after > a.after))
-SELECT label, q.d AS distance, q.v AS value FROM (SELECT m.label, min(struct_pack(d := round(sqrt(pow(m.x - V.x, 2) + pow(m.y - V.y, 2) + pow(m.z - V.z, 2)), 6), v := round(-after, 6))) AS q FROM m JOIN V ON V.voxel_id = m.label GROUP BY m.label) g""".replace("q.v AS value", "-q.v AS value"))
-def f19(t: Tables) -> DataFrame:
-    """After removal of a source (f18): the nearest new local maximum of distance in its region, how far it is and its value (of equally far ones the greatest)."""
-    near = spatial.within(t.V.where("r < 1").select("x", "y", "z"), t.V.where("r >= 4").select("x", "y", "z", "voxel_id"), 4)
-    two = near.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("distance", F.col("b.voxel_id").alias("label")))).alias("all")).where("size(all) > 1")
-    p = checkpointed(two.select(F.col("all")[0]["label"].alias("label"), "a.x", "a.y", "a.z", F.col("all")[1]["distance"].alias("after")))
-    higher = spatial.shifted(p, spatial.ALL).select("label", *(F.col(f"n{k}").alias(k) for k in "xyz"), "after").join(p.select("label", "x", "y", "z", F.col("after").alias("own")), ["label", "x", "y", "z"]).where("after > own").select("label", "x", "y", "z").distinct()
-    maxima = p.join(higher, ["label", "x", "y", "z"], "left_anti")
-    at = t.V.select(F.col("voxel_id").alias("label"), *(F.col(k).alias(f"s{k}") for k in "xyz"))
-    gap = F.sqrt(sum((F.pow((F.col(k) - F.col(f"s{k}")).cast("double"), F.lit(2.0)) for k in "xyz"), F.lit(0.0)))
-    best = maxima.join(at, "label").groupBy("label").agg(F.min(F.struct(r6(gap).alias("d"), r6(-F.col("after")).alias("v"))).alias("q"))
-    return best.select("label", F.col("q.d").alias("distance"), (-F.col("q.v")).alias("value"))
-
-
 GAP = f"""pairs AS (SELECT a.node AS a, b.node AS b, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, {D3} AS gap FROM N a JOIN N b ON a.side = 0 AND b.side = 1 WHERE {D3} BETWEEN 3 AND 40),
 steps AS (SELECT *, unnest(range(CAST(floor(gap) AS BIGINT) + 1)) AS k FROM pairs),
 path AS (SELECT a, b, gap, k, round(ax + k * (bx - ax) / gap) AS x, round(ay + k * (by_ - ay) / gap) AS y, round(az + k * (bz - az) / gap) AS z, bx - ax AS dx, by_ - ay AS dy, bz - az AS dz FROM steps),

@@ -1,4 +1,4 @@
-"""Queries: space around links (F15, F17, F18, F20, F22, F27), tiles (T14, T16), volumes."""
+"""Queries: space around links (F15, F17, F20, F22, F27), tiles (T14, T16), volumes."""
 
 from __future__ import annotations
 
@@ -13,11 +13,6 @@ from .registry import Tables, query
 D3 = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
 
 
-def nearest_sql(cells: str, sources: str) -> str:
-    """near (x, y, z, label, d, i): sources at most 4 away of each cell, i by distance, then label."""
-    return f"near AS (SELECT a.x, a.y, a.z, b.voxel_id AS label, {D3} AS d, row_number() OVER (PARTITION BY a.x, a.y, a.z ORDER BY {D3}, b.voxel_id) AS i FROM (SELECT * FROM V WHERE {cells}) a JOIN (SELECT * FROM V WHERE {sources}) b ON abs(a.x - b.x) <= 4 AND abs(a.y - b.y) <= 4 AND b.z BETWEEN a.z - 4 AND a.z + 4 WHERE {D3} <= 4)"
-
-
 def all_nearest_sql(cells: str, sources: str) -> str:
     """near (x, y, z, label, d, i): the nearest source of each cell, however far."""
     return f"near AS (SELECT x, y, z, m.v AS label, m.d AS d, 1 AS i FROM (SELECT a.x, a.y, a.z, min(struct_pack(d := {D3}, v := b.voxel_id)) AS m FROM (SELECT * FROM V WHERE {cells}) a, (SELECT * FROM V WHERE {sources}) b GROUP BY 1, 2, 3) p)"
@@ -44,18 +39,6 @@ def f17(t: Tables) -> DataFrame:
     return sums.join(votes, "block_id")
 
 
-@query("f18_removal_response", f"WITH {nearest_sql('r < 1', 'r >= 4')}, p AS (SELECT a.label, a.d AS before, b.d AS after, b.label AS taker FROM near a LEFT JOIN near b ON a.x = b.x AND a.y = b.y AND a.z = b.z AND b.i = 2 WHERE a.i = 1), k AS (SELECT label, max(n) AS most FROM (SELECT label, taker, count(*) AS n FROM p WHERE taker IS NOT NULL GROUP BY 1, 2) q GROUP BY 1) SELECT p.label, count(*) AS volume, count(after) AS taken, count(DISTINCT taker) AS takers, round(max(after), 6) AS most_after, round(avg(after), 6) AS mean_after, round(avg(after - before), 6) AS mean_change, round(any_value(k.most) / nullif(count(after), 0), 6) AS largest_share FROM p LEFT JOIN k USING (label) GROUP BY p.label")
-def f18(t: Tables) -> DataFrame:
-    """After removal of a source its cells go to the second nearest; one join gives both distances for every source."""
-    near = spatial.within(t.V.where("r < 1").select("x", "y", "z"), t.V.where("r >= 4").select("x", "y", "z", "voxel_id"), 4)
-    item = F.struct(F.col("distance"), F.col("b.voxel_id").alias("label"))
-    two = near.groupBy("a").agg(F.min(item).alias("first"), F.sort_array(F.collect_list(item)).alias("all"))
-    p = two.select(F.col("first.label").alias("label"), F.col("first.distance").alias("before"), F.try_element_at("all", F.lit(2)).alias("second")).select("label", "before", F.col("second.distance").alias("after"), F.col("second.label").alias("taker"))
-    shares = p.where("taker IS NOT NULL").groupBy("label", "taker").agg(F.count("*").alias("n")).groupBy("label").agg(F.max("n").alias("most"))
-    sums = p.groupBy("label").agg(F.count("*").alias("volume"), F.count("after").alias("taken"), F.count_distinct("taker").alias("takers"), r6(F.max("after")).alias("most_after"), r6(F.avg("after")).alias("mean_after"), r6(F.avg(F.col("after") - F.col("before"))).alias("mean_change"))
-    return sums.join(shares, "label", "left").select(*sums.columns, r6(F.col("most") / F.when(F.col("taken") > 0, F.col("taken"))).alias("largest_share"))
-
-
 def r8(c: Column) -> Column:
     return F.round(c, 8)
 
