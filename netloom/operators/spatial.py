@@ -53,6 +53,15 @@ def mutual_nearest(left: DataFrame, right: DataFrame, key: str, radius: float) -
     return best_a.join(best_b, ["a", "b"])
 
 
+def spacing(points: DataFrame, axes: Sequence[str] = AXES) -> float:
+    """How far points would stand apart on a grid in their bounding box; 1 if they don't span one."""
+    row = points.agg(F.count("*"), *(F.max(k).cast("double") - F.min(k).cast("double") for k in axes)).first()
+    volume = 1.0
+    for extent in row[1:]:
+        volume *= max(extent or 0.0, 0.0)
+    return (volume / row[0]) ** (1 / len(axes)) if volume > 0 and volume < float("inf") else 1.0
+
+
 def _box(size: float) -> tuple[Column, Column]:
     """Distance of p to the nearest and to the farthest place of the cell c0, c1, c2."""
     low = [F.col(f"c{i}") * size - F.col(f"p{i}") for i in range(3)]
@@ -60,53 +69,59 @@ def _box(size: float) -> tuple[Column, Column]:
     return tuple(F.sqrt(sum((g[side] * g[side] for g in gaps), F.lit(0.0))) for side in (0, 1))
 
 
-def _near_cells(left: DataFrame, given: DataFrame, label: str, k: int, radius: float, size: float) -> DataFrame:
-    """``p`` and the cells of ``size`` that may hold one of its ``k`` nearest labels within ``radius``.
+def _near_cells(left: DataFrame, given: DataFrame, label: str, radius: float, size: float, single: bool) -> DataFrame:
+    """``p``, ``k`` and the cells of ``size`` that may hold one of its ``k`` nearest labels within ``radius``.
 
-    Occupied cells, with two of their labels, stand for their sources: the k-th label's farthest
-    place bounds the search, and cells that begin beyond it are passed over.
+    Occupied cells stand for their sources, by two of their labels, or by their number where each
+    label has a ``single`` source: the k-th label's farthest place bounds the search, and cells
+    that begin beyond it are passed over.
     """
     at = [F.col(f"c{i}") for i in range(3)]
-    occupied = cells(given, size).groupBy("c0", "c1", "c2").agg(F.min(label).alias("l0"), F.max(label).alias("l1"))
-    centres = occupied.select(*((c + 0.5) * size for c in at), "c0", "c1", "c2", "l0", "l1").toDF(*AXES, "c0", "c1", "c2", "l0", "l1")
-    pairs = within(left.select(*AXES, "p"), centres, radius + size).select("a.p", *(F.col(f"a.{a}").alias(f"p{i}") for i, a in enumerate(AXES)), "b.c0", "b.c1", "b.c2", "b.l0", "b.l1")
+    known = F.array(F.struct(F.min(label).alias("l"), F.count("*").alias("n"))) if single else F.transform(F.array_distinct(F.array(F.min(label), F.max(label))), lambda v: F.struct(v.alias("l"), F.lit(1).cast("long").alias("n")))
+    occupied = cells(given, size).groupBy("c0", "c1", "c2").agg(known.alias("known"))
+    centres = occupied.select(*((c + 0.5) * size for c in at), "c0", "c1", "c2", "known").toDF(*AXES, "c0", "c1", "c2", "known")
+    pairs = within(left.select(*AXES, "p", "k"), centres, radius + size).select("a.p", "a.k", *(F.col(f"a.{a}").alias(f"p{i}") for i, a in enumerate(AXES)), "b.c0", "b.c1", "b.c2", "b.known")
     low, high = _box(size)
-    pairs = pairs.select("p", "c0", "c1", "c2", "l0", "l1", low.alias("low"), high.alias("high")).where(F.col("low") <= radius)
-    known = pairs.select("p", F.explode(F.array_distinct(F.array("l0", "l1"))).alias("l"), "high").groupBy("p", "l").agg(F.min("high").alias("high"))
-    bound = known.groupBy("p").agg(F.array_sort(F.collect_list("high")).alias("highs")) if k > 1 else known.groupBy("p").agg(F.array(F.min("high")).alias("highs"))
-    bound = bound.select("p", F.coalesce(F.get("highs", F.lit(k - 1)), F.lit(float("inf"))).alias("bound"))
-    return pairs.join(bound, "p").where("low <= bound").select("p", "c0", "c1", "c2")
+    pairs = pairs.select("p", "k", "c0", "c1", "c2", "known", low.alias("low"), high.alias("high")).where(F.col("low") <= radius)
+    labels = pairs.select("p", "k", F.inline("known"), "high").groupBy("p", "k", "l").agg(F.min("high").alias("high"), F.sum("n").alias("n")) if not single else pairs.select("p", "k", F.inline("known"), "high")
+    order = Window.partitionBy("p").orderBy("high").rowsBetween(Window.unboundedPreceding, 0)
+    bound = labels.withColumn("upto", F.sum("n").over(order)).where("upto >= k").groupBy("p").agg(F.min("high").alias("bound"))
+    return pairs.join(bound, "p", "left").where("bound IS NULL OR low <= bound").select("p", "k", "c0", "c1", "c2")
 
 
-def k_nearest(points: DataFrame, sources: DataFrame, label: str, k: int, radius: float, weights: Sequence[float] = (1, 1, 1)) -> DataFrame:
-    """Each point (x, y, z, different ones) with its ``k`` (1 or 2) nearest labels under axis weights: label, distance, place (from 1); ties: the least label.
+def k_nearest(points: DataFrame, sources: DataFrame, label: str, k: int | str, radius: float, weights: Sequence[float] = (1, 1, 1), single: bool = False) -> DataFrame:
+    """Each point (x, y, z, different ones) with its ``k`` nearest labels under axis weights: label, distance, place (from 1); ties: the least label.
 
-    A label's distance is that of its nearest source. Rings widen: points with fewer labels than
-    that within ``radius`` are looked at again with twice that, until none is left or no label is.
-    After the first ring cells of a quarter of the radius are looked through before their sources.
+    A label's distance is that of its nearest source. k: a number, or a column of ``points`` with
+    each point's own number, which its sources must be able to give. Rings widen: points with fewer
+    labels than that within ``radius`` are looked at again with four times that, until none is left.
+    After the first ring, cells of a quarter of the radius are looked through before their sources;
+    single (each label has one source) bounds them for any k, else for one or two labels.
     Coordinates that are null or not finite are left out on both sides.
     """
     place = lambda a, w: F.col(a).cast("double") * float(w)
     scaled = lambda df, *more: df.select(*(place(a, w).alias(a) for a, w in zip(AXES, weights, strict=True)), *more).where(" AND ".join(f"abs({a}) < double('infinity')" for a in AXES))
-    left = checkpointed(scaled(points, F.struct(*AXES).alias("p")))
     given = checkpointed(scaled(sources, label).where(F.col(label).isNotNull()))
-    k = min(k, given.select(label).distinct().limit(k).count())
-    out, first = None, True
-    while k and not left.isEmpty():
+    if isinstance(k, int):
+        k = given.select(label).distinct().limit(k).count()
+    want = (F.lit(k) if isinstance(k, int) else F.col(k)).cast("long").alias("k")
+    left = checkpointed(scaled(points, F.struct(*AXES).alias("p"), want).where("k > 0"))
+    out, first, some = None, True, not given.isEmpty()
+    while some and not left.isEmpty():
         if first:
-            near = within(left, given, radius).select("a.p", F.col(f"b.{label}").alias(label), "distance")
+            near = within(left, given, radius).select("a.p", "a.k", F.col(f"b.{label}").alias(label), "distance")
         else:
             size = radius / 4
-            sought = _near_cells(left, given, label, k, radius, size).join(cells(given, size), ["c0", "c1", "c2"])
+            sought = _near_cells(left, given, label, radius, size, single).join(cells(given, size), ["c0", "c1", "c2"])
             far = F.sqrt(sum((F.pow(F.col(a) - F.col(f"p.{a}").cast("double") * float(w), F.lit(2.0)) for a, w in zip(AXES, weights, strict=True)), F.lit(0.0)))
-            near = sought.select("p", label, far.alias("distance")).where(F.col("distance") <= radius)
-        best = near.groupBy("p", label).agg(F.min("distance").alias("distance"))
+            near = sought.select("p", "k", label, far.alias("distance")).where(F.col("distance") <= radius)
+        best = near.groupBy("p", "k", label).agg(F.min("distance").alias("distance"))
         order = Window.partitionBy("p").orderBy("distance", label)
-        best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-        done = best.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") == k).select("p")
-        best = checkpointed(best.join(done, "p"))
+        best = best.withColumn("place", F.row_number().over(order)).where("place <= k")
+        done = best.where("place = k").select("p")
+        best = checkpointed(best.join(done, "p", "left_semi").drop("k"))
         out = best if out is None else out.unionByName(best)
-        left, radius, first = checkpointed(left.join(best.where("place = 1").select("p"), "p", "left_anti")), radius * 2, False
+        left, radius, first = checkpointed(left.join(best.where("place = 1").select("p"), "p", "left_anti")), radius * 4, False
     if out is None:  # one side is empty
         out = left.limit(0).crossJoin(given.select(label).limit(0)).select("p", label, F.lit(0.0).alias("distance"), F.lit(0).alias("place"))
     return out.select("p.x", "p.y", "p.z", label, "distance", "place")

@@ -149,51 +149,124 @@ def v8(t: Tables) -> DataFrame:
     return ends.select("peak", "tail", F.coalesce(2000.0 * (F.col("b") + 0.5), 2000.0 * (peak + 0.5 + 2 * (tail - peak))).alias("threshold"))
 
 
-MATCHED = f"""shifted AS (SELECT node, x + 20 AS x, y - 10 AS y, z, CAST(floor(x / 250.0) AS BIGINT) AS tile FROM N WHERE side = 1), fixed AS (SELECT node, x, y, z, CAST(floor(x / 250.0) AS BIGINT) AS tile FROM N WHERE side = 0),
-p AS (SELECT a.tile, a.node AS a, b.node AS b, {D3} AS d FROM fixed a JOIN shifted b ON a.tile = b.tile WHERE {D3} <= 150), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS i, row_number() OVER (PARTITION BY b ORDER BY d, a) AS j FROM p), matched AS (SELECT tile, a, b, d FROM k WHERE i = 1 AND j = 1)"""
+#: Distance from which matched points don't count, share of them that accepts a pair of tiles, rounds of alignment, and gap that keeps tiles apart.
+MATCH, RATE, ALIGN, APART = 60.0, 0.5, 2, 1e6
 
 
-def matched(t: Tables) -> DataFrame:
-    """tile, a, b and d of points of both sides, aligned by the tiles' shift, that are each other's nearest within 150."""
-    tile = F.floor(F.col("x") / 250.0).alias("tile")
-    fixed = t.N.where("side = 0").select("node", "x", "y", "z", tile)
-    shifted = t.N.where("side = 1").select("node", (F.col("x") + 20).alias("x"), (F.col("y") - 10).alias("y"), "z", tile)
-    pairs = spatial.within(fixed, shifted, 150).where("a.tile = b.tile").select("a.tile", F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("distance").alias("d"))
-    best = lambda k, o: pairs.groupBy(k).agg(F.min(F.struct("d", o)).alias("m")).select(k, F.col(f"m.{o}").alias(o))
-    return pairs.join(best("a", "b"), ["a", "b"], "left_semi").join(best("b", "a"), ["a", "b"], "left_semi").select("tile", "a", "b", "d")
+def mutual_sql(k: int) -> str:
+    """m{k}: pairs of both sides that are each other's nearest after the shifts s{k} of the tiles."""
+    gap = f"sqrt(pow(a.x - (b.x - s{k}.dx), 2) + pow(a.y - (b.y - s{k}.dy), 2) + pow(a.z - (b.z - s{k}.dz), 2))"
+    return f"""q{k} AS MATERIALIZED (SELECT a.tile, a.node AS a, b.node AS b, {gap} AS d, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM one a JOIN two b ON a.tile = b.tile JOIN s{k} ON s{k}.tile = a.tile),
+m{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS i, row_number() OVER (PARTITION BY b ORDER BY d, a) AS j FROM q{k}) q WHERE i = 1 AND j = 1)"""
 
 
-@query("t3_matched_points", f"WITH {MATCHED}, sizes AS (SELECT tile, least(count(*) FILTER (s = 0), count(*) FILTER (s = 1)) AS n FROM (SELECT tile, 0 AS s FROM fixed UNION ALL SELECT tile, 1 FROM shifted) u GROUP BY tile), r AS (SELECT tile, count(*) / any_value(sizes.n)::DOUBLE AS rate FROM matched JOIN sizes USING (tile) GROUP BY tile) SELECT tile, a, b, round(d, 6) AS distance, round(rate, 6) AS rate, rate >= 0.5 AS accepted FROM matched JOIN r USING (tile)")
+ALIGNED = "one AS (SELECT node, x, y, z, CAST(floor(x / 250.0) AS BIGINT) AS tile FROM N WHERE side = 0), two AS (SELECT node, x, y, z, CAST(floor(x / 250.0) AS BIGINT) AS tile FROM N WHERE side = 1), s0 AS (SELECT tile, -20.0::DOUBLE AS dx, 10.0::DOUBLE AS dy, 0.0::DOUBLE AS dz FROM one GROUP BY tile), "
+ALIGNED += ", ".join(f"{mutual_sql(k)}, s{k + 1} AS (SELECT tile, avg(dx) AS dx, avg(dy) AS dy, avg(dz) AS dz FROM m{k} GROUP BY tile)" for k in range(ALIGN)) + f", {mutual_sql(ALIGN)}"
+
+
+def mutual(one: DataFrame, two: DataFrame, shift: DataFrame, radius: float) -> DataFrame:
+    """tile, a, b, d (distance) and dx, dy, dz (displacement as it is) of points of both sides that are each other's nearest in their tile after its shift is taken off.
+
+    Tiles are set apart along an axis, so one search serves all; every point of a tile with both sides has an answer, however far.
+    """
+    apart = lambda df, k: df.select(F.col("node").alias(k), "tile", *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    a = checkpointed(apart(one, "a").join(two.select("tile").distinct(), "tile", "left_semi"))
+    b = checkpointed(apart(two, "b").join(one.select("tile").distinct(), "tile", "left_semi").join(shift, "tile"))
+    moved = b.select("b", "tile", *((F.col(c) - F.col(f"d{c}")).alias(c) for c in "xyz"))
+    set_apart = lambda df: df.withColumn("z", F.col("z") + F.col("tile") * APART)
+    a_at, b_at = set_apart(a), set_apart(moved)
+
+    def best(points: DataFrame, key: str, sources: DataFrame, other: str) -> DataFrame:
+        found = spatial.nearest(points.select("x", "y", "z").distinct(), sources, other, radius)
+        return points.join(found, ["x", "y", "z"]).select("tile", key, other, "distance")
+
+    pairs = best(a_at, "a", b_at, "b").join(best(b_at, "b", a_at, "a").drop("distance"), ["tile", "a", "b"])
+    ends = pairs.join(a.select("a", *(F.col(c).alias(f"a{c}") for c in "xyz")), "a").join(b.select("b", *(F.col(c).alias(f"b{c}") for c in "xyz")), "b")
+    return ends.select("tile", "a", "b", F.col("distance").alias("d"), *((F.col(f"b{c}") - F.col(f"a{c}")).alias(f"d{c}") for c in "xyz"))
+
+
+def aligned(one: DataFrame, two: DataFrame, shift: DataFrame, rounds: int = ALIGN) -> DataFrame:
+    """mutual() after the shift has been set to the mean displacement of the mutual pairs, ``rounds`` times; shift: tile, dx, dy, dz as expected."""
+    radius = 1.5 * spatial.spacing(one)
+    found = checkpointed(mutual(one, two, shift, radius))
+    for _ in range(rounds):
+        shift = found.groupBy("tile").agg(*(F.avg(f"d{c}").alias(f"d{c}") for c in "xyz"))
+        found = checkpointed(mutual(one, two, shift, radius))
+    return found
+
+
+def tile_points(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points of both sides with their tile, and the tiles' expected shift."""
+    at = t.N.select("node", "side", "x", "y", "z", F.floor(F.col("x") / 250.0).alias("tile"))
+    one, two = (at.where(F.col("side") == s).drop("side") for s in (0, 1))
+    return one, two, one.select("tile").distinct().select("tile", *(F.lit(v).alias(f"d{c}") for c, v in (("x", -20.0), ("y", 10.0), ("z", 0.0))))
+
+
+def match_rates(pairs: DataFrame, least: float = MATCH) -> DataFrame:
+    """tile, n (mutual pairs) and rate, the share of them that are nearer than ``least``."""
+    return pairs.groupBy("tile").agg(F.count("*").alias("n"), F.avg((F.col("d") < least).cast("double")).alias("rate"))
+
+
+@query("t3_matched_points", f"WITH {ALIGNED}, r AS (SELECT tile, count(*) AS n, avg(CASE WHEN d < {MATCH} THEN 1.0 ELSE 0.0 END) AS rate FROM m{ALIGN} GROUP BY tile) SELECT tile, a, b, round(d, 6) AS distance, n AS mutual_pairs, round(rate, 6) AS rate, rate >= {RATE} AS accepted FROM m{ALIGN} JOIN r USING (tile) WHERE d < {MATCH}")
 def t3(t: Tables) -> DataFrame:
-    """Matched points with their tile pair's match rate; a rate below one half rejects the pair."""
-    found = checkpointed(matched(t))
-    counts = t.N.groupBy(F.floor(F.col("x") / 250.0).alias("tile")).agg(*(F.count(F.when(F.col("side") == s, 1)).alias(f"n{s}") for s in (0, 1)))
-    rates = found.groupBy("tile").agg(F.count("*").alias("n")).join(counts, "tile").select("tile", (F.col("n") / F.least("n0", "n1")).alias("rate"))
-    return found.join(rates, "tile").select("tile", "a", "b", r6(F.col("d")).alias("distance"), r6(F.col("rate")).alias("rate"), (F.col("rate") >= 0.5).alias("accepted"))
-
-
-@query("t5_displacement_smoothness", f"""WITH {MATCHED}, v AS (SELECT a.node AS id, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2)) AS len FROM matched JOIN fixed a ON a.node = matched.a JOIN shifted b ON b.node = matched.b),
-w AS (SELECT *, least(20, CAST(round(sqrt(count(*) OVER ())) AS BIGINT)) AS k FROM v WHERE len > 0),
-q AS (SELECT a.id, (a.dx * b.dx + a.dy * b.dy + a.dz * b.dz) / (a.len * b.len) AS cosine, sqrt(pow(a.dx - b.dx, 2) + pow(a.dy - b.dy, 2) + pow(a.dz - b.dz, 2)) / a.len AS deviation, a.k, row_number() OVER (PARTITION BY a.id ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.id) AS i FROM w a JOIN w b ON a.id <> b.id WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 40000),
-s AS (SELECT * FROM q WHERE i <= k), c AS (SELECT id, bin, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, bin) AS o FROM (SELECT id, least(CAST(floor(round((cosine + 1) * 5, 9)) AS BIGINT), 9) AS bin FROM s) x GROUP BY id, bin), e AS (SELECT id, bin, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, bin) AS o FROM (SELECT id, CAST(floor(round(deviation * 4, 9)) AS BIGINT) AS bin FROM s) x GROUP BY id, bin), g AS (SELECT id, avg(deviation) AS mean, count(*) AS n FROM s GROUP BY id)
-SELECT id, n, round(c.bin / 5.0 - 0.9, 6) AS cosine_mode, round(e.bin / 4.0 + 0.125, 6) AS deviation_mode, round(mean, 6) AS mean, c.bin / 5.0 - 0.9 < 0.8 OR (e.bin / 4.0 + 0.125 < 0.5 AND mean < 0.5) AS outlier FROM g JOIN c USING (id) JOIN e USING (id) WHERE c.o = 1 AND e.o = 1""")
+    """Points of both sides that are each other's nearest after alignment, and nearer than a threshold; a pair of tiles where these are less than half of the mutual pairs is rejected."""
+    found = aligned(*tile_points(t))
+    rows = found.where(F.col("d") < MATCH).join(match_rates(found), "tile")
+    return rows.select("tile", "a", "b", r6(F.col("d")).alias("distance"), F.col("n").alias("mutual_pairs"), r6(F.col("rate")).alias("rate"), (F.col("rate") >= RATE).alias("accepted"))
+
+
+#: Neighbours whose displacement is compared, and how far they may be.
+MOST, REACH = 20, 300.0
+#: Lower edges of the bins of cosines and of deviations (fixed values: 0.1 wide, a last one for its edge alone).
+COSINES = [round(-1.05 + 0.1 * i, 2) for i in range(22)]
+DEVIATIONS = [round(0.05 + 0.1 * i, 2) for i in range(11)]
+
+
+def smoothness(v: DataFrame, radius: float = REACH) -> DataFrame:
+    """Whether displacements agree with those of their nearest points in the plane: ``v`` (tile, id, x, y, dx, dy) to tile, id, n, cosine_mode, deviation_mode, mean_deviation, outlier.
+
+    k = round(sqrt(points of the tile)), ``MOST`` at most, counts the point itself. Compared are the
+    cosine of both displacements and exp(-|difference| / |own|), 1 where they agree, by bins: the
+    commonest cosine (of equal ones the least), the commonest deviation (the greatest), and the
+    bins' mean. Neighbours at the same place or beyond ``radius`` don't count, nor cosines with a
+    displacement of zero; a point without any is an outlier.
+    """
+    n = v.groupBy("tile").agg(F.least(F.lit(MOST), F.round(F.sqrt(F.count("*"))).cast("int")).alias("k"))
+    own = checkpointed(v.join(n, "tile").withColumn("len", F.hypot(F.col("dx"), F.col("dy"))).withColumn("z", F.col("tile") * APART))
+    at = ["x", "y", "z"]
+    found = spatial.k_nearest(own.groupBy(*at).agg(F.max("k").alias("k")), own, "id", "k", 3 * spatial.spacing(own, ("x", "y")), single=True)
+    near = found.withColumnRenamed("id", "other").withColumnRenamed("place", "at_place").join(own, at).where("other <> id")
+    rank = F.row_number().over(Window.partitionBy("tile", "id").orderBy("distance", "other"))
+    near = near.withColumn("i", rank).where("i < k").where((F.col("distance") > 0) & (F.col("distance") < radius))
+    other = own.select("tile", F.col("id").alias("other"), F.col("dx").alias("ox"), F.col("dy").alias("oy"), F.col("len").alias("olen"))
+    both = near.join(other, ["tile", "other"])
+    cosine = (F.col("dx") * F.col("ox") + F.col("dy") * F.col("oy")) / F.when(F.col("len") * F.col("olen") > 0, F.col("len") * F.col("olen"))
+    gap = F.hypot(F.col("dx") - F.col("ox"), F.col("dy") - F.col("oy"))
+    deviation = F.when(F.col("len") > 0, F.exp(-gap / F.col("len"))).when(gap > 0, 0.0)
+    bin_ = lambda c, first: F.floor((F.round(c, 9) - first) / 0.1 + 1e-9)
+    s = checkpointed(both.select("tile", "id", bin_(cosine, COSINES[0]).alias("c"), bin_(deviation, DEVIATIONS[0]).alias("e")))
+    counts = lambda b: s.where(F.col(b) >= 0).groupBy("tile", "id", b).agg(F.count("*").alias("m"))
+    cosines = counts("c").groupBy("tile", "id").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("c"))
+    deviations = counts("e").groupBy("tile", "id").agg(F.max_by("e", F.struct("m", "e")).alias("e"), (F.sum(F.col("m") * F.col("e")) / F.sum("m") / 10).alias("mean"))
+    rows = own.select("tile", "id").join(s.groupBy("tile", "id").agg(F.count("*").alias("n")), ["tile", "id"], "left").join(cosines, ["tile", "id"], "left").join(deviations, ["tile", "id"], "left")
+    mode, most = F.coalesce(F.round(F.col("c") / 10 - 1, 9), F.lit(-1.0)), F.coalesce(F.round(F.col("e") / 10 + 0.1, 9), F.lit(1.1))
+    outlier = (mode < 0.8) | F.coalesce((most < 0.5) & (F.col("mean") < 0.5), F.lit(False))
+    return rows.select("tile", "id", F.coalesce("n", F.lit(0)).alias("n"), mode.alias("cosine_mode"), most.alias("deviation_mode"), F.col("mean").alias("mean_deviation"), outlier.alias("outlier"))
+
+
+@query("t5_displacement_smoothness", f"""WITH {ALIGNED}, v AS (SELECT m.tile, m.a AS id, one.x, one.y, m.dx, m.dy, sqrt(m.dx * m.dx + m.dy * m.dy) AS len FROM m{ALIGN} m JOIN one ON one.node = m.a),
+w AS MATERIALIZED (SELECT *, least({MOST}, CAST(round(sqrt(count(*) OVER (PARTITION BY tile))) AS BIGINT)) AS k FROM v),
+q AS (SELECT a.tile, a.id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS far, (a.dx * b.dx + a.dy * b.dy) / nullif(a.len * b.len, 0) AS cosine, CASE WHEN a.len > 0 THEN exp(-sqrt(pow(a.dx - b.dx, 2) + pow(a.dy - b.dy, 2)) / a.len) WHEN a.dx <> b.dx OR a.dy <> b.dy THEN 0.0 END AS deviation, a.k, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.id) AS i FROM w a JOIN w b ON a.id <> b.id AND a.tile = b.tile),
+s AS MATERIALIZED (SELECT id, CAST(floor((round(cosine, 9) - {COSINES[0]}::DOUBLE) / 0.1::DOUBLE + 1e-9) AS BIGINT) AS c, CAST(floor((round(deviation, 9) - {DEVIATIONS[0]}::DOUBLE) / 0.1::DOUBLE + 1e-9) AS BIGINT) AS e FROM q WHERE i < k AND far > 0 AND far < {REACH}),
+c AS (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, c) AS o FROM s WHERE c >= 0 GROUP BY id, c), e AS (SELECT id, e, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, e DESC) AS o FROM s WHERE e >= 0 GROUP BY id, e), g AS (SELECT id, sum(e) FILTER (e >= 0)::DOUBLE / nullif(count(*) FILTER (e >= 0), 0) / 10 AS mean, count(*) AS n FROM s GROUP BY id),
+r AS (SELECT w.tile, w.id, coalesce(n, 0) AS n, coalesce(round(c / 10.0::DOUBLE - 1, 9), -1.0) AS cosine_mode, coalesce(round(e / 10.0::DOUBLE + 0.1, 9), 1.1) AS deviation_mode, mean FROM w LEFT JOIN g USING (id) LEFT JOIN (SELECT * FROM c WHERE o = 1) c USING (id) LEFT JOIN (SELECT * FROM e WHERE o = 1) e USING (id))
+SELECT tile, id, n, round(cosine_mode, 6) AS cosine_mode, round(deviation_mode, 6) AS deviation_mode, round(mean, 6) AS mean_deviation, cosine_mode < 0.8 OR coalesce(deviation_mode < 0.5 AND mean < 0.5, false) AS outlier FROM r""")
 def t5(t: Tables) -> DataFrame:
-    """Displacements of matched points against those of their nearest in the plane: modal cosine, modal and mean deviation, and whether the point is an outlier."""
-    ends = matched(t).select("a", "b")
-    at = lambda side, k, p: t.N.where(F.col("side") == side).select(F.col("node").alias(k), *((F.col(c) + d).cast("double").alias(f"{p}{c}") for c, d in zip("xyz", (20 * side, -10 * side, 0), strict=True)))
-    v = ends.join(at(0, "a", "a"), "a").join(at(1, "b", "b"), "b").select(F.col("a").alias("id"), F.col("ax").alias("x"), F.col("ay").alias("y"), *((F.col(f"b{c}") - F.col(f"a{c}")).alias(f"d{c}") for c in "xyz"))
-    v = checkpointed(v.withColumn("len", F.sqrt(sum((F.col(f"d{c}") * F.col(f"d{c}") for c in "xyz"), F.lit(0.0)))).where("len > 0"))
-    k = v.agg(F.least(F.lit(20), F.round(F.sqrt(F.count("*"))).cast("long")).alias("k"))  # one row
-    near = spatial.within(v, v, 200, ("x", "y")).where("a.id <> b.id")
-    order = Window.partitionBy("a.id").orderBy("distance", "b.id")
-    dot = sum((F.col(f"a.d{c}") * F.col(f"b.d{c}") for c in "xyz"), F.lit(0.0)) / (F.col("a.len") * F.col("b.len"))
-    off = F.sqrt(sum((F.pow(F.col(f"a.d{c}") - F.col(f"b.d{c}"), F.lit(2.0)) for c in "xyz"), F.lit(0.0))) / F.col("a.len")
-    s = near.select(F.col("a.id").alias("id"), dot.alias("cosine"), off.alias("deviation"), F.row_number().over(order).alias("i")).crossJoin(F.broadcast(k)).where("i <= k")
-    s = checkpointed(s.select("id", "deviation", F.least(F.floor(F.round((F.col("cosine") + 1) * 5, 9)), F.lit(9)).alias("c"), F.floor(F.round(F.col("deviation") * 4, 9)).alias("e")))
-    mode = lambda b: s.groupBy("id", b).agg(F.count("*").alias("n")).groupBy("id").agg(F.min(F.struct(-F.col("n"), F.col(b)))[b].alias(b))
-    means = s.groupBy("id").agg(F.avg("deviation").alias("mean"), F.count("*").alias("n"))
-    cosine, deviation = F.col("c") / 5.0 - 0.9, F.col("e") / 4.0 + 0.125
-    return means.join(mode("c"), "id").join(mode("e"), "id").select("id", "n", r6(cosine).alias("cosine_mode"), r6(deviation).alias("deviation_mode"), r6(F.col("mean")).alias("mean"), ((cosine < 0.8) | ((deviation < 0.5) & (F.col("mean") < 0.5))).alias("outlier"))
+    """Displacements of matched points against those of their nearest in the plane."""
+    one, two, shift = tile_points(t)
+    v = aligned(one, two, shift).join(one.select(F.col("node").alias("a"), "x", "y"), "a").select("tile", F.col("a").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "dx", "dy")
+    out = smoothness(v)
+    return out.select("tile", "id", "n", *(r6(F.col(k)).alias(k) for k in ("cosine_mode", "deviation_mode", "mean_deviation")), "outlier")
 
 
 def edges_of_tiles(t: Tables) -> DataFrame:
