@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +77,47 @@ def regression(df: DataFrame, keys: Sequence[str], x: Column, y: Column) -> Data
     )
 
 
+def pair_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``a``, ``b`` (numbers of columns), n and the sums sa, saa, sab over rows where both are finite numbers: one pass for all pairs.
+
+    Values are centred on their column's mean first. A task adds up its batches as a Gram matrix of
+    the columns, nulls as zeros, so it emits a row for each pair of columns, whatever its rows.
+    """
+    plain = [F.when(F.abs(F.col(f"`{c}`").cast("double")) < float("inf"), F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(columns)]
+    rows, k = df.select(*plain), len(columns)
+    means = np.array([m or 0.0 for m in rows.agg(*(F.avg(f"c{i}") for i in range(k))).first()])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.stack([np.asarray(c.cast(pa.float64()).to_numpy(zero_copy_only=False), np.float64) for c in batch.columns], axis=1) - means
+            m = (~np.isnan(x)).astype(np.float64)
+            x = np.nan_to_num(x, nan=0.0)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        a, b = np.indices((k, k)).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(v.ravel()) for v in total)], names=["a", "b", "n", "sa", "saa", "sab"])
+
+    partial = rows.mapInArrow(run, "a long, b long, n double, sa double, saa double, sab double")
+    sums = partial.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "sa", "saa", "sab")))
+    return sums.withColumn("mean", F.element_at(F.array(*map(F.lit, means.tolist())), (F.col("a") + 1).cast("int")))
+
+
+def all_regressions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """a, b, n, r and the line b = slope * a + intercept, its standard errors and adjusted R², for each ordered pair of columns with more than two common rows and both varying."""
+    sums = pair_sums(df, columns).where("a <> b")
+    other = sums.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("sa").alias("sb"), F.col("saa").alias("sbb"), F.col("mean").alias("mean_b"))
+    n = F.col("n")
+    both = sums.join(other, ["a", "b"]).where("n > 2").select("a", "b", "n", (F.col("mean") + F.col("sa") / n).alias("ma"), (F.col("mean_b") + F.col("sb") / n).alias("mb"), (F.col("saa") - F.col("sa") * F.col("sa") / n).alias("vaa"), (F.col("sbb") - F.col("sb") * F.col("sb") / n).alias("vbb"), (F.col("sab") - F.col("sa") * F.col("sb") / n).alias("vab"))
+    aa, bb, ab, ma = (F.col(c) for c in ("vaa", "vbb", "vab", "ma"))
+    slope, rest = ab / aa, F.greatest(bb - ab * ab / aa, F.lit(0.0))
+    var = rest / (n - 2)
+    name = lambda c: F.element_at(F.array(*map(F.lit, columns)), (F.col(c) + 1).cast("int")).alias(c)
+    return both.where("vaa > 0 AND vbb > 0").select(
+        name("a"), name("b"), n.cast("long").alias("n"), (ab / F.sqrt(aa * bb)).alias("r"), slope.alias("slope"), (F.col("mb") - slope * ma).alias("intercept"),
+        F.sqrt(var / aa).alias("slope_se"), F.sqrt(var * (1 / n + ma * ma / aa)).alias("intercept_se"), (1 - rest / bb * (n - 1) / (n - 2)).alias("adjusted_r2"),
+    )
+
+
 def through_origin(df: DataFrame, keys: Sequence[str], x: Column, y: Column) -> DataFrame:
     """n and slope of y on x through the origin."""
     rows = df.select(*keys, x.cast("double").alias("x"), y.cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")

@@ -127,6 +127,53 @@ def k_nearest(points: DataFrame, sources: DataFrame, label: str, k: int | str, r
     return out.select("p.x", "p.y", "p.z", label, "distance", "place")
 
 
+#: Cells of a level up to which their counts are broadcast (some 50 bytes each).
+FEW_CELLS = 50_000
+
+
+def count_nearer(queries: DataFrame, points: DataFrame, radius: str) -> DataFrame:
+    """``queries`` (x, y, z, a radius column, and what identifies them) with ``nearer``, the number of points strictly within the radius.
+
+    Points are counted by cells of halved sizes. From the coarsest level down, cells wholly inside
+    a query's ball count as a whole, cells outside are dropped, and only those on its boundary
+    are opened; at the finest level (about a point a cell) their points are looked at. So a query
+    costs the cells of its boundary, not the points of its ball. A radius that is null or no
+    number counts nothing. Cell counts are broadcast after a look at their number.
+    """
+    names = queries.columns
+    pts = checkpointed(points.select(*(F.col(k).cast("double").alias(k) for k in AXES)).where(" AND ".join(f"abs({a}) < double('infinity')" for a in AXES)))
+    finest = spacing(pts)
+    row = pts.agg(*(f(k) for k in AXES for f in (F.min, F.max))).first()
+    extent = max((b - a for a, b in zip(row[::2], row[1::2], strict=True) if a is not None), default=0.0)
+    level = 0
+    while finest * 2**level < extent and level < 60:
+        level += 1
+    keys = ["c0", "c1", "c2"]
+    parents = lambda df: df.withColumns({f"p{i}": F.floor(F.col(c) / 2) for i, c in enumerate(keys)})
+    query = F.struct(*names).alias("q")
+    front = queries.select(query).join(F.broadcast(cells(pts, finest * 2**level).select(*keys).distinct()), F.lit(True)).select("q", *(F.col(c).alias(f"p{i}") for i, c in enumerate(keys)))  # at most 27 cells
+    first, total = True, None
+    gap = lambda i, size: F.col(f"c{i}") * size - F.col(f"q.{AXES[i]}").cast("double")
+    for k in range(level, -1, -1):
+        size = finest * 2**k
+        counts = cells(pts, size).groupBy(*keys).agg(F.count("*").alias("n"))
+        counts = checkpointed(counts.withColumns({f"p{i}": F.col(c) for i, c in enumerate(keys)}) if first else parents(counts))
+        found = front.join(F.broadcast(counts) if counts.count() <= FEW_CELLS else counts, ["p0", "p1", "p2"])
+        low = sum((F.pow(F.greatest(gap(i, size), -gap(i, size) - size, F.lit(0.0)), F.lit(2.0)) for i in range(3)), F.lit(0.0))
+        high = sum((F.pow(F.greatest(F.abs(gap(i, size)), F.abs(gap(i, size) + size)), F.lit(2.0)) for i in range(3)), F.lit(0.0))
+        square = F.pow(F.col(f"q.{radius}").cast("double"), F.lit(2.0))
+        judged = found.select("q", *keys, "n", (high < square * (1 - 1e-12)).alias("inside"), (low > square * (1 + 1e-12)).alias("outside")).where("NOT coalesce(outside, true)")
+        judged = checkpointed(judged)
+        whole = judged.where("inside").groupBy("q").agg(F.sum("n").alias("n"))
+        total = whole if total is None else total.unionByName(whole)
+        front, first = judged.where("NOT inside").select("q", *(F.col(c).alias(f"p{i}") for i, c in enumerate(keys))), False
+    last = cells(pts, finest).select(*(F.col(c).alias(f"p{i}") for i, c in enumerate(keys)), *AXES)
+    off = sum((F.pow(F.col(a) - F.col(f"q.{a}").cast("double"), F.lit(2.0)) for a in AXES), F.lit(0.0))
+    near = front.join(last, ["p0", "p1", "p2"]).where(F.sqrt(off) < F.col(f"q.{radius}")).groupBy("q").agg(F.count("*").alias("n"))
+    sums = total.unionByName(near).groupBy("q").agg(F.sum("n").alias("nearer"))
+    return queries.select(query).join(sums, "q", "left").select("q.*", F.coalesce("nearer", F.lit(0)).alias("nearer"))
+
+
 def nearest(points: DataFrame, sources: DataFrame, label: str, radius: float, weights: Sequence[float] = (1, 1, 1)) -> DataFrame:
     """Each point (x, y, z, different ones) with the label and distance of its nearest source, however far; without sources there are no rows."""
     return k_nearest(points, sources, label, 1, radius, weights).drop("place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import curves, graph, learning, spatial, stats
+from ..operators import curves, forest, graph, learning, spatial, stats
 from ..sources.scratch import checkpointed
 from .coordinates import r6
 from .registry import Tables, query
@@ -100,14 +100,38 @@ def settings_sql(shares: tuple[float, ...], reps: int) -> str:
     return "(VALUES " + ", ".join(f"({i * reps + j}, {p}, {j})" for i, p in enumerate(shares) for j in range(reps)) + ") AS v(s, share, rep)"
 
 
-def removal_sizes(t: Tables, shares: tuple[float, ...], reps: int) -> DataFrame:
-    """s, share, rep, component and nodes of the graph's kept links for each share and replicate: one component search on composite keys."""
-    settings = F.array(*(F.struct(F.lit(i * reps + j).alias("s"), F.lit(p).alias("share"), F.lit(j).alias("rep")) for i, p in enumerate(shares) for j in range(reps)))
-    kept = t.L.select("link_label", "node_a", "node_b", F.explode(settings).alias("k")).where(uniform("link_label", F.col("k.rep")) < F.col("k.share"))
-    base = F.col("k.s").cast("long") * ROOM
-    found = graph.components(kept.select((F.col("node_a") + base).alias("u"), (F.col("node_b") + base).alias("v")))
-    sizes = found.groupBy("component").agg(F.count("*").alias("nodes")).withColumn("s", F.floor(F.col("component") / ROOM).cast("int"))
-    return sizes.join(F.broadcast(t.spark.range(1).select(F.inline(settings))), "s").select("s", "share", "rep", (F.col("component") % ROOM).alias("component"), "nodes")  # settings: a few literals
+def entering(t: Tables, shares: tuple[float, ...], reps: int, core: bool = False) -> DataFrame:
+    """Links of each replicate with ``step``, the first of the rising shares that keeps them (core: in the 2-core); ends are told apart by replicate."""
+    draw = uniform("link_label", "rep")
+    step = F.coalesce(*(F.when(draw < F.lit(p), F.lit(i)) for i, p in enumerate(shares)))
+    rows = t.L.select("link_label", "node_a", "node_b", F.col("length").cast("double").alias("length"), F.explode(F.array(*map(F.lit, range(reps)))).alias("rep")).withColumn("step", step).where("step IS NOT NULL")
+    base = F.col("rep").cast("long") * ROOM
+    rows = rows.select((F.col("link_label") + base).alias("link_label"), *((F.col(k) + base).alias(k) for k in ("node_a", "node_b")), "length", "step", "rep")
+    return forest.core_steps(rows, len(shares)) if core else rows
+
+
+def component_steps(links: DataFrame, steps: int) -> DataFrame:
+    """rep, step, component, nodes, links and length of each component at each step, from one merge tree."""
+    alive, gains = forest.merge_tree(links)
+    spans = alive.select("component", "nodes", F.explode(F.sequence("birth", F.coalesce("death", F.lit(steps)) - 1)).alias("step"))
+    # steps at which nothing came in stand between others: sums run over both
+    rows = spans.select("component", "step", "nodes", F.lit(0).cast("long").alias("links"), F.lit(0.0).alias("length")).unionByName(gains.select("component", "step", F.lit(None).cast("long").alias("nodes"), "links", "length"))
+    sums = rows.groupBy("component", "step").agg(F.max("nodes").alias("nodes"), F.sum("links").alias("links"), F.sum("length").alias("length"))
+    run = Window.partitionBy("component").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # one row a step
+    whole = sums.select("component", "step", "nodes", *(F.sum(k).over(run).alias(k) for k in ("links", "length"))).where("nodes IS NOT NULL")
+    return whole.withColumn("rep", F.floor(F.col("component.node") / ROOM).cast("int"))
+
+
+#: Components whose sizes are recorded, and parts of a step that are ranked for themselves first.
+TOP, PARTS = 10, 64
+
+
+def largest(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The ``TOP`` rows of each group by ``value``, ranked in parts first, so that no task takes a whole group."""
+    order = [F.desc(value), "component"]
+    some = rows.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(PARTS)))
+    best = some.withColumn("i", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order))).where(F.col("i") <= TOP)
+    return best.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("i") <= TOP).drop("part")
 
 
 @query("x8_edge_removal_curve", f"""WITH RECURSIVE {removal_sql(settings_sql(SHARES, REPLICATES))}, o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY nodes DESC, root) AS i, sum(nodes) OVER (PARTITION BY s) AS total FROM sizes),
@@ -115,30 +139,39 @@ g AS (SELECT share, s, count(*)::DOUBLE AS components, max(nodes)::DOUBLE AS lar
 SELECT share, count(*) AS replicates, round(avg(components), 6) AS components, round(stddev_samp(components), 6) AS components_std, round(avg(largest), 6) AS largest, round(stddev_samp(largest), 6) AS largest_std, round(avg(top), 6) AS top_share, round(stddev_samp(top), 6) AS top_share_std FROM g GROUP BY share""")
 def x8(t: Tables) -> DataFrame:
     """For each kept share of links: number of components, largest one and share of the ten largest, mean and sample deviation over replicates."""
-    rows = removal_sizes(t, SHARES, REPLICATES)
-    one = Window.partitionBy("s")
-    ranked = rows.withColumn("i", F.row_number().over(one.orderBy(F.desc("nodes"), "component"))).withColumn("total", F.sum("nodes").over(one))
-    each = ranked.groupBy("share", "s").agg(F.count("*").alias("components"), F.max("nodes").alias("largest"), (F.sum(F.when(F.col("i") <= 10, F.col("nodes"))) / F.first("total")).alias("top_share"))
+    rows = checkpointed(component_steps(entering(t, SHARES, REPLICATES), len(SHARES)))
+    sums = rows.groupBy("step", "rep").agg(F.count("*").alias("components"), F.max("nodes").alias("largest"), F.sum("nodes").alias("total"))
+    top = largest(rows, ["step", "rep"], "nodes").groupBy("step", "rep").agg(F.sum("nodes").alias("top"))
+    each = sums.join(top, ["step", "rep"]).withColumn("top_share", F.col("top") / F.col("total"))
     stat = [(f, n) for k in ("components", "largest", "top_share") for f, n in ((F.avg(k), k), (F.stddev_samp(k), f"{k}_std"))]
-    return each.groupBy("share").agg(F.count("*").alias("replicates"), *(r6(f).alias(n) for f, n in stat))
+    return each.groupBy(share_of(SHARES)).agg(F.count("*").alias("replicates"), *(r6(f).alias(n) for f, n in stat))
+
 
+def share_of(shares: tuple[float, ...]) -> Column:
+    return F.element_at(F.array(*map(F.lit, shares)), F.col("step") + 1).alias("share")
 
-STEPS = (0.9, 0.8, 0.7, 0.6, 0.5)
 
+STEPS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
 
-@query("x9_sequential_removal", f"""WITH RECURSIVE {removal_sql(settings_sql(STEPS, 1))}, links AS (SELECT s, root, sum(length) AS length FROM (SELECT k.s, L.link_label, L.node_a, L.length::DOUBLE AS length FROM L, k WHERE {uniform_sql('link_label', 'rep')} < share) q JOIN (SELECT s, node, min(root) AS root FROM reach GROUP BY 1, 2) c ON c.s = q.s AND c.node = q.node_a GROUP BY 1, 2)
-SELECT share, count(*) AS components, CAST(max(nodes) AS BIGINT) AS largest, round(max(length) / (SELECT sum(length) FROM L), 6) AS longest_share, round(sum(length) / (SELECT sum(length) FROM L), 6) AS kept_share FROM sizes JOIN links USING (s, root) JOIN k USING (s) GROUP BY share""".replace("q JOIN (SELECT s, node, min(root) AS root FROM reach GROUP BY 1, 2) c ON c.s = q.s AND c.node = q.node_a GROUP BY 1, 2", "q JOIN (SELECT s AS cs, node, min(root) AS root FROM reach GROUP BY 1, 2) c ON cs = q.s AND c.node = q.node_a GROUP BY 1, 2"))
+
+@query("x9_sequential_removal", f"""WITH RECURSIVE k AS (SELECT * FROM (VALUES {', '.join(f'({i}, {p})' for i, p in enumerate(STEPS))}) AS v(s, share)), l AS MATERIALIZED (SELECT s, link_label, node_a, node_b, length::DOUBLE AS length FROM L, k WHERE {uniform_sql('link_label', '0')} < share),
+gone(s, link_label) USING KEY (s, link_label) AS (SELECT -1, -1::BIGINT UNION (WITH left_ AS (SELECT l.* FROM l WHERE NOT EXISTS (SELECT 1 FROM recurring.gone g WHERE g.s = l.s AND g.link_label = l.link_label)),
+ e AS (SELECT s, link_label, node_a AS node FROM left_ UNION ALL SELECT s, link_label, node_b FROM left_) SELECT DISTINCT s, min(link_label) FROM e WHERE (SELECT count(*) FROM gone) > 0 GROUP BY s, node HAVING count(*) = 1)),
+core AS MATERIALIZED (SELECT l.* FROM l WHERE (s, link_label) NOT IN (SELECT (s, link_label) FROM gone)),
+b AS MATERIALIZED (SELECT s, node_a AS u, node_b AS v FROM core UNION SELECT s, node_b, node_a FROM core), reach(s, node, root) AS (SELECT s, u, u FROM b UNION SELECT b.s, b.v, reach.root FROM reach JOIN b ON b.s = reach.s AND b.u = reach.node), cc AS (SELECT s AS cs, node, min(root) AS root FROM reach GROUP BY 1, 2),
+z AS (SELECT s, root, count(*) AS links, sum(length) AS length FROM core JOIN cc ON cs = s AND node = node_a GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY links DESC, root) AS i FROM z)
+SELECT share, count(*) AS components, sum(links)::BIGINT AS links, round(sum(length), 5) AS length, max(links) AS largest, round(max(links) / sum(links), 6) AS largest_share, sum(links) FILTER (i <= {TOP})::BIGINT AS top_links, round(max(length) / sum(length), 6) AS longest_share FROM o JOIN k USING (s) GROUP BY share""")
 def x9(t: Tables) -> DataFrame:
-    """Links removed step by step in hashed order: components, the largest one, and shares of the length that are left."""
-    rows = removal_sizes(t, STEPS, 1)
-    whole = t.L.agg(F.sum(F.col("length").cast("double")).alias("whole"))  # one row
-    settings = F.array(*(F.struct(F.lit(i).alias("s"), F.lit(p).alias("share")) for i, p in enumerate(STEPS)))
-    kept = checkpointed(t.L.select("link_label", "node_a", "node_b", F.col("length").cast("double").alias("length"), F.explode(settings).alias("k")).where(uniform("link_label", F.lit(0)) < F.col("k.share")))
-    base = F.col("k.s").cast("long") * ROOM
-    found = graph.components(kept.select((F.col("node_a") + base).alias("u"), (F.col("node_b") + base).alias("v")))
-    lengths = kept.select("k.s", (F.col("node_a") + base).alias("node"), "length").join(found, "node").groupBy("s", (F.col("component") % ROOM).alias("component")).agg(F.sum("length").alias("length"))
-    each = rows.join(lengths, ["s", "component"]).groupBy("share").agg(F.count("*").alias("components"), F.max("nodes").alias("largest"), F.max("length").alias("longest"), F.sum("length").alias("kept"))
-    return each.crossJoin(F.broadcast(whole)).select("share", "components", "largest", r6(F.col("longest") / F.col("whole")).alias("longest_share"), r6(F.col("kept") / F.col("whole")).alias("kept_share"))
+    """Links removed step by step in hashed order, loose ends pruned before each step is recorded: links and length that are left, components, the largest ones by links and the longest one.
+
+    What pruning leaves doesn't depend on when it was done, so a link has one first step at which it
+    is in the pruned graph, and one merge tree over these answers all steps.
+    """
+    rows = checkpointed(component_steps(entering(t, STEPS, 1, core=True), len(STEPS)))
+    sums = rows.groupBy("step").agg(F.count("*").alias("components"), F.sum("links").alias("links"), F.sum("length").alias("length"), F.max("links").alias("largest"), F.max("length").alias("longest"))
+    top = largest(rows, ["step"], "links").groupBy("step").agg(F.sum("links").alias("top_links"))
+    out = sums.join(top, "step")
+    return out.select(share_of(STEPS), "components", "links", F.round("length", 5).alias("length"), "largest", r6(F.col("largest") / F.col("links")).alias("largest_share"), "top_links", r6(F.col("longest") / F.col("length")).alias("longest_share"))
 
 
 FINE = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -150,7 +183,7 @@ t AS (SELECT (SELECT p FROM d WHERE slope IS NOT NULL ORDER BY slope DESC, p LIM
 SELECT round(steepest, 6) AS steepest, round(half, 6) AS half, count(*) AS points, round(regr_slope(log10(y), p - steepest), 4) AS slope, round(regr_intercept(log10(y), p - steepest), 4) AS intercept FROM c, t WHERE y BETWEEN 0.05 AND 0.95 GROUP BY steepest, half""")
 def x10(t: Tables) -> DataFrame:
     """Where the largest component's share rises most steeply and where it passes one half; and the line of its logarithm against the distance from there."""
-    rows = removal_sizes(t, FINE, 1)
+    rows = component_steps(entering(t, FINE, 1), len(FINE)).withColumn("share", share_of(FINE))
     c = checkpointed(rows.groupBy(F.col("share").cast("double").alias("p")).agg((F.max("nodes") / F.sum("nodes")).alias("y")))
     w = Window.partitionBy(F.lit(0)).orderBy("p")  # one row a share
     d = c.select("p", "y", ((F.lead("y").over(w) - F.lag("y").over(w)) / (F.lead("p").over(w) - F.lag("p").over(w))).alias("slope"), F.lead("p").over(w).alias("p1"), F.lead("y").over(w).alias("y1"))

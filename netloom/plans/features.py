@@ -169,14 +169,20 @@ def x2(t: Tables) -> DataFrame:
     return line(moments.regression(rows, ["o_orderpriority"], F.log10("o_custkey"), F.log10("o_totalprice")), "o_orderpriority")
 
 
-FOUR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+#: Measures of a line item; some are missing in a part of the rows.
+MEASURES = {
+    "quantity": "CAST(l_quantity AS DOUBLE)", "price": "CAST(l_extendedprice AS DOUBLE)", "discount": "CASE WHEN l_linenumber < 6 THEN CAST(l_discount AS DOUBLE) END", "tax": "CAST(l_tax AS DOUBLE)", "unit_price": "CAST(l_extendedprice / l_quantity AS DOUBLE)",
+    "part": "CASE WHEN l_partkey % 7 <> 0 THEN CAST(l_partkey AS DOUBLE) END", "supplier": "CAST(l_suppkey AS DOUBLE)", "line": "CAST(l_linenumber AS DOUBLE)", "charge": "CASE WHEN l_tax > 0 THEN CAST(l_extendedprice * (1 - l_discount) * (1 + l_tax) AS DOUBLE) END",
+}
 
 
-@query("x3_correlation_matrix", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r, round(regr_slope({b}, {a}), 6) AS slope FROM lineitem WHERE l_quantity > 5" for a in FOUR for b in FOUR if a != b))
+@query("x3_correlation_matrix", f"WITH m AS MATERIALIZED (SELECT {', '.join(f'{e} AS {c}' for c, e in MEASURES.items())} FROM lineitem WHERE l_quantity > 5), p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, corr({a}, {b}) AS r, regr_slope({b}, {a}) AS slope, regr_intercept({b}, {a}) AS intercept, var_pop({a}) AS vx, avg({a}) AS mx, var_pop({b}) AS vy FROM m WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a in MEASURES for b in MEASURES if a != b) + "), q AS (SELECT *, greatest(1 - r * r, 0) * vy * n / (n - 2) AS var FROM p WHERE n > 2 AND vx > 0 AND vy > 0) SELECT a, b, n, round(r, 6) AS r, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(sqrt(var / (n * vx)), 6) AS slope_se, round(sqrt(var * (1.0 / n + mx * mx / (n * vx))), 4) AS intercept_se, round(1 - (1 - r * r) * (n - 1) / (n - 2), 6) AS adjusted_r2 FROM q")
 def x3(t: Tables) -> DataFrame:
-    pairs = [(a, b) for a in FOUR for b in FOUR if a != b]
-    wide = t.lineitem.where("l_quantity > 5").agg(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(F.corr(a, b)).alias("r"), r6(F.regr_slope(b, a)).alias("slope")).alias(f"{a}_{b}") for a, b in pairs))
-    return wide.select(F.inline(F.array(*wide.columns)))
+    """Correlation and line of every ordered pair of measures, over the rows where both are known."""
+    rows = t.lineitem.where("l_quantity > 5").select(*(F.expr(e).alias(c) for c, e in MEASURES.items()))
+    out = moments.all_regressions(rows, list(MEASURES))
+    four = ("intercept", "intercept_se")
+    return out.select("a", "b", "n", *(F.round(c, 4 if c in four else 6).alias(c) for c in ("r", "slope", "intercept", "slope_se", "intercept_se", "adjusted_r2")))
 
 
 @query("x4_ks_distance", """

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import chains, graph, learning, moments, spatial
+from ..operators import chains, deletion, graph, learning, moments, spatial
 from ..sources.scratch import checkpointed
 from .chains import chain_sql, linked
 from .coordinates import r6
-from .graphs import CONTRACT
 from .registry import Tables, query
 
 #: Voxels up to which a hair, a self-loop and a parallel link are removed (fixed values of the queries).
@@ -58,34 +57,42 @@ def r5(t: Tables) -> DataFrame:
     return clean_up(t.M.select("link_label", "node_a", "node_b", F.col("length").cast("double").alias("length"), "n_voxel", "intensity"))[1]
 
 
-NEAR = "tips AS MATERIALIZED (SELECT label, size, pos, voxel_id, x, y, z, n FROM link JOIN cls USING (voxel_id) WHERE pos = 1 OR pos = size), comp AS MATERIALIZED (SELECT voxel_id, min(root) AS object FROM cr GROUP BY 1)"
+#: Size below which a leaf branch is pruned, above which another object's leaf branch protects it, and how near that one is (one value in all three).
+LEAF = 5
 
 
-@query("r9_prune_leaf_branches", f"""{chain_sql('V')}, cr(voxel_id, root) AS (SELECT voxel_id, voxel_id FROM cls UNION SELECT adj.v, cr.root FROM cr JOIN adj ON adj.u = cr.voxel_id), {NEAR},
-leaf AS (SELECT label, any_value(size) AS size, any_value(object) AS object FROM tips JOIN comp USING (voxel_id) GROUP BY label HAVING count(*) FILTER (n = 1) > 0 AND any_value(size) <= 5),
-big AS (SELECT label, size, object, x, y, z FROM tips JOIN comp USING (voxel_id)),
-safe AS (SELECT DISTINCT a.label FROM big a JOIN leaf USING (label) JOIN big b ON b.object <> a.object AND b.size > a.size AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3 AND b.z BETWEEN a.z - 3 AND a.z + 3 WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 3)
-SELECT label, size FROM leaf WHERE label NOT IN (SELECT label FROM safe)""")
-def r9(t: Tables) -> DataFrame:
-    """Branches to prune: a free end, at most five voxels, and no end of another object's larger branch within 3."""
-    voxels = checkpointed(chains.neighbour_counts(t.V.select("voxel_id", "x", "y", "z")))
+def leaf_branches(voxels: DataFrame, most: int) -> DataFrame:
+    """label and size of branches (chains without nodes' voxels) to prune.
+
+    A branch goes if it has a free end, fewer than ``most`` voxels, and no free end of another
+    object within ``most`` of one of its own whose branch has more than ``most`` voxels.
+    """
+    voxels = checkpointed(chains.neighbour_counts(voxels.select("voxel_id", "x", "y", "z")))
     pairs = spatial.neighbours(voxels, "voxel_id").unionByName(voxels.select(F.col("voxel_id").alias("u"), F.col("voxel_id").alias("v")))
     objects = graph.components(pairs).select(F.col("node").alias("voxel_id"), F.col("component").alias("object"))
-    tips = checkpointed(chains.chains(voxels).where("pos = 1 OR pos = size").join(voxels, "voxel_id").join(objects, "voxel_id"))
-    leaf = tips.groupBy("label").agg(F.max("size").alias("size"), F.count(F.when(F.col("n") == 1, 1)).alias("free")).where("free > 0 AND size <= 5").select("label", "size")
-    of = tips.select("label", "size", "object", "x", "y", "z")
-    safe = spatial.within(of.join(leaf.select("label"), "label", "left_semi"), of, 3).where("a.object <> b.object AND b.size > a.size").select(F.col("a.label").alias("label")).distinct()
-    return leaf.join(safe, "label", "left_anti")
+    leaves = checkpointed(chains.chains(voxels).join(voxels.where("n = 1"), "voxel_id").join(objects, "voxel_id").select("label", "size", "object", "x", "y", "z"))
+    short = leaves.where(F.col("size") < most)
+    safe = spatial.within(short, leaves.where(F.col("size") > most), most).where("a.object <> b.object").select("a.label").distinct()
+    return short.select("label", "size").distinct().join(safe, "label", "left_anti")
+
+
+@query("r9_prune_leaf_branches", f"""{chain_sql('V')}, cr(voxel_id, root) AS (SELECT voxel_id, voxel_id FROM cls UNION SELECT adj.v, cr.root FROM cr JOIN adj ON adj.u = cr.voxel_id), comp AS MATERIALIZED (SELECT voxel_id, min(root) AS object FROM cr GROUP BY 1),
+leaf AS MATERIALIZED (SELECT label, size, object, x, y, z FROM link JOIN cls USING (voxel_id) JOIN comp USING (voxel_id) WHERE n = 1),
+safe AS (SELECT DISTINCT a.label FROM leaf a JOIN leaf b ON a.size < {LEAF} AND b.size > {LEAF} AND b.object <> a.object AND abs(a.x - b.x) <= {LEAF} AND abs(a.y - b.y) <= {LEAF} AND b.z BETWEEN a.z - {LEAF} AND a.z + {LEAF} WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= {LEAF})
+SELECT DISTINCT label, size FROM leaf WHERE size < {LEAF} AND label NOT IN (SELECT label FROM safe)""")
+def r9(t: Tables) -> DataFrame:
+    """Branches to prune."""
+    return leaf_branches(t.V, LEAF)
 
 
-@query("r13_guarded_delete", CONTRACT.replace("WITH RECURSIVE", "WITH RECURSIVE kept AS (SELECT * FROM L WHERE intensity >= 20),").replace("SELECT c.chain AS link_label", "SELECT s.link_label, CASE WHEN d.link_label IS NULL THEN 'gone' WHEN d.node_a IS NULL THEN 'without nodes' WHEN round(d.length, 5) <> round(s.length, 5) THEN 'changed' ELSE 'deleted' END AS status FROM (SELECT link_label, length::DOUBLE AS length FROM L WHERE intensity BETWEEN 20 AND 120) s LEFT JOIN (SELECT c.chain AS link_label").replace("GROUP BY 1, 2, 3", "GROUP BY 1, 2, 3) d USING (link_label)"))
+@query("r13_guarded_delete")
 def r13(t: Tables) -> DataFrame:
-    """Links that were selected for deletion, and what becomes of each in the graph as it is now: skipped where its length is no longer what it was, where it has no nodes, or where it is gone."""
-    selected = t.L.where("intensity BETWEEN 20 AND 120").select("link_label", F.round(F.col("length").cast("double"), 5).alias("was"))
-    now = graph.contract(t.L.where("intensity >= 20")).select("link_label", "node_a", F.round(F.col("length").cast("double"), 5).alias("is"))
-    joined = selected.join(now, "link_label", "left")
-    status = F.when(F.col("is").isNull(), "gone").when(F.col("node_a").isNull(), "without nodes").when(F.col("is") != F.col("was"), "changed").otherwise("deleted")
-    return joined.select("link_label", status.alias("status"))
+    """What becomes of dim links, the dimmest first: deleted, or left because a node would become an endpoint, because a join changed them before, or because they have no nodes."""
+    links = t.L.select("link_label", "node_a", "node_b", (F.floor("length") + 1).alias("size"))
+    chosen = t.L.where("intensity <= 120").select("link_label", F.struct("intensity", "link_label").alias("ord"))
+    left, report = deletion.guarded_delete(links, chosen)
+    now = left.select("link_label", F.col("size").alias("size_left"))
+    return report.join(links.select("link_label", "size"), "link_label", "left").join(now, "link_label", "left")
 
 
 @query("r11_refinement_round")
