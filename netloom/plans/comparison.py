@@ -154,10 +154,10 @@ def share_of(shares: tuple[float, ...]) -> Column:
 STEPS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
 
 
-@query("x9_sequential_removal", f"""WITH RECURSIVE k AS (SELECT * FROM (VALUES {', '.join(f'({i}, {p})' for i, p in enumerate(STEPS))}) AS v(s, share)), l AS MATERIALIZED (SELECT s, link_label, node_a, node_b, length::DOUBLE AS length FROM L, k WHERE {uniform_sql('link_label', '0')} < share),
-gone(s, link_label) USING KEY (s, link_label) AS (SELECT -1, -1::BIGINT UNION (WITH left_ AS (SELECT l.* FROM l WHERE NOT EXISTS (SELECT 1 FROM recurring.gone g WHERE g.s = l.s AND g.link_label = l.link_label)),
+@query("x9_sequential_removal", f"""WITH RECURSIVE k AS (SELECT * FROM (VALUES {', '.join(f'({i}, {p})' for i, p in enumerate(STEPS))}) AS v(s, share)), lk AS MATERIALIZED (SELECT s, link_label, node_a, node_b, length::DOUBLE AS length FROM L, k WHERE {uniform_sql('link_label', '0')} < share),
+gone(s, link_label) USING KEY (s, link_label) AS (SELECT -1, -1::BIGINT UNION (WITH left_ AS (SELECT lk.* FROM lk WHERE NOT EXISTS (SELECT 1 FROM recurring.gone g WHERE g.s = lk.s AND g.link_label = lk.link_label)),
  e AS (SELECT s, link_label, node_a AS node FROM left_ UNION ALL SELECT s, link_label, node_b FROM left_) SELECT DISTINCT s, min(link_label) FROM e WHERE (SELECT count(*) FROM gone) > 0 GROUP BY s, node HAVING count(*) = 1)),
-core AS MATERIALIZED (SELECT l.* FROM l WHERE (s, link_label) NOT IN (SELECT (s, link_label) FROM gone)),
+core AS MATERIALIZED (SELECT lk.* FROM lk WHERE (s, link_label) NOT IN (SELECT (s, link_label) FROM gone)),
 b AS MATERIALIZED (SELECT s, node_a AS u, node_b AS v FROM core UNION SELECT s, node_b, node_a FROM core), reach(s, node, root) AS (SELECT s, u, u FROM b UNION SELECT b.s, b.v, reach.root FROM reach JOIN b ON b.s = reach.s AND b.u = reach.node), cc AS (SELECT s AS cs, node, min(root) AS root FROM reach GROUP BY 1, 2),
 z AS (SELECT s, root, count(*) AS links, sum(length) AS length FROM core JOIN cc ON cs = s AND node = node_a GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY links DESC, root) AS i FROM z)
 SELECT share, count(*) AS components, sum(links)::BIGINT AS links, round(sum(length), 5) AS length, max(links) AS largest, round(max(links) / sum(links), 6) AS largest_share, sum(links) FILTER (i <= {TOP})::BIGINT AS top_links, round(max(length) / sum(length), 6) AS longest_share FROM o JOIN k USING (s) GROUP BY share""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,21 +134,83 @@ def v7(t: Tables) -> DataFrame:
     return s.select("i", "level", "n", "area", "volume").crossJoin(F.broadcast(chosen))  # chosen: one row
 
 
-@query("v8_threshold_by_histogram", """WITH h AS (SELECT CAST(floor(l_extendedprice / 2000.0) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1), peak AS (SELECT bin AS p, n AS top FROM h ORDER BY n DESC, bin LIMIT 1),
-tail AS (SELECT min(bin) AS t FROM h, peak WHERE bin > p AND n <= 0.5 * top), o AS (SELECT bin, n, lag(n) OVER w AS before, lead(n) OVER w AS after FROM h WINDOW w AS (ORDER BY bin)),
-m AS (SELECT min(bin) AS b FROM o, tail WHERE bin >= t AND n < before AND n <= after)
-SELECT p AS peak, t AS tail, coalesce(2000.0 * (b + 0.5), 2000.0 * (p + 0.5 + 2 * (t - p))) AS threshold FROM peak, tail, m""")
+def _peaks(y: np.ndarray) -> np.ndarray:
+    """Places (ends aside) higher than what is before and what comes after; of a level top the first."""
+    change = np.flatnonzero(np.diff(y)) + 1  # where a new level begins
+    start = np.concatenate([[0], change])
+    level = y[start]
+    return start[1:-1][(level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])] if len(start) > 2 else start[:0]
+
+
+def _width(y: np.ndarray, peak: int, by_height: bool) -> float:
+    """Width of a peak at half its height or half its prominence, between its own valleys."""
+    higher = np.flatnonzero(y > y[peak])
+    low = max(higher[higher < peak], default=-1) + 1
+    high = min(higher[higher > peak], default=len(y)) - 1
+    left, right = low + int(np.argmin(y[low : peak + 1])), peak + int(np.argmin(y[peak : high + 1]))
+    at = y[peak] / 2 if by_height else (y[peak] + max(y[left], y[right])) / 2
+    i, j = peak, peak
+    while i >= left and y[i] > at:
+        i -= 1
+    while j <= right and y[j] > at:
+        j += 1
+    begin = left if i < left else i + (at - y[i]) / (y[i + 1] - y[i])
+    end = right if j > right else j - (at - y[j]) / (y[j - 1] - y[j])
+    return end - begin
+
+
+def histogram_threshold(counts: np.ndarray, first: int, top: int, apart: int = 8, part: float = 1.0) -> tuple[int, int | None, float | None, int | None]:
+    """threshold, background peak, its width and tail, in levels, from the counts of the levels from ``first`` on; ``top`` is the greatest level there can be.
+
+    Peaks are higher than a tenth of an even share, and at least ``apart`` levels from a higher one.
+    The highest is the background's if it stands left of all others, else the one nearest to the
+    middle of the range, by its half-height width. Behind the tail, a width away, the minimum that is
+    nearest in terms of its own width is the threshold; without one it is two widths behind the peak.
+    Without a peak it is the least level.
+    """
+    y = counts / counts.sum()
+    found = [int(p) for p in _peaks(y) if y[p] > 0.1 * part / len(y)]
+    kept: list[int] = []
+    for p in sorted(found, key=lambda p: (-y[p], p)):
+        if all(abs(p - q) > apart for q in kept):
+            kept.append(p)
+    if not kept:
+        return first, None, None, None
+    widths = [_width(y, p, True) for p in kept]
+    at = 0 if kept[0] == min(kept) else min(range(len(kept)), key=lambda i: abs(first + kept[i] - top / 2) / widths[i])
+    peak, width = kept[at], widths[at]
+    tail = peak + int(np.floor(width + 0.5))
+    tail = peak if tail >= len(y) else tail
+    behind = -y[tail:]
+    dips = _peaks(behind)
+    if len(dips):
+        best = tail + int(min(dips, key=lambda p: (p + 1) / _width(behind, int(p), False)))
+    else:
+        best = peak + int(np.floor(2 * width + 0.5))
+        best = min(peak + int(np.floor(width + 0.5)), len(y) - 1) if best >= len(y) - 1 else best
+    return first + best, first + peak, width, first + tail
+
+
+def block_thresholds(values: DataFrame, block: str, level: str, top: int) -> DataFrame:
+    """block, threshold, peak, width and tail from each block's histogram of whole levels, counted by Spark; levels from 0 to ``top``, so a group has that many rows at most."""
+    counted = values.where(F.col(level).between(0, top)).groupBy(F.col(block).alias("block"), F.col(level).cast("int").alias("level")).agg(F.count("*").alias("n"))
+    schema = f"block {dict(counted.dtypes)['block']}, threshold int, peak int, width double, tail int"
+
+    def find(rows: pd.DataFrame) -> pd.DataFrame:
+        first = int(rows["level"].min())
+        counts = np.zeros(int(rows["level"].max()) - first + 1)
+        counts[rows["level"].to_numpy() - first] = rows["n"].to_numpy()
+        return pd.DataFrame([(rows["block"].iloc[0], *histogram_threshold(counts, first, top))], columns=["block", "threshold", "peak", "width", "tail"])
+
+    return counted.groupBy("block").applyInPandas(find, schema)
+
+
+@query("v8_threshold_by_histogram")
 def v8(t: Tables) -> DataFrame:
-    """The first relative minimum of a histogram behind the background peak's tail (where counts fall to half the peak), else two widths behind the peak: one row."""
-    h = t.lineitem.groupBy(F.floor(F.col("l_extendedprice") / 2000.0).alias("bin")).agg(F.count("*").alias("n"))
-    every = Window.partitionBy(F.lit(0))  # one row a bin
-    w = every.orderBy("bin")
-    top = F.max(F.struct("n", -F.col("bin"))).over(every)
-    o = h.select("bin", "n", F.lag("n").over(w).alias("before"), F.lead("n").over(w).alias("after"), top.alias("top")).withColumn("p", -F.col("top")[F.lit("col2")])
-    o = o.withColumn("t", F.min(F.when((F.col("bin") > F.col("p")) & (F.col("n") <= 0.5 * F.col("top.n")), F.col("bin"))).over(every))
-    ends = o.agg(F.first("p").alias("peak"), F.first("t").alias("tail"), F.min(F.when((F.col("bin") >= F.col("t")) & (F.col("n") < F.col("before")) & (F.col("n") <= F.col("after")), F.col("bin"))).alias("b"))
-    peak, tail = F.col("peak"), F.col("tail")
-    return ends.select("peak", "tail", F.coalesce(2000.0 * (F.col("b") + 0.5), 2000.0 * (peak + 0.5 + 2 * (tail - peak))).alias("threshold"))
+    """Each block's threshold from the minimum behind its background peak."""
+    levels = t.lineitem.select((F.col("l_suppkey") % 8).alias("block"), F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) / 500).alias("level"))
+    out = block_thresholds(levels, "block", "level", 255)
+    return out.select("block", "threshold", "peak", r6(F.col("width")).alias("width"), "tail")
 
 
 #: Distance from which matched points don't count, share of them that accepts a pair of tiles, rounds of alignment, and gap that keeps tiles apart.
@@ -290,14 +354,75 @@ def affine(edges: DataFrame, key: str) -> DataFrame:
     return sums.where("n >= 3").select(key, "n", *(rows[i][j].alias(f"a{i}{j}") for i in three for j in three))
 
 
-@query("t7_tile_affine")
-def t7(t: Tables) -> DataFrame:
+NINE = [f"a{i}{j}" for i in range(3) for j in range(3)]
+
+
+def det_sql(m: list[list[str]]) -> str:
+    term = lambda a, b, c, d, e: f"{a} * ({b} * {c} - {d} * {e})"
+    return f"({term(m[0][0], m[1][1], m[2][2], m[1][2], m[2][1])} - {term(m[0][1], m[1][0], m[2][2], m[1][2], m[2][0])} + {term(m[0][2], m[1][0], m[2][1], m[1][1], m[2][0])})"
+
+
+def affine_sql(edges: str) -> str:
+    """The least squares of affine() as SQL."""
+    three = range(3)
+    square = [[f"q{i}{j}" for j in three] for i in three]
+    cell = lambda i, k: det_sql([[f"t{i}{row}" if j == k else square[row][j] for j in three] for row in three])
+    sums = ", ".join([f"sum(p{i} * p{j}) AS q{i}{j}" for i in three for j in three] + [f"sum(s{i} * p{j}) AS t{i}{j}" for i in three for j in three])
+    return f"(SELECT tile, n, {', '.join(f'{cell(i, k)} / nullif({det_sql(square)}, 0) AS a{i}{k}' for i in three for k in three)} FROM (SELECT tile, count(*) AS n, {sums} FROM {edges} GROUP BY tile) sums WHERE n >= 3)"
+
+
+AFFINE = f"""edges AS MATERIALIZED (SELECT tile, other, 200.0::DOUBLE * dx + 3 * dy AS p0, 180.0::DOUBLE * dy - 2 * dx AS p1, 150.0::DOUBLE * dz + dx AS p2, 20.0::DOUBLE * dx + noise AS s0, 18.0::DOUBLE * dy - noise AS s1, 15.0::DOUBLE * dz AS s2 FROM (SELECT a.tile, b.tile AS other, b.gx - a.gx AS dx, b.gy - a.gy AS dy, b.gz - a.gz AS dz, (b.model - a.model)::DOUBLE / 10 AS noise FROM T a JOIN T b ON abs(a.gx - b.gx) + abs(a.gy - b.gy) + abs(a.gz - b.gz) = 1) d),
+one AS MATERIALIZED (SELECT * FROM {affine_sql('edges')} f), good AS MATERIALIZED (SELECT edges.* FROM edges JOIN one USING (tile) WHERE sqrt({' + '.join(f'pow(s{i} - ({" + ".join(f"a{i}{j} * p{j}" for j in range(3))}), 2)' for i in range(3))}) < 1),
+aff AS MATERIALIZED (SELECT * FROM {affine_sql('good')} f WHERE a00 IS NOT NULL)"""
+
+
+def tile_affines(t: Tables) -> DataFrame:
     """Each tile's affine from its edges, fitted again without the edges that are off by one or more."""
     edges = checkpointed(edges_of_tiles(t))
     first = affine(edges, "tile").drop("n")
     off = [F.col(f"s{i}") - sum((F.col(f"a{i}{j}") * F.col(f"p{j}") for j in range(3)), F.lit(0.0)) for i in range(3)]
     good = edges.join(first, "tile").where(F.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2]) < 1)
-    return affine(good.select(*edges.columns), "tile").where("a00 IS NOT NULL").select("tile", "n", *(r6(F.col(f"a{i}{j}")).alias(f"a{i}{j}") for i in range(3) for j in range(3)))
+    return affine(good.select(*edges.columns), "tile").where("a00 IS NOT NULL")
+
+
+@query("t7_tile_affine", f"WITH {AFFINE} SELECT tile, n, {', '.join(f'round({a}, 6) AS {a}' for a in NINE)} FROM aff")
+def t7(t: Tables) -> DataFrame:
+    """Each tile's affine."""
+    return tile_affines(t).select("tile", "n", *(r6(F.col(a)).alias(a) for a in NINE))
+
+
+#: Relative norm beyond which a tile's affine doesn't count, and the grid's weights for the nearest reliable tile (layers last).
+ODD, GRID = 0.05, (1, 1, 1e5)
+
+
+def norm_sql(m: list[str]) -> str:
+    return f"sqrt({' + '.join(f'pow({v}, 2)' for v in m)})"
+
+
+def reliable_models(tiles: DataFrame, models: DataFrame, names: list[str], most: float = ODD, weights: tuple[float, ...] = GRID) -> DataFrame:
+    """tile, deviation, reliable, source and the source's model for each of ``tiles`` (tile, x, y, z on the grid).
+
+    models: tile and the numbers ``names`` of those that have one. A model is reliable if its
+    difference to the mean of all has at most ``most`` times the mean's (Frobenius) norm; every tile
+    takes the model of the nearest reliable one, itself if it is (ties: the least tile).
+    """
+    mean = models.agg(*(F.avg(c).alias(f"m_{c}") for c in names))  # one row
+    norm = lambda columns: F.sqrt(sum((v * v for v in columns), F.lit(0.0)))
+    off = norm([F.col(c) - F.col(f"m_{c}") for c in names]) / norm([F.col(f"m_{c}") for c in names])
+    judged = models.crossJoin(F.broadcast(mean)).select("tile", off.alias("deviation"), *names)
+    good = checkpointed(judged.where(F.col("deviation") <= most).join(tiles, "tile"))
+    at = ["x", "y", "z"]
+    near = spatial.nearest(tiles.select(*at).distinct(), good.select(*at, F.col("tile").alias("source")), "source", 2, weights).select(*at, "source")
+    taken = tiles.join(near, at).join(good.select(F.col("tile").alias("source"), *names), "source")
+    return taken.join(judged.select("tile", "deviation"), "tile", "left").select("tile", "deviation", F.coalesce(F.col("deviation") <= most, F.lit(False)).alias("reliable"), "source", *names)
+
+
+@query("t8_unreliable_tiles", f"WITH {AFFINE}, mean AS (SELECT {', '.join(f'avg({a}) AS m_{a}' for a in NINE)} FROM aff), judged AS MATERIALIZED (SELECT aff.*, {norm_sql([f'({a} - m_{a})' for a in NINE])} / {norm_sql([f'm_{a}' for a in NINE])} AS deviation FROM aff, mean), sound AS (SELECT judged.*, gx, gy, gz FROM judged JOIN T USING (tile) WHERE deviation <= {ODD}), near AS (SELECT a.tile, b.tile AS source, {', '.join(f'b.{a}' for a in NINE)}, row_number() OVER (PARTITION BY a.tile ORDER BY sqrt(pow(a.gx - b.gx, 2) + pow(a.gy - b.gy, 2) + pow((a.gz - b.gz) * {GRID[2]}, 2)), b.tile) AS i FROM T a, sound b) SELECT tile, round(deviation, 6) AS deviation, coalesce(deviation <= {ODD}, false) AS reliable, source, {', '.join(f'round(near.{a}, 6) AS {a}' for a in NINE)} FROM near LEFT JOIN (SELECT tile, deviation FROM judged) j USING (tile) WHERE i = 1")
+def t8(t: Tables) -> DataFrame:
+    """Tiles whose affine is missing or far from the mean one take the nearest reliable tile's."""
+    tiles = t.T.select("tile", *(F.col(f"g{k}").alias(k) for k in "xyz"))
+    out = reliable_models(tiles, tile_affines(t).drop("n"), NINE)
+    return out.select("tile", r6(F.col("deviation")).alias("deviation"), "reliable", "source", *(r6(F.col(a)).alias(a) for a in NINE))
 
 
 @query("t12_match_quality", "WITH m AS (SELECT a.gz, 200.0 * a.gx + a.model AS x1, 180.0 * a.gy - a.model AS y1, 150.0 * a.gz AS z1, 200.0 * (b.gx - 1) + b.model AS x2, 180.0 * b.gy - b.model AS y2, 150.0 * b.gz + b.model AS z2 FROM T a JOIN T b ON b.gx = a.gx + 1 AND b.gy = a.gy AND b.gz = a.gz) SELECT gz AS layer, count(*) AS pairs, round(avg(x2 - x1), 6) AS u, round(avg(y2 - y1), 6) AS v, round(avg(z2 - z1), 6) AS w, round(max(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2) + pow(z2 - z1, 2))), 6) AS most FROM m GROUP BY gz")

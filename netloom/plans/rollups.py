@@ -262,12 +262,6 @@ def t6(t: Tables) -> DataFrame:
     return fit.join(rest, "l_suppkey").select(F.col("l_suppkey").alias("tile"), "n", F.round(bent(25 - c1 / (2 * c2)), 2).alias("p1"), F.round(-c2, 6).alias("p2"), F.round(bent(c0 - c1 * c1 / (4 * c2)), 4).alias("p3"), "outliers", (F.col("outliers") < 0.25 * F.col("n")).alias("valid"))
 
 
-@query("t8_unreliable_tiles", "WITH m AS (SELECT avg(model) AS mean FROM T WHERE reliable) SELECT tile, abs(model - mean) > 0.5 * abs(mean) AS deviates FROM T, m")
-def t8(t: Tables) -> DataFrame:
-    mean = t.T.where("reliable").agg(F.avg("model").alias("mean"))
-    return t.T.crossJoin(F.broadcast(mean)).select("tile", (F.abs(F.col("model") - F.col("mean")) > 0.5 * F.abs("mean")).alias("deviates"))  # mean: one row
-
-
 @query("t9_uniform_sample", "WITH o AS (SELECT node, row_number() OVER (PARTITION BY floor(x / 250.0), floor(y / 250.0), floor(z / 250.0) ORDER BY md5(node::VARCHAR || '|7')) AS i FROM N) SELECT node FROM o WHERE i <= 5")
 def t9(t: Tables) -> DataFrame:
     return spatial.first_per_cell(t.N, 250, 5, [F.md5(F.concat_ws("|", F.col("node").cast("string"), F.lit("7")))]).select("node")

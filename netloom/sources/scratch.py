@@ -1,4 +1,4 @@
-"""Reliable checkpoints and folders where the session names them."""
+"""Tables and folders of intermediate results where the session names them."""
 
 from __future__ import annotations
 
@@ -22,9 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and cut from its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once, written to the shared folder and read back.
+
+    This cuts the lineage, and the files' true sizes take the place of estimates, which grow
+    beyond measure in loops of joins. The files go when the process that runs the driver ends.
+    """
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def new_folder(spark: SparkSession) -> str:
