@@ -1,4 +1,4 @@
-"""Queries: fields on voxels (F23, F28, V7, V8, Q18) and tiles that overlap."""
+"""Queries: fields on voxels (F28, V7, V8, Q18) and tiles that overlap."""
 
 from __future__ import annotations
 
@@ -17,38 +17,6 @@ D3 = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
 TOUCH = "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND b.z BETWEEN a.z - 1 AND a.z + 1"
 
 
-GAP = f"""pairs AS (SELECT a.node AS a, b.node AS b, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, {D3} AS gap FROM N a JOIN N b ON a.side = 0 AND b.side = 1 WHERE {D3} BETWEEN 3 AND 40),
-steps AS (SELECT *, unnest(range(CAST(floor(gap) AS BIGINT) + 1)) AS k FROM pairs),
-path AS (SELECT a, b, gap, k, round(ax + k * (bx - ax) / gap) AS x, round(ay + k * (by_ - ay) / gap) AS y, round(az + k * (bz - az) / gap) AS z, bx - ax AS dx, by_ - ay AS dy, bz - az AS dz FROM steps),
-lit AS (SELECT *, CAST(x * 7 + y * 13 + z * 29 AS BIGINT) % 251 AS v, CAST(x + y + z AS BIGINT) % 17 AS link FROM path),
-turn AS (SELECT *, lead(v) OVER w - 2 * v + lag(v) OVER w AS bend, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS step FROM lit WINDOW w AS (PARTITION BY a, b ORDER BY k)),
-sign AS (SELECT *, bend * lag(bend) OVER (PARTITION BY a, b ORDER BY k) < 0 AS flips FROM turn)"""
-
-
-@query("f23_gap_link_features", f"""WITH {GAP}, f AS (SELECT a, b, count(*) AS n, 1 + sum(step) AS length, any_value(gap) AS gap, any_value(dx) AS dx, any_value(dy) AS dy, any_value(dz) AS dz, avg(v) AS mean, stddev_samp(v) AS std, median(v) AS median, min(v) AS least, count(DISTINCT link) AS links, count(*) FILTER (v < 50) AS outside, count(*) FILTER (flips) AS turns FROM sign GROUP BY a, b),
-parent AS (SELECT node, px, py, pz FROM (SELECT L.node_a AS node, q.x - p.x AS px, q.y - p.y AS py, q.z - p.z AS pz, row_number() OVER (PARTITION BY L.node_a ORDER BY link_label) AS i FROM L JOIN N p ON p.node = L.node_a JOIN N q ON q.node = L.node_b) o WHERE i = 1)
-SELECT a, b, n, round(length, 6) AS length, round(gap / length, 6) AS straightness, round(dx / gap, 6) AS ux, round(dy / gap, 6) AS uy, round(dz / gap, 6) AS uz, round(mean / nullif(std, 0), 6) AS snr, round((mean - median) / nullif(std, 0), 6) AS skew, round(least / nullif(mean, 0), 6) AS least_over_mean, links, round(outside / n, 6) AS outside_share, turns, round((dx * px + dy * py + dz * pz) / nullif(gap * sqrt(px * px + py * py + pz * pz), 0), 6) AS parent_cosine FROM f LEFT JOIN parent ON parent.node = a""")
-def f23(t: Tables) -> DataFrame:
-    """Straight gap links between points of both sides: length, direction, intensities along the path, links met, share outside the mask, sign changes of the second difference, cosine to the parent link."""
-    pairs = spatial.within(t.N.where("side = 0"), t.N.where("side = 1"), 40).where("distance >= 3").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), *(F.col(f"a.{k}").alias(f"a{k}") for k in "xyz"), *((F.col(f"b.{k}") - F.col(f"a.{k}")).cast("double").alias(f"d{k}") for k in "xyz"), F.col("distance").alias("gap"))
-    path = pairs.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor("gap")))).withColumns({k: F.round(F.col(f"a{k}") + F.col("k") * F.col(f"d{k}") / F.col("gap")) for k in "xyz"})
-    lit = path.withColumn("v", (F.col("x") * 7 + F.col("y") * 13 + F.col("z") * 29).cast("long") % 251).withColumn("link", (F.col("x") + F.col("y") + F.col("z")).cast("long") % 17)
-    w = Window.partitionBy("a", "b").orderBy("k")
-    step = F.sqrt(sum((F.pow(F.col(k) - F.lag(k).over(w), F.lit(2.0)) for k in "xyz"), F.lit(0.0)))
-    turn = lit.withColumn("bend", F.lead("v").over(w) - 2 * F.col("v") + F.lag("v").over(w)).withColumn("step", step)
-    turn = turn.withColumn("flips", F.col("bend") * F.lag("bend").over(w) < 0)
-    n = lambda c: F.count(F.when(c, 1))
-    f = turn.groupBy("a", "b").agg(F.count("*").alias("n"), (1 + F.sum("step")).alias("length"), F.first("gap").alias("gap"), *(F.first(f"d{k}").alias(f"d{k}") for k in "xyz"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.median("v").alias("median"), F.min("v").alias("least"), F.count_distinct("link").alias("links"), n(F.col("v") < 50).alias("outside"), n(F.col("flips")).alias("turns"))
-    place = lambda k, p: t.N.select(F.col("node").alias(k), *(F.col(c).cast("double").alias(f"{p}{c}") for c in "xyz"))
-    first = t.L.groupBy("node_a").agg(F.min_by("node_b", "link_label").alias("node_b"))
-    parent = first.join(place("node_a", "s"), "node_a").join(place("node_b", "e"), "node_b").select(F.col("node_a").alias("a"), *((F.col(f"e{k}") - F.col(f"s{k}")).alias(f"p{k}") for k in "xyz"))
-    rows = f.join(parent, "a", "left")
-    dot = sum((F.col(f"d{k}") * F.col(f"p{k}") for k in "xyz"), F.lit(0.0))
-    norm = F.col("gap") * F.sqrt(sum((F.col(f"p{k}") * F.col(f"p{k}") for k in "xyz"), F.lit(0.0)))
-    c, over = F.col, lambda a, b: r6(a / F.when(b != 0, b))
-    return rows.select("a", "b", "n", r6(c("length")).alias("length"), r6(c("gap") / c("length")).alias("straightness"), *(r6(c(f"d{k}") / c("gap")).alias(f"u{k}") for k in "xyz"), over(c("mean"), c("std")).alias("snr"), over(c("mean") - c("median"), c("std")).alias("skew"), over(c("least"), c("mean")).alias("least_over_mean"), "links", r6(c("outside") / c("n")).alias("outside_share"), "turns", over(dot, norm).alias("parent_cosine"))
-
-
 GRADIENT = "g AS (SELECT c.block_id, c.r, (coalesce(xp.r, 0) - coalesce(xm.r, 0)) / 2.0 AS gx, (coalesce(yp.r, 0) - coalesce(ym.r, 0)) / 2.0 AS gy, (coalesce(zp.r, 0) - coalesce(zm.r, 0)) / 2.0 AS gz FROM V c " + " ".join(f"LEFT JOIN V {k}{s} ON " + " AND ".join(f"{k}{s}.{a} = c.{a}" + (f" {'+' if s == 'p' else '-'} 1" if a == k else "") for a in "xyz") for k in "xyz" for s in "pm") + ")"
 
 

@@ -35,25 +35,6 @@ def q1(t: Tables) -> DataFrame:
     return grid(t.spark, (24, 24), 10, 2).crossJoin(grid(t.spark, (48,), 20, 4).toDF("g2", "low2", "high2")).crossJoin(t.V.agg(F.count("*").alias("voxels")))  # few blocks, one row
 
 
-@query("q2_blocks_covering_mask", "WITH s AS (SELECT block_id, count(*) AS n FROM V WHERE r > 1 GROUP BY 1) SELECT block_id, row_number() OVER (ORDER BY block_id) AS label FROM s WHERE n / 13824.0 > 0.05")
-def q2(t: Tables) -> DataFrame:
-    from .graphs import dense_labels
-
-    kept = t.V.where("r > 1").groupBy("block_id").agg((F.count("*") / 13824.0).alias("share")).where("share > 0.05").select("block_id")
-    return dense_labels(kept, "block_id")
-
-
-@query("q3_combined_grid", "SELECT CAST(floor(block_id / 3.0) AS BIGINT) AS grp, min(block_id) AS first, max(block_id) AS last, count(DISTINCT block_id) AS members FROM V GROUP BY 1")
-def q3(t: Tables) -> DataFrame:
-    return t.V.groupBy(F.floor(F.col("block_id") / 3).alias("grp")).agg(F.min("block_id").alias("first"), F.max("block_id").alias("last"), F.count_distinct("block_id").alias("members"))
-
-
-@query("q5_coarser_level", "SELECT DISTINCT block_id, CAST(floor(block_id / 2.0) AS BIGINT) AS coarse, block_id * 12 + 1 AS low, block_id * 12 + 12 AS high FROM V")
-def q5(t: Tables) -> DataFrame:
-    b = F.col("block_id")
-    return t.V.select("block_id").distinct().select("block_id", F.floor(b / 2).alias("coarse"), (b * 12 + 1).alias("low"), (b * 12 + 12).alias("high"))
-
-
 @query("q6_object_share_in_blocks", "SELECT x AS object, block_id, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY x)), 9) AS share FROM V GROUP BY x, block_id")
 def q6(t: Tables) -> DataFrame:
     counts = t.V.groupBy(F.col("x").alias("object"), "block_id").agg(F.count("*").alias("n"))
@@ -213,14 +194,6 @@ def v10(t: Tables) -> DataFrame:
     return labelled.join(labelled.groupBy("component").agg(F.count("*").alias("n")).where("n >= 3"), "component", "left_semi").select("voxel_id")
 
 
-@query("v12_overlapped_patch_merge", "WITH p AS (SELECT x, y, z, r, block_id AS patch FROM V UNION ALL SELECT x, y, z, r, block_id + 1 FROM V WHERE (z - 1) % 24 >= 20) SELECT x, y, z, max(r) AS r FROM p WHERE NOT (patch > floor((z - 1) / 24.0) AND (z - 1) % 24 < 22) GROUP BY x, y, z")
-def v12(t: Tables) -> DataFrame:
-    late = t.V.where("(z - 1) % 24 >= 20").withColumn("block_id", F.col("block_id") + 1)
-    patches = t.V.unionByName(late)
-    own = F.floor((F.col("z") - 1) / 24)
-    return patches.where(~((F.col("block_id") > own) & ((F.col("z") - 1) % 24 < 22))).groupBy("x", "y", "z").agg(F.max("r").alias("r"))
-
-
 @query("v13_block_intensity", "SELECT block_id, count(*) AS n, min(r) AS least, max(r) AS most, round(count(*) FILTER (r >= 4.9) / count(*), 9) AS saturated, round(avg(r) FILTER (r < 2.5), 6) AS background FROM V WHERE r > 0 GROUP BY block_id")
 def v13(t: Tables) -> DataFrame:
     r = F.col("r")

@@ -144,12 +144,3 @@ def v2(t: Tables) -> DataFrame:
         rows = level.withColumn("level", F.lit(k))
         out = rows if out is None else out.unionByName(rows)
     return out
-
-
-@query("v11_sphere_reconstruction", "WITH s AS (SELECT voxel_id, x, y, z, CASE WHEN r >= 4.5 THEN 2 ELSE 1 END AS class FROM V WHERE r >= 4), o AS (SELECT a.i AS dx, b.i AS dy, c.i AS dz FROM (SELECT unnest(range(-2, 3)) AS i) a, (SELECT unnest(range(-2, 3)) AS i) b, (SELECT unnest(range(-2, 3)) AS i) c) SELECT x + dx AS x, y + dy AS y, z + dz AS z, max(class * 1000000000000 + voxel_id) % 1000000000000 AS label FROM s, o WHERE dx * dx + dy * dy + dz * dz <= class * class GROUP BY 1, 2, 3")
-def v11(t: Tables) -> DataFrame:
-    """Each wide voxel paints a ball of its radius class; the larger class, then the greater label, stays."""
-    s = t.V.where("r >= 4").select("voxel_id", "x", "y", "z", F.when(F.col("r") >= 4.5, 2).otherwise(1).alias("class"))
-    ball = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if i * i + j * j + k * k <= 4]
-    painted = spatial.shifted(s, ball).where("pow(nx - x, 2) + pow(ny - y, 2) + pow(nz - z, 2) <= class * class")
-    return painted.groupBy(*(F.col(f"n{k}").alias(k) for k in "xyz")).agg(F.max(F.struct("class", "voxel_id"))["voxel_id"].alias("label"))
