@@ -81,7 +81,11 @@ def incidence(voxels: DataFrame) -> DataFrame:
     Two voxels of one node at the same end count once.
     """
     counted = checkpointed(neighbour_counts(voxels))
-    found = checkpointed(chains(counted).where("pos IS NOT NULL"))
+    return ends_of(counted, checkpointed(chains(counted)))
+
+
+def ends_of(counted: DataFrame, found: DataFrame) -> DataFrame:
+    """incidence() of the chains ``found`` among the voxels ``counted``."""
     touch = spatial.neighbours(counted, "voxel_id").join(node_labels(counted).select(F.col("voxel_id").alias("v"), "node"), "v").select(F.col("u").alias("voxel_id"), "node").distinct()
     ends = found.where("pos = 1 OR pos = size").join(touch, "voxel_id", "left")
     one, last = F.min(F.when(F.col("pos") == 1, F.col("node"))), F.max(F.when(F.col("pos") == F.col("size"), F.col("node")))

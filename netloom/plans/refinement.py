@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import chains, deletion, graph, learning, moments, spatial
+from ..operators import chains, cleaning, deletion, graph, learning, moments, spatial
 from ..sources.scratch import checkpointed
 from .chains import chain_sql, linked
 from .coordinates import r6
@@ -51,10 +51,14 @@ def clean_up(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, audit if audit is not None else gone.select(F.lit(0).alias("round"), "kind", F.lit(0).cast("long").alias("n"))
 
 
+#: Free ends at the volume's sides are cut off, not loose.
+INNER = "low_x > 1 AND high_x < 24 AND low_y > 1 AND high_y < 24"
+
+
 @query("r5_fixpoint_clean_up")
 def r5(t: Tables) -> DataFrame:
-    """How many links of each kind each round removes."""
-    return clean_up(t.M.select("link_label", "node_a", "node_b", F.col("length").cast("double").alias("length"), "n_voxel", "intensity"))[1]
+    """How many chains and voxels of each kind each round removes from the voxels."""
+    return cleaning.cleaned(t.V, HAIR, LOOP, WEAK, INNER)[1]
 
 
 #: Size below which a leaf branch is pruned, above which another object's leaf branch protects it, and how near that one is (one value in all three).
