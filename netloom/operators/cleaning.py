@@ -1,29 +1,40 @@
-"""Clean-up of voxel graphs to the end: hairs, short self-loops and weak parallel chains, with local relabelling."""
+"""Clean-up of voxel graphs to the end: hairs, short self-loops and weak parallel chains.
+
+A deletion touches its connected component alone. Components of at most ``SMALL`` voxels are groups
+of bounded size, each cleaned in one call; of wider ones only those that a step has touched are
+taken apart anew. Both give the same rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from itertools import product
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import checkpointed
 from . import chains, graph, spatial
 
+#: Voxels of a component that are cleaned in one call (some 10 MB).
+SMALL = 20_000
+KINDS = ("hair", "loop", "parallel")
 
 def analysed(voxels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chains of ``voxels`` (voxel_id, x, y, z, r, component): their voxels (label, voxel_id, component), and component, label, size, node_a, node_b, mean r, and tips, the box of their free ends."""
+    """Chains of ``voxels`` (voxel_id, x, y, z, r, ok, component): their voxels (label, voxel_id, component), and component, label, size, node_a, node_b, mean r, and loose, whether all its free ends are ok (null if it has none)."""
     counted = checkpointed(chains.neighbour_counts(voxels))
     found = checkpointed(chains.chains(counted))
     placed = found.join(counted, "voxel_id")
-    free = lambda f, k: f(F.when(F.col("n") == 1, F.col(k)))
-    measured = placed.groupBy("label").agg(F.first("component").alias("component"), F.avg("r").alias("r"), *(free(f, k).alias(f"{name}_{k}") for k in spatial.AXES for f, name in ((F.min, "low"), (F.max, "high"))))
+    measured = placed.groupBy("label").agg(F.first("component").alias("component"), F.avg("r").alias("r"), F.min(F.when(F.col("n") == 1, F.col("ok"))).alias("loose"))
     links = chains.ends_of(counted, found).join(measured, "label")
     return placed.select("label", "voxel_id", "component"), links
 
 
-def hairs(links: DataFrame, most: int, inside: str) -> DataFrame:
-    """Chains of at most ``most`` voxels with a node at one end only, whose free end lies ``inside`` (an expression of low_x, high_x, …)."""
+def hairs(links: DataFrame, most: int) -> DataFrame:
+    """Chains of at most ``most`` voxels with a node at one end only and a loose end."""
     held = (F.col("node_a") > 0).cast("int") + (F.col("node_b") > 0).cast("int")
-    return links.where((held == 1) & (F.col("size") <= most) & F.expr(inside))
+    return links.where((held == 1) & (F.col("size") <= most) & F.col("loose"))
 
 
 def loops(links: DataFrame, most: int) -> DataFrame:
@@ -40,33 +51,115 @@ def parallels(links: DataFrame, most: int) -> DataFrame:
     return ranked.where(two | ((F.col("many") > 2) & (F.col("longest") <= most) & (F.col("i") > 1)))
 
 
-def cleaned(voxels: DataFrame, hair: int, loop: int, weak: int, inside: str = "true") -> tuple[DataFrame, DataFrame]:
+def cleaned(voxels: DataFrame, hair: int, loop: int, weak: int, inside: str = "true", small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """``voxels`` (voxel_id, x, y, z, r) without hairs, short self-loops and weak parallels, in this order and again until none is left, and the audit: round, kind, links, voxels.
 
-    A deletion touches its connected component alone, so after each step only those components
-    are taken apart anew. Each step that goes on deletes voxels, so the steps end.
+    inside: an expression of x, y, z that the free end of a hair must meet (ends at the volume's
+    sides may be cut off).
     """
     own = voxels.select(F.col("voxel_id").alias("u"), F.col("voxel_id").alias("v"))
     parts = graph.components(spatial.neighbours(voxels, "voxel_id").unionByName(own)).select(F.col("node").alias("voxel_id"), "component")
-    left = checkpointed(voxels.select("voxel_id", *spatial.AXES, "r").join(parts, "voxel_id"))
-    judges = (("hair", lambda rows: hairs(rows, hair, inside)), ("loop", lambda rows: loops(rows, loop)), ("parallel", lambda rows: parallels(rows, weak)))
+    sizes = parts.groupBy("component").agg(F.count("*").alias("many"))
+    rows = voxels.select("voxel_id", *spatial.AXES, F.col("r").cast("double").alias("r"), F.coalesce(F.expr(inside), F.lit(False)).alias("ok"))
+    rows = checkpointed(rows.join(parts.join(sizes, "component"), "voxel_id"))
+    one = rows.where(F.col("many") <= small).drop("many").groupBy("component").applyInPandas(_by_component(hair, loop, weak), "step int, label long, voxel_id long")
+    gone = checkpointed(one.unionByName(_stepwise(rows.where(F.col("many") > small).drop("many"), hair, loop, weak)))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("step") % len(KINDS) + 1).cast("int"))
+    audit = gone.groupBy(F.floor(F.col("step") / len(KINDS) + 1).cast("int").alias("round"), kind.alias("kind")).agg(F.count_distinct("label").alias("links"), F.count("*").alias("voxels"))
+    return voxels.join(gone.select("voxel_id"), "voxel_id", "left_anti"), audit
+
+
+def _stepwise(left: DataFrame, hair: int, loop: int, weak: int) -> DataFrame:
+    """step (from 0), label and voxel_id of what goes. Each step that goes on deletes voxels, so the steps end."""
+    judges = (lambda rows: hairs(rows, hair), lambda rows: loops(rows, loop), lambda rows: parallels(rows, weak))
+    out = left.limit(0).select(F.lit(0).alias("step"), F.col("voxel_id").alias("label"), "voxel_id")
+    if left.isEmpty():
+        return out
     members, links = (checkpointed(df) for df in analysed(left))
-    audit, step, idle = None, 0, 0
+    step, idle = 0, 0
     while idle < len(judges):
-        kind, judge = judges[step % len(judges)]
-        chosen = checkpointed(judge(links).select("label", "component"))
+        chosen = checkpointed(judges[step % len(judges)](links).select("label", "component"))
+        idle += 1
+        if not chosen.isEmpty():
+            idle = 0
+            gone = checkpointed(members.join(chosen.select("label"), "label", "left_semi"))
+            out = out.unionByName(gone.select(F.lit(step).alias("step"), "label", "voxel_id"))
+            left = checkpointed(left.join(gone, "voxel_id", "left_anti"))
+            touched = chosen.select("component").distinct()
+            again = analysed(checkpointed(left.join(touched, "component", "left_semi")))
+            members, links = (checkpointed(old.join(touched, "component", "left_anti").unionByName(new)) for old, new in zip((members, links), again, strict=True))
         step += 1
-        if chosen.isEmpty():
-            idle += 1
-            continue
-        idle = 0
-        gone = checkpointed(members.join(chosen.select("label"), "label", "left_semi"))
-        counts = gone.agg(F.lit((step - 1) // len(judges) + 1).alias("round"), F.lit(kind).alias("kind"), F.count_distinct("label").alias("links"), F.count("*").alias("voxels"))
-        audit = counts if audit is None else audit.unionByName(counts)
-        left = checkpointed(left.join(gone, "voxel_id", "left_anti"))
-        touched = chosen.select("component").distinct()
-        again = analysed(checkpointed(left.join(touched, "component", "left_semi")))
-        members, links = (checkpointed(old.join(touched, "component", "left_anti").unionByName(new)) for old, new in zip((members, links), again, strict=True))
-    if audit is None:
-        audit = left.limit(0).select(F.lit(0).alias("round"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("voxels"))
-    return left.select("voxel_id", *spatial.AXES, "r"), audit
+    return out
+
+
+Place = tuple[int, int, int]
+
+
+def _groups(places: Iterable[Place], near: dict[Place, set[Place]]) -> list[set[Place]]:
+    """Connected groups among ``places``."""
+    left, out = set(places), []
+    while left:
+        todo, seen = [left.pop()], set()
+        while todo:
+            at = todo.pop()
+            seen.add(at)
+            found = near[at] & left
+            left -= found
+            todo.extend(found)
+        out.append(seen)
+    return out
+
+
+def _by_component(hair: int, loop: int, weak: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The same steps on the voxels of one component."""
+
+    def links_of(ids: dict[Place, int], near: dict[Place, set[Place]]) -> list[tuple[int, int, int, set[Place]]]:
+        """label, node_a, node_b and places of each chain with ends."""
+        nodes = {p for p in near if len(near[p]) > 2}
+        node = {p: min(ids[q] for q in g) for g in _groups(nodes, near) for p in g}
+        thin = {p for p in near if len(near[p]) in (1, 2)}
+        out = []
+        for g in _groups(thin, near):
+            tips = sorted((p for p in g if len(near[p] & thin) < 2), key=ids.get)
+            if tips:
+                first, last = ({node[q] for q in near[tip] & nodes} for tip in (tips[0], tips[-1]))
+                a, b = min(first, default=0), max(last, default=0)
+                out.append((min(map(ids.get, g)), a, 0 if len(g) == 1 and a == b else b, g))
+        return out
+
+    def clean(rows: pd.DataFrame) -> pd.DataFrame:
+        at = list(zip(rows["x"], rows["y"], rows["z"], strict=True))
+        ids, width, ok = (dict(zip(at, rows[c], strict=True)) for c in ("voxel_id", "r", "ok"))
+        around = [s for s in product((-1, 0, 1), repeat=3) if any(s)]
+        near = {p: {q for dx, dy, dz in around if (q := (p[0] + dx, p[1] + dy, p[2] + dz)) in ids} for p in at}
+        out, step, idle = [], 0, 0
+        while idle < len(KINDS):
+            links, kind, gone = links_of(ids, near), KINDS[step % len(KINDS)], []
+            if kind == "hair":
+                for link in links:
+                    tips = [p for p in link[3] if len(near[p]) == 1]
+                    if (link[1] > 0) != (link[2] > 0) and len(link[3]) <= hair and tips and all(ok[p] for p in tips):
+                        gone.append(link)
+            elif kind == "loop":
+                gone = [link for link in links if link[1] == link[2] > 0 and len(link[3]) <= loop]
+            else:
+                pairs: dict[tuple[int, int], list] = {}
+                for link in links:
+                    if link[1] > 0 and link[2] > 0 and link[1] != link[2]:
+                        pairs.setdefault((min(link[1:3]), max(link[1:3])), []).append(link)
+                for same in pairs.values():
+                    same.sort(key=lambda link: (-sum(width[p] for p in sorted(link[3])) / len(link[3]), link[0]))
+                    sizes = [len(link[3]) for link in same]
+                    if (len(same) == 2 and min(sizes) <= weak) or (len(same) > 2 and max(sizes) <= weak):
+                        gone += same[1:]
+            idle = 0 if gone else idle + 1
+            for label, _, _, places in gone:
+                for p in places:
+                    out.append((step, label, ids[p]))
+                    for q in near.pop(p):
+                        if q in near:
+                            near[q].discard(p)
+            step += 1
+        return pd.DataFrame(out, columns=["step", "label", "voxel_id"])
+
+    return clean

@@ -52,7 +52,7 @@ def clean_up(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 #: Free ends at the volume's sides are cut off, not loose.
-INNER = "low_x > 1 AND high_x < 24 AND low_y > 1 AND high_y < 24"
+INNER = "x BETWEEN 2 AND 23 AND y BETWEEN 2 AND 23"
 
 
 @query("r5_fixpoint_clean_up")
