@@ -27,9 +27,10 @@ from .common import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Deviations below the mean (90 % of a normal posterior lie above), and limits of a level's correlation.
+#: Deviations below the mean (90 % of a normal posterior lie above).
 Z = 1.2816
-LEAST_RHO, MOST_RHO = 0.1, 0.9
+#: Limits of a level's estimated correlation, which keep the prior's strength a finite positive number: groups that differ by no more than chance take the level above (a million outcomes), and groups that always agree with themselves keep a ninth of one.
+LEAST_RHO, MOST_RHO = 1e-6, 0.9
 #: Second labels under which country registries sell names (fixed values).
 SECOND = "ac co com edu gob gov go mil ne net nom or org".split()
 TWO = rf"(^|\.)({'|'.join(SECOND)})\.[a-z][a-z]$"

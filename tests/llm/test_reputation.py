@@ -74,8 +74,22 @@ def test_suffixes_below_a_second_label(spark):
     assert {r.h: (r.d, r.s) for r in df.select("h", domain_of(df["h"]).alias("d"), suffix_of(df["h"]).alias("s")).collect()} == hosts
 
 
-def test_reputation_decides_pages_of_the_tables(spark):
-    from netloom.llm.queries import op6_url_reputation
+def hosts_with(spark, shares, pages=30):
+    """Verdict of each host when so many of its pages are bad."""
+    urls, labels = [], []
+    for h, bad in enumerate(shares):
+        for i in range(pages):
+            urls.append((len(urls), f"https://www{h}.site{h % 17}.org/{i}"))
+            labels.append((len(labels), int(i < bad)))
+    out = filter_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"))
+    return {int(r.host.split(".")[0][3:]): r.verdict for r in out.select("host", "verdict").distinct().collect()}
 
-    found = {r.verdict: r["count"] for r in op6_url_reputation(spark, "/root/testdata/sf0.1").where("rule IS NULL").groupBy("verdict").count().collect()}
-    assert found["block"] > 0 and found["allow"] > found["block"]
+
+def test_planted_bad_hosts_are_blocked_and_no_others(spark):
+    got = hosts_with(spark, [27 if h in (5, 19, 33) else 2 + h % 3 for h in range(40)])
+    assert {h for h, v in got.items() if v == "block"} == {5, 19, 33}
+
+
+def test_hosts_that_do_not_differ_are_left_alone(spark):
+    assert set(hosts_with(spark, [6] * 40).values()) == {"allow"}
+    assert set(hosts_with(spark, [5 + h % 3 for h in range(40)]).values()) == {"allow"}  # less spread than chance gives
