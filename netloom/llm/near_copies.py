@@ -1,17 +1,20 @@
 """Groups of documents whose sets of word shingles are alike by exact Jaccard similarity.
 
+First SimHash fingerprints at most ``RADIUS`` bits apart are linked by the BK-trees of simhash.py.
+They find the near copies that differ least; what they can't promise is completed by shards of keys.
 A document's shingles are hashed to 64 bits, as in simhash.py. Sets of n shingles that reach the
 similarity share one among their first n - ceil(similarity * n) + 1 each, in whatever order all
 sets are read, so shards keyed by those lose no pair. Shingles are read by hash, those that are
 known to be frequent last, so a common passage makes no shard of texts that share nothing else.
 Which ones are frequent is counted on a hashed share of the texts, as the order has no part in
-what is found, only in how many pairs are looked at. In a shard, pairs whose sizes allow the similarity and whose SimHash
-fingerprints differ in at most ``RADIUS`` bits are candidates, and a task that holds both texts
-counts the shingles that they share.
+what is found, only in how many pairs are looked at. Keys that one set has alone are left out
+before anything else travels with them.
 
-First each set is held against the one before it and the first one of every shard, then against
-all sets that this has not joined with it. There, rows of a shard's commonest group meet only the
-rows of other groups, so a large group of near copies costs links, not pairs.
+In a shard, pairs whose sizes allow the similarity and whose parities (see ``parities``) don't rule
+it out are candidates, and a task that holds both texts counts the shingles that they share.
+Each set is held against the one before it and the first one of every shard, along with the links of
+the trees, then against all sets that this has not joined with it. There, rows of a shard's commonest
+group meet only the rows of other groups, so a large group of near copies costs links, not pairs.
 
 Equal sets are one class throughout; their equality is by 64 bits of hash, as the shingles' is.
 """
@@ -24,20 +27,25 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import chunks, written
 from .components import components
-from .simhash import _and_last, _bit_counts
+from .simhash import _and_last, _bit_counts, shard_links
 
-#: Bits in which the fingerprints of similar sets may differ; sets of up to ``FEW`` shingles are not held against it.
-RADIUS, FEW = 24, 16
+#: Bits in which fingerprints may differ that the trees link.
+RADIUS = 2
+#: Bits of a set's parities; sets of more shingles than that are sampled for them. Standard deviations that a sample is given.
+PARITIES, DEVIATIONS = 512, 10
+WORDS = [f"s{i}" for i in range(PARITIES // 64)]
 #: One text in SHARE is counted; shingles of over OFTEN of them are read last, of too many the MOST_FREQUENT (8 bytes each, broadcast).
 SHARE, OFTEN, MOST_FREQUENT = 8, 2, 2_000_000
 #: Pairs that are looked at in one go, and sets of a shard up to which its pairs are looked at with those of others.
 LOT, SMALL = 4_000_000, 32
+#: Pairs whose parities are compared in one go.
+COMPARED = 1 << 17
 
 
 def shingle_set(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
@@ -60,6 +68,38 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def sampling(size: np.ndarray) -> np.ndarray:
+    """For each size of a set the number of zero bits that a shingle's hash begins with to count for the parities."""
+    size = np.asarray(size)
+    return np.where(size <= PARITIES, 0, np.ceil(np.log2(np.maximum(size, 1))) - np.log2(PARITIES // 2)).astype(np.int64)
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """PARITIES bits as 64-bit words: whether an odd number of the set's hashes ends with each number.
+
+    Two sets' bits differ in at most as many places as there are shingles that one of them has
+    alone. So a pair whose bits differ in more than the similarity allows is ruled out for certain.
+    Of a set of more than PARITIES shingles a sample by hash is counted, of at most half as many.
+    """
+    zeros = int(sampling(np.array(len(found))))
+    if zeros:
+        found = found[found >> np.uint64(64 - zeros) == 0]
+    odd = np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def most_apart(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Places in which the parities of similar sets of these sizes may differ; of sets that are sampled in different ways, all.
+
+    For samples it is the expected number and DEVIATIONS standard deviations: a similar pair goes
+    beyond with a chance below 1e-14 by Chernoff's bound, as small as that of equal hashes.
+    """
+    zeros = sampling(a)
+    alone = (100 - percent) * (a + b) // (100 + percent)
+    expected = alone / 2.0**zeros
+    return np.where(zeros != sampling(b), PARITIES, np.where(zeros == 0, alone, expected + DEVIATIONS * np.sqrt(expected)))
+
+
 def frequent(docs: DataFrame, shingle: int, seed: int) -> np.ndarray:
     """Hashes of frequent shingles of ``docs`` (with __text), ascending: at most MOST_FREQUENT."""
 
@@ -74,37 +114,56 @@ def frequent(docs: DataFrame, shingle: int, seed: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, shingle: int, percent: int, seed: int) -> DataFrame:
-    """``docs`` (with __text) and of each set: cls (its hash), fp (fingerprint), size and keys (its first hashes)."""
+    """``docs`` (with __text) and of each set: cls (its hash), fp (fingerprint), size, keys (its first hashes) and the words of its parities."""
     late = docs.sparkSession.sparkContext.broadcast(frequent(docs, shingle, seed))
-    extra = [T.StructField("cls", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    extra = [T.StructField("cls", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), *(T.StructField(c, T.LongType()) for c in WORDS)]
     schema = T.StructType([*docs.schema.fields, *extra])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "__text", 4 << 20):
-            cls, fps, sizes, keys = [], [], [], []
+            cls, fps, sizes, keys, odd = [], [], [], [], []
             for text in texts:
                 found = shingle_set(text, shingle, seed)
                 cls.append(xxhash.xxh64_intdigest(found.tobytes(), seed))
                 fps.append(int.from_bytes(np.packbits(_bit_counts(found) * 2 > len(found), bitorder="little").tobytes(), "little"))
                 sizes.append(len(found))
+                odd.append(parities(found).view(np.int64))
                 take = len(found) + (percent * len(found)) // -100 + 1 if len(found) else 0
                 last = np.isin(found, late.value, assume_unique=True)
                 keys.append(np.concatenate([found[~last], found[last]])[:take].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, fps)]
             flat = pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=schema.names)
+            words = [pa.array(np.ascontiguousarray(x)) for x in np.stack(odd).T]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat), *words], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def candidates(classes: DataFrame, percent: int, everything: bool) -> DataFrame:
-    """Pairs u, v of different ``root`` in a shard that may be alike: of each class with the one before and the first, or all."""
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """key and cls of each of the ``keys`` that more than one class has."""
+    rows = classes.select(F.explode("keys").alias("key"), "cls")
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "cls")
+
+
+def tree_links(classes: DataFrame) -> DataFrame:
+    """Pairs u, v of classes whose fingerprints the trees link; those of one fingerprint with its least class."""
+    least = written(classes.groupBy("fp").agg(F.min("cls").alias("u")))
+    equal = classes.join(least, "fp").where("cls <> u").select("u", F.col("cls").alias("v"))
+    found = shard_links(least.select("fp"), RADIUS).distinct().select(F.col("u").alias("fp"), F.col("v").alias("other"))
+    near = found.join(least, "fp").select("u", F.col("other").alias("fp")).join(least.withColumnRenamed("u", "v"), "fp").select("u", "v")
+    return equal.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def candidates(keys: DataFrame, classes: DataFrame, percent: int, everything: bool) -> DataFrame:
+    """Pairs u, v of different ``root`` in a shard of ``keys`` that may be alike: of each class with the one before and the first, or all."""
 
-    def fit(i: np.ndarray, j: np.ndarray, size: np.ndarray, fp: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def fit(i: np.ndarray, j: np.ndarray, size: np.ndarray, odd: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = (root[i] != root[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
         i, j = i[ok], j[ok]
-        ok = (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= RADIUS) | (np.minimum(size[i], size[j]) <= FEW)
+        parts = [slice(at, at + COMPARED) for at in range(0, len(i), COMPARED)]
+        apart = [np.bitwise_count(odd[i[p]] ^ odd[j[p]]).sum(axis=1, dtype=np.int64) for p in parts]
+        ok = np.concatenate([np.zeros(0, np.int64), *apart]) <= most_apart(size[i], size[j], percent)
         return i[ok], j[ok]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +176,8 @@ def candidates(classes: DataFrame, percent: int, everything: bool) -> DataFrame:
             whole = edges if last else edges[:-1]
             if whole[-1] == 0:
                 continue
-            size, fp, root, cls = (np.asarray(held.column(c))[: whole[-1]] for c in ("size", "fp", "root", "cls"))
+            size, root, cls = (np.asarray(held.column(c))[: whole[-1]] for c in ("size", "root", "cls"))
+            odd = np.stack([np.asarray(held.column(c))[: whole[-1]] for c in WORDS], axis=1).view(np.uint64)
             size = size.astype(np.int64)
             at = np.arange(len(size))
             first = np.repeat(whole[:-1], np.diff(whole))
@@ -125,16 +185,16 @@ def candidates(classes: DataFrame, percent: int, everything: bool) -> DataFrame:
                 sizes = np.diff(whole)
                 n = np.where(np.repeat(sizes <= SMALL, sizes), at - first, 0)
                 for i, j in ranges(at, first, n):
-                    yield pairs(cls, *fit(i, j, size, fp, root))
+                    yield pairs(cls, *fit(i, j, size, odd, root))
                 for begin, end in zip(whole[:-1][sizes > SMALL].tolist(), whole[1:][sizes > SMALL].tolist(), strict=True):
-                    yield from across(np.arange(begin, end), size, fp, root, cls)
+                    yield from across(np.arange(begin, end), size, odd, root, cls)
             else:
                 later = at[at > first]
-                i, j = fit(np.concatenate([later, later]), np.concatenate([later - 1, first[later]]), size, fp, root)
+                i, j = fit(np.concatenate([later, later]), np.concatenate([later - 1, first[later]]), size, odd, root)
                 yield pairs(cls, i, j)
             held = held.slice(int(whole[-1]))
 
-    def across(rows: np.ndarray, size: np.ndarray, fp: np.ndarray, root: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def across(rows: np.ndarray, size: np.ndarray, odd: np.ndarray, root: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Pairs of a shard's rows (by size) of different roots: all but those of the commonest root, each with the rows before it and with that root's."""
         _, of, counts = np.unique(root[rows], return_inverse=True, return_counts=True)
         common = of == np.argmax(counts)
@@ -142,7 +202,7 @@ def candidates(classes: DataFrame, percent: int, everything: bool) -> DataFrame:
         least, most = -(-percent * size[others] // 100), 100 * size[others] // percent
         for given, low, high in ((others, np.searchsorted(size[others], least), np.arange(len(others))), (same, np.searchsorted(size[same], least), np.searchsorted(size[same], most, "right"))):
             for i, j in ranges(others, low, np.maximum(high - low, 0)):
-                yield pairs(cls, *fit(i, given[j], size, fp, root))
+                yield pairs(cls, *fit(i, given[j], size, odd, root))
 
     def ranges(rows: np.ndarray, low: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Each of ``rows`` with the n numbers from low on, about LOT pairs at once."""
@@ -158,7 +218,7 @@ def candidates(classes: DataFrame, percent: int, everything: bool) -> DataFrame:
         found = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
 
-    rows = classes.select(F.explode("keys").alias("key"), "size", "fp", "root", "cls")
+    rows = keys.join(classes.select("cls", "size", "root", *WORDS), "cls").select("key", "size", "root", "cls", *WORDS)
     return rows.repartition("key").sortWithinPartitions("key", "size", "cls").mapInArrow(run, "u long, v long").distinct()
 
 
@@ -190,11 +250,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in renamed.items() if c != text_col), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
     rows = written(described(keyed, shingle, percent, seed))
     texts = rows.select("cls", "__text")
-    classes = written(rows.groupBy("cls").agg(F.min("__id").alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.first("keys").alias("keys")))
+    classes = written(rows.groupBy("cls").agg(F.min("__id").alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.first("keys").alias("keys"), *(F.min(c).alias(c) for c in WORDS)))
+    keys = written(shared_keys(classes))
     rooted = classes.withColumn("root", F.col("cls"))
     links = None
     for everything in (False, True):
-        found = written(verified(written(candidates(rooted, percent, everything)), texts, shingle, percent, seed))
+        pairs = candidates(keys, rooted, percent, everything)
+        pairs = pairs if everything else pairs.unionByName(tree_links(classes)).distinct()
+        found = written(verified(written(pairs), texts, shingle, percent, seed))
         links = found if links is None else links.unionByName(found)
         roots = written(components(links)).withColumnRenamed("node", "cls")
         rooted = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))

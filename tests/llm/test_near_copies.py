@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,27 @@ def test_groups_match_brute_force(spark, lot, monkeypatch):
     assert sorted(((x.doc_id, x.text, x.component_id) for x in found), key=str) == sorted(((d, t, least[g]) for (d, t), g in zip(rows, roots, strict=True)), key=str)
 
 
+def test_parities_rule_out_no_similar_pair():
+    r = np.random.default_rng(4)
+    for n in (1, 5, 9, 45, 148, 460, 512, 513, 700, 1024, 1025, 5000, 40000):
+        apart = n * 2 // 9  # shingles that the two sets have alone, at most, if they are of equal sizes
+        for alone in {0, apart // 4, apart // 2}:
+            a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate([r.permutation(a)[alone:], r.integers(0, 1 << 63, alone, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]))
+            assert module.alike(a, b, 80)
+            bits = int(np.bitwise_count(module.parities(a) ^ module.parities(b)).sum())
+            assert bits <= module.most_apart(np.array([len(a)]), np.array([len(b)]), 80)[0]
+
+
+def test_parities_rule_out_texts_that_share_little():
+    r = np.random.default_rng(5)
+    for n in (20, 148, 500, 1000, 30000):
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([r.permutation(a)[: n // 3], r.integers(0, 1 << 63, n - n // 3, dtype=np.uint64)]))
+        bits = int(np.bitwise_count(module.parities(a) ^ module.parities(b)).sum())
+        assert bits > module.most_apart(np.array([len(a)]), np.array([len(b)]), 80)[0]
+
+
 def test_stage_leaves_no_pair(spark):
     rows = [(i, t, "en", "a", len(t or "")) for i, t in table()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -102,6 +124,6 @@ def test_a_common_passage_makes_no_pairs(spark):
     rows.append((1500, rows[7][1] + " more"))
     df = spark.createDataFrame(rows, "doc_id long, __text string").repartition(3)
     found = module.described(df, 5, 80, 42).withColumn("root", F.col("cls"))
-    assert [sorted(x) for x in module.candidates(found, 80, True).collect()] == [sorted(x.cls for x in found.where("doc_id IN (7, 1500)").collect())]
+    assert [sorted(x) for x in module.candidates(module.shared_keys(found), found, 80, True).collect()] == [sorted(x.cls for x in found.where("doc_id IN (7, 1500)").collect())]
     got = near_copies(df.withColumnRenamed("__text", "text")).collect()
     assert len({x.group for x in got}) == 1500 and {x.component_id for x in got if x.doc_id in (7, 1500)} == {7}
