@@ -96,7 +96,7 @@ def test_run_and_queries(spark):
     names = [f"op{n}_" for n in range(1, 11)]
     assert [sum(q.startswith(n) for q in queries.QUERIES) for n in names] == [1] * 10
     db = duckdb.connect()
-    for t in ("pages", "labels"):
+    for t in ("pages", "labels", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got = sorted(map(tuple, queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=str)
