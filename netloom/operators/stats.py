@@ -158,10 +158,21 @@ def outlier_flags(df: DataFrame, keys: Sequence[str], value: str, width: float =
 
 
 def rank_slice(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], low: float, high: float) -> DataFrame:
-    """Rows of ranks round(n low / 100), at least 1, to round(n high / 100) of each group."""
-    group = Window.partitionBy(*keys)
-    ranked = df.where(finite(F.col(value))).withColumn("__rank", F.row_number().over(group.orderBy(value, *order))).withColumn("__n", F.count("*").over(group))
-    return ranked.where((F.col("__rank") >= F.greatest(F.round(F.col("__n") * low / 100), F.lit(1))) & (F.col("__rank") <= F.round(F.col("__n") * high / 100))).drop("__rank", "__n")
+    """Rows of ranks round(n low / 100), at least 1, to round(n high / 100) of each group.
+
+    Ranks come from counts of distinct values. Only rows at the first and at the last value are put
+    in order, among themselves, so no group is one task's.
+    """
+    least, most = F.greatest(F.round(F.col("n") * low / 100), F.lit(1)), F.round(F.col("n") * high / 100)
+    at = lambda rank: F.max(F.when(rank.between(F.col("first"), F.col("last")), F.struct("v", (rank - F.col("first") + 1).alias("i"))))
+    limits = _ranked(df, keys, value).groupBy(*keys).agg(at(least).alias("__low"), at(most).alias("__high"))
+    rows = df.where(finite(F.col(value))).withColumn("__v", F.col(value).cast("double"))
+    joined = rows.alias("a").join(limits.alias("b"), same_keys("a", "b", keys)).select("a.*", "__low", "__high") if keys else rows.crossJoin(F.broadcast(limits))  # without keys: one row
+    between = joined.where("__v BETWEEN __low.v AND __high.v")
+    inner = between.where("__v > __low.v AND __v < __high.v")
+    ties = between.where("__v = __low.v OR __v = __high.v").withColumn("__rank", F.row_number().over(Window.partitionBy(*keys, "__v").orderBy(value, *order)))
+    ends = ties.where("(__v > __low.v OR __rank >= __low.i) AND (__v < __high.v OR __rank <= __high.i)")
+    return inner.select(*df.columns).unionByName(ends.select(*df.columns))
 
 
 def column_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
