@@ -35,8 +35,7 @@ def g2(t: Tables) -> DataFrame:
 @query("g3_node_components", f"WITH RECURSIVE {CLASSES}, ne AS (SELECT u, v FROM adj WHERE u IN (SELECT voxel_id FROM classes WHERE kind = 'node') AND v IN (SELECT voxel_id FROM classes WHERE kind = 'node')), reach(node, root) AS (SELECT voxel_id, voxel_id FROM classes WHERE kind = 'node' UNION SELECT ne.v, reach.root FROM reach JOIN ne ON ne.u = reach.node) SELECT node AS voxel_id, min(root) AS label FROM reach GROUP BY node")
 def g3(t: Tables) -> DataFrame:
     nodes = classes(t).where("kind = 'node'")
-    pairs = spatial.neighbours(nodes, "voxel_id").unionByName(nodes.select(F.col("voxel_id").alias("u"), F.col("voxel_id").alias("v")))
-    return graph.components(pairs).select(F.col("node").alias("voxel_id"), F.col("component").alias("label"))
+    return spatial.touching(nodes, "voxel_id").select(F.col("node").alias("voxel_id"), F.col("component").alias("label"))
 
 
 @query("g6_connected_components", f"WITH RECURSIVE {REACH.format(t='L')} SELECT node, component FROM comp")

@@ -71,9 +71,8 @@ def leaf_branches(voxels: DataFrame, most: int) -> DataFrame:
     A branch goes if it has a free end, fewer than ``most`` voxels, and no free end of another
     object within ``most`` of one of its own whose branch has more than ``most`` voxels.
     """
-    voxels = checkpointed(chains.neighbour_counts(voxels.select("voxel_id", "x", "y", "z")))
-    pairs = spatial.neighbours(voxels, "voxel_id").unionByName(voxels.select(F.col("voxel_id").alias("u"), F.col("voxel_id").alias("v")))
-    objects = graph.components(pairs).select(F.col("node").alias("voxel_id"), F.col("component").alias("object"))
+    voxels = chains.neighbour_counts(voxels.select("voxel_id", "x", "y", "z"))
+    objects = spatial.touching(voxels, "voxel_id").select(F.col("node").alias("voxel_id"), F.col("component").alias("object"))
     leaves = checkpointed(chains.chains(voxels).join(voxels.where("n = 1"), "voxel_id").join(objects, "voxel_id").select("label", "size", "object", "x", "y", "z"))
     short = leaves.where(F.col("size") < most)
     safe = spatial.within(short, leaves.where(F.col("size") > most), most).where("a.object <> b.object").select("a.label").distinct()

@@ -24,7 +24,7 @@ MASK, CELLS, WINDOW = "r >= 4", "r < 1", 2
 
 def labelled_mask(voxels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mask voxels (x, y, z, label; links and rings above zero, nodes below) and the links' incidence."""
-    counted = checkpointed(chains.neighbour_counts(voxels.select("voxel_id", "x", "y", "z")))
+    counted = chains.neighbour_counts(voxels.select("voxel_id", "x", "y", "z"))
     own = chains.chains(counted).select("voxel_id", "label").unionByName(chains.node_labels(counted).select("voxel_id", (-F.col("node")).alias("label")))
     return checkpointed(own.join(counted, "voxel_id").select("x", "y", "z", "label")), checkpointed(chains.incidence(voxels.select("voxel_id", "x", "y", "z")))
 

@@ -170,8 +170,7 @@ REACH_V = "adj AS (SELECT a.voxel_id AS u, b.voxel_id AS v FROM m a JOIN m b ON
 
 def voxel_components(voxels: DataFrame) -> DataFrame:
     """``voxels`` with component, by 26 neighbours."""
-    pairs = spatial.neighbours(voxels, "voxel_id").unionByName(voxels.select(F.col("voxel_id").alias("u"), F.col("voxel_id").alias("v")))
-    return voxels.join(graph.components(pairs).withColumnRenamed("node", "voxel_id"), "voxel_id")
+    return voxels.join(spatial.touching(voxels, "voxel_id").withColumnRenamed("node", "voxel_id"), "voxel_id")
 
 
 @query("v6_hysteresis_threshold", f"WITH RECURSIVE m AS (SELECT * FROM V WHERE r >= 2), {REACH_V} SELECT voxel AS voxel_id FROM comp WHERE component IN (SELECT component FROM comp JOIN V ON voxel_id = voxel WHERE r >= 4.9)")
