@@ -187,12 +187,10 @@ def r7(t: Tables) -> DataFrame:
 
 @query("r8_nearby_gap_links", "WITH placed AS (SELECT L.*, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS bz FROM L JOIN N p ON p.node = node_a JOIN N q ON q.node = node_b), d AS (SELECT CASE WHEN (a.length, -a.intensity, a.link_label) <= (b.length, -b.intensity, b.link_label) THEN b.link_label ELSE a.link_label END AS loser FROM placed a JOIN placed b ON a.link_label < b.link_label WHERE sqrt(pow(a.ax - b.ax, 2) + pow(a.ay - b.ay, 2) + pow(a.az - b.az, 2)) <= 150 AND sqrt(pow(a.bx - b.bx, 2) + pow(a.by_ - b.by_, 2) + pow(a.bz - b.bz, 2)) <= 150) SELECT link_label FROM placed WHERE link_label NOT IN (SELECT loser FROM d)")
 def r8(t: Tables) -> DataFrame:
-    starts = placed_links(t).select("link_label", "length", "intensity", *(F.col(f"a{k}").alias(k) for k in "xyz"), "bx", "by", "bz")
-    pairs = spatial.within(starts, starts, 150).where("a.link_label < b.link_label")
-    gap = F.sqrt(sum((F.pow((F.col(f"a.b{k}") - F.col(f"b.b{k}")).cast("double"), 2) for k in "xyz"), F.lit(0.0)))
-    rank = lambda s: F.struct(F.col(f"{s}.length"), (-F.col(f"{s}.intensity")).alias("i"), F.col(f"{s}.link_label"))
-    losers = pairs.where(gap <= 150).select(F.when(rank("a") <= rank("b"), F.col("b.link_label")).otherwise(F.col("a.link_label")).alias("link_label"))
-    return starts.join(losers, "link_label", "left_anti").select("link_label")
+    """Links without a better one (shorter, then brighter, then of lesser label) whose ends are both within 150 of theirs."""
+    rows = placed_links(t).select("link_label", "length", "intensity", *(F.col(f"{s}{k}") for s in "ab" for k in "xyz"))
+    losers = spatial.beaten(rows, "link_label", [F.col("length"), -F.col("intensity"), F.col("link_label")], 150)
+    return rows.join(losers, "link_label", "left_anti").select("link_label")
 
 
 @query("r12_repair_nodes", "SELECT node, count(*) AS degree, CASE count(*) WHEN 1 THEN 'endpoint' WHEN 2 THEN 'merged' ELSE 'node' END AS kind FROM (SELECT unnest([node_a, node_b]) AS node FROM L WHERE intensity > 30) e GROUP BY node")
