@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import checkpointed
+
 #: Columns of a block table (fixed values).
 BLOCK_SCHEMA = "dataset string, stack string, idx_1 int, idx_2 int, layer int, ind long, r float"
 
@@ -74,8 +76,7 @@ def read_acquisition(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("file"), F.split("value", r"\s*:\s*", 2).alias("kv")).where("size(kv) = 2")
     names = ("x", "y", "z", "cut_count", "x_mm", "y_mm", "z_mm")
-    wide = lines.groupBy("file").agg(*(F.max(F.when(F.col("kv")[0] == k, F.col("kv")[1])).cast("double").alias(k) for k in names))
-    from pyspark.sql import Window
+    wide = checkpointed(lines.groupBy("file").agg(*(F.max(F.when(F.col("kv")[0] == k, F.col("kv")[1])).cast("double").alias(k) for k in names)))  # each file is opened once
 
     for k in "xyz":
         places = wide.select(F.round(f"{k}_mm", 6).alias("p")).distinct()
