@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import AXES
+from .spatial import AXES, whole_groups
 
 Extent = int | str
 
@@ -65,8 +67,9 @@ def balls(voxels: DataFrame, radius: str, label: str) -> DataFrame:
 
     Classes are 1 (the voxel), the square root of 2 (its faces), 2 (a cube of 27), the square root
     of 5 (a ball of 2), then whole radii from 3, and a radius belongs to the nearest class (half
-    way: the larger). Voxels without a radius or a label paint nothing. A ball is laid out plane by
-    plane and run by run, so its cells are never a literal list.
+    way: the larger). Voxels without a radius, a place or a label paint nothing. Voxels (whole places and
+    labels) are dealt to the tiles of space that their balls touch, and a tile is painted in one go:
+    cells that several balls share are never rows.
     """
     r = F.col(radius).cast("double")
     edge = lambda a, b: (a + b) / 2
@@ -74,13 +77,66 @@ def balls(voxels: DataFrame, radius: str, label: str) -> DataFrame:
     small = F.when(r < edge(1, two), 0).when(r < edge(two, 2), 1).when(r < edge(2, five), 2).when(r < edge(five, 3), 3)
     rank = F.coalesce(small, F.greatest(F.floor(r + 0.5), F.lit(3)) + 1).cast("long")
     rows = voxels.where(r.isNotNull() & ~F.isnan(r) & F.col(label).isNotNull()).select(*AXES, F.col(label).alias("label"), rank.alias("rank"))
-    cube = F.col("rank") == 2
-    square = F.when(F.col("rank") < 2, F.col("rank")).when(F.col("rank") == 3, 4).otherwise((F.col("rank") - 1) * (F.col("rank") - 1))
-    out = rows.withColumn("left", square)
-    for i, k in enumerate(("z", "y", "x")):
-        half = F.when(cube, 1).otherwise(F.floor(F.sqrt("left"))).cast("long")
-        out = out.withColumn(f"d{k}", F.explode(F.sequence(-half, half)))
-        if i < 2:
-            out = out.withColumn("left", F.when(cube, F.col("left")).otherwise(F.col("left") - F.col(f"d{k}") * F.col(f"d{k}")))
-    places = out.select(*((F.col(k) + F.col(f"d{k}")).alias(k) for k in AXES), "rank", "label")
-    return places.groupBy(*AXES).agg(F.max(F.struct("rank", "label"))["label"].alias("label"))
+    reach = F.when(F.col("rank") < 2, F.col("rank")).when(F.col("rank") == 2, 1).when(F.col("rank") == 3, 2).otherwise(F.col("rank") - 1)
+    dealt = rows.select(*(F.col(c).cast("long").alias(c) for c in AXES), F.col("label").cast("long").alias("label"), "rank", reach.cast("long").alias("reach"))
+    for i, c in enumerate(AXES):
+        dealt = dealt.where(F.col(c).isNotNull()).withColumn(f"c{i}", F.explode(F.sequence(*(F.floor((F.col(c) + d * F.col("reach")) / TILE) for d in (-1, 1)))))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, TILES):
+            tile = np.stack([table.column(c).to_numpy() for c in TILES], axis=1)
+            edges = np.concatenate([[0], np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1, [len(tile)]])
+            place = np.stack([table.column(c).to_numpy() for c in AXES], axis=1) - tile * TILE
+            rank, label = (table.column(c).to_numpy() for c in ("rank", "label"))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a < b:
+                    at, found = _painted(place[a:b], rank[a:b], label[a:b])
+                    yield pa.record_batch([*(pa.array(at[i] + tile[a, i] * TILE) for i in range(3)), pa.array(found)], names=[*AXES, "label"])
+
+    parts = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as few bytes are much to paint
+    painted = dealt.repartition(parts, *TILES).sortWithinPartitions(*TILES).mapInArrow(run, "x long, y long, z long, label long")
+    return painted.select(*(F.col(c).cast("long") for c in AXES), F.col("label").cast(voxels.schema[label].dataType).alias("label"))
+
+
+#: Side of the tiles that balls are painted in, and the columns that name them.
+TILE = 48
+TILES = ("c0", "c1", "c2")
+
+
+def _ball(rank: int) -> np.ndarray:
+    """Offsets of a class's ball that can lie in one tile with its centre around it, a row each."""
+    half = 1 if rank in (1, 2) else 2 if rank == 3 else rank - 1 if rank else 0
+    steps = np.mgrid[-half : half + 1, -half : half + 1, -half : half + 1].reshape(3, -1).T
+    return steps if rank == 2 else steps[(steps * steps).sum(axis=1) <= (rank if rank < 2 else 4 if rank == 3 else half * half)]
+
+
+#: Offsets up to which a class's ball is laid out at once; those of wider ones are told in the tile.
+WIDE = 20
+
+
+def _painted(place: np.ndarray, rank: np.ndarray, label: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Places and labels of a tile's painted cells: classes in rising order, in each the greatest label."""
+    shape = (TILE, TILE, TILE)
+    done, out = np.zeros(TILE**3, bool), np.zeros(TILE**3, np.int64)
+    cells = np.arange(TILE)
+    for k in np.unique(rank).tolist():
+        here = np.flatnonzero(rank == k)
+        here = here[np.argsort(label[here], kind="stable")]  # of equal places the greatest label comes last
+        if k <= WIDE:
+            own, most = np.zeros(TILE**3, bool), np.zeros(TILE**3, np.int64)
+            p, v = place[here], label[here]
+            for step in _ball(k):
+                q = p + step
+                ok = ((q >= 0) & (q < TILE)).all(axis=1)
+                flat, value = np.ravel_multi_index(tuple(q[ok].T), shape), v[ok]
+                most[flat] = np.where(own[flat], np.maximum(most[flat], value), value)
+                own[flat] = True
+            out[own], done = most[own], done | own
+        else:
+            for i in here:
+                x, y, z = ((cells - c) ** 2 for c in place[i])
+                ball = ((x[:, None, None] + y[:, None] + z) <= (k - 1) ** 2).ravel()
+                out[ball] = label[i]  # labels rise
+                done |= ball
+    flat = np.flatnonzero(done)
+    return np.unravel_index(flat, shape), out[flat]
