@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import moments, spatial
+from ..sources.scratch import checkpointed
 from .chains import chain_sql, linked
 from .coordinates import r6
 from .registry import Tables, query
@@ -68,7 +69,8 @@ SELECT label, n, round(mean, 8) AS mean, round(std, 8) AS std, round(median, 8)
  round(mean / nullif(bg_mean, 0), 8) AS over_background, round((mean - bg_mean) / nullif(bg_std, 0), 8) AS contrast, round(least / nullif(bg_mean, 0), 8) AS least_over_background, round((first + last) / 2 / nullif(middle, 0), 8) AS ends_over_middle FROM w""")
 def f22(t: Tables) -> DataFrame:
     """Of links of three voxels or more: values along the voxels, radii against length and chord, and the voxels around in the bounding box grown by 2."""
-    o = linked(t.V).where("pos IS NOT NULL AND size >= 3").select("label", "voxel_id", "pos", "size").join(t.V.select("voxel_id", "x", "y", "z", "r"), "voxel_id")
+    v = checkpointed(t.V.select("voxel_id", "x", "y", "z", "r"))
+    o = checkpointed(linked(v).where("pos IS NOT NULL AND size >= 3").select("label", "voxel_id", "pos", "size").join(v, "voxel_id"))
     at = lambda c, k="r": F.max(F.when(c, F.col(k)))
     first, last = F.col("pos") == 1, F.col("pos") == F.col("size")
     step = o.select("label", (F.col("pos") - 1).alias("pos"), *(F.col(k).alias(f"n{k}") for k in "xyz"))
@@ -84,7 +86,7 @@ def f22(t: Tables) -> DataFrame:
     boxes = s.select("label", *(f"{k}{i}" for k in "xyz" for i in (0, 1)))
     for i, k in enumerate("xyz"):
         boxes = boxes.withColumn(f"c{i}", F.explode(F.sequence(cut(k, 0), cut(k, 1))))
-    inside = boxes.join(spatial.cells(t.V.select("voxel_id", "x", "y", "z", "r"), 8), ["c0", "c1", "c2"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1")
+    inside = boxes.join(spatial.cells(v, 8), ["c0", "c1", "c2"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1")
     around = inside.join(o.select("label", "voxel_id"), ["label", "voxel_id"], "left_anti").groupBy("label").agg(F.count("*").alias("bg_n"), F.avg("r").alias("bg_mean"), F.stddev_samp("r").alias("bg_std"))
     w = s.join(steps, "label").join(around, "label", "left").withColumn("length", 1 + F.col("steps")).withColumn("chord", gap(("ax", "ay", "az"), ("bx", "by", "bz")))
     c, over = F.col, lambda a, b: r8(a / F.when(b != 0, b))
