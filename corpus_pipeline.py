@@ -16,7 +16,7 @@ from functools import wraps
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.bpe import bpe
@@ -57,10 +57,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the least id; of rows that share it, one (null ids alone: one of each group)."""
-    grouped = near_copies(docs)
-    same = Window.partitionBy("group").orderBy(F.xxhash64("text"), "lang", "source")
-    first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("__row", F.row_number().over(same))
-    return first.where("__row = 1").select(*docs.columns)
+    return near_copies(docs, first=("lang", "source")).select(*docs.columns)
 
 
 #: Bytes that a repeated string has at least: on sf0.1, 99 % of all runs of 51 words take more, in each language.

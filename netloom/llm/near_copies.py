@@ -21,7 +21,8 @@ Equal sets are one class throughout; their equality is by 64 bits of hash, as th
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -140,9 +141,9 @@ def described(docs: DataFrame, shingle: int, percent: int, seed: int) -> DataFra
     return docs.mapInArrow(run, schema)
 
 
-def shared_keys(classes: DataFrame) -> DataFrame:
-    """key and cls of each of the ``keys`` that more than one class has."""
-    rows = classes.select(F.explode("keys").alias("key"), "cls")
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """key and cls of each of the ``keys`` that more than one class of ``rows`` has."""
+    rows = rows.groupBy("cls").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "cls")
     return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "cls")
 
 
@@ -223,35 +224,43 @@ def candidates(keys: DataFrame, classes: DataFrame, percent: int, everything: bo
 
 
 def verified(found: DataFrame, texts: DataFrame, shingle: int, percent: int, seed: int) -> DataFrame:
-    """The pairs u, v of ``found`` whose texts (cls, __text) have the similarity."""
+    """The pairs u, v of ``found`` whose texts (cls, __text) have the similarity. Texts travel packed: they are what takes room."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(64)(lambda text: shingle_set(text, shingle, seed))
+        known = lru_cache(64)(lambda packed: shingle_set(zlib.decompress(packed), shingle, seed))
         for batch in batches:
-            a, b = ([x.as_py() or b"" for x in batch.column(c).cast(pa.large_binary())] for c in ("a", "b"))
+            a, b = ([x.as_py() for x in batch.column(c)] for c in ("a", "b"))
             ok = pa.array([alike(known(x), known(y), percent) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select(["u", "v"]).filter(ok)
 
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, "__text", 4 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([zlib.compress(x, 1) for x in texts], pa.binary())], names=["cls", "packed"])
+
     ends = found.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
-    needed = written(texts.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("__text").alias("__text")))
-    one, two = (needed.select(F.col("cls").alias(k), F.col("__text").alias(t)) for k, t in (("u", "a"), ("v", "b")))
+    needed = written(texts.join(ends, "cls", "left_semi").select("cls", "__text").mapInArrow(pack, "cls long, packed binary").groupBy("cls").agg(F.min("packed").alias("packed")))
+    one, two = (needed.select(F.col("cls").alias(k), F.col("packed").alias(t)) for k, t in (("u", "a"), ("v", "b")))
     return found.join(two, "v").join(one, "u").mapInArrow(run, "u long, v long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, seed: int = 42) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, seed: int = 42, first: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with group (a number for each group of near copies) and component_id, the group's least id.
 
     Documents are linked if their sets of shingles have a Jaccard similarity of ``percent`` / 100
     or more, and a group is what links connect. Null and empty texts are equal; a null id is never
     least (a group of null ids alone has component_id null); columns named like an output are replaced.
+    first: one row of each group is returned, one with the least id; of several the first by the text's
+    hash and these columns. It is chosen without the texts, which then travel once.
     """
     carried = [c for c in docs.columns if c not in ("group", "component_id")]
     renamed = {c: f"__c{i}" for i, c in enumerate(carried)}
     keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in renamed.items() if c != text_col), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    if first is not None:
+        keyed = keyed.withColumn("__row", F.monotonically_increasing_id())  # written with the rows, so it stays
     rows = written(described(keyed, shingle, percent, seed))
     texts = rows.select("cls", "__text")
-    classes = written(rows.groupBy("cls").agg(F.min("__id").alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.first("keys").alias("keys"), *(F.min(c).alias(c) for c in WORDS)))
-    keys = written(shared_keys(classes))
+    classes = written(rows.groupBy("cls").agg(F.min("__id").alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), *(F.min(c).alias(c) for c in WORDS)))
+    keys = written(shared_keys(rows))
     rooted = classes.withColumn("root", F.col("cls"))
     links = None
     for everything in (False, True):
@@ -263,4 +272,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rooted = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.select("cls", "root").join(least, "root").select("cls", F.col("root").alias("group"), "component_id")
+    if first is not None:
+        order = F.struct(F.xxhash64("__text"), *(F.col(renamed[c]) for c in first), "__row").alias("order")
+        heads = rows.select("cls", "__id", order, "__row").join(of_class, "cls").where(F.col("__id").eqNullSafe(F.col("component_id")))
+        heads = written(heads.groupBy("group").agg(F.min(F.struct("order", "cls", "component_id")).alias("m")).select("m.cls", "m.order.__row", "group", "m.component_id"))
+        return rows.join(heads, ["cls", "__row"]).select(*(F.col("__text" if c == text_col else n).alias(c) for c, n in renamed.items()), "group", "component_id")
     return rows.join(of_class, "cls").select(*(F.col("__text" if c == text_col else n).alias(c) for c, n in renamed.items()), "group", "component_id")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
@@ -127,3 +128,16 @@ def test_a_common_passage_makes_no_pairs(spark):
     assert [sorted(x) for x in module.candidates(module.shared_keys(found), found, 80, True).collect()] == [sorted(x.cls for x in found.where("doc_id IN (7, 1500)").collect())]
     got = near_copies(df.withColumnRenamed("__text", "text")).collect()
     assert len({x.group for x in got}) == 1500 and {x.component_id for x in got if x.doc_id in (7, 1500)} == {7}
+
+
+def test_first_rows_are_chosen_without_their_texts(spark):
+    """One row of each group, the same as by a window over it; the texts travel once."""
+    base = [f"word{i}" for i in range(60)]
+    rows = [(1, " ".join(base), "b"), (1, " ".join([*base, "more"]), "a"), (2, " ".join(base), "c"), (3, "alone here", "c"), (3, "alone here", "c"), (None, "no id", "a"), (None, "no id", "a"), (4, None, "a"), (5, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    plain = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    same = Window.partitionBy("group").orderBy(F.xxhash64("text"), "lang")
+    want = plain.withColumn("i", F.row_number().over(same)).where("i = 1").select("doc_id", "text", "lang").collect()
+    found = near_copies(docs, first=["lang"])
+    assert sorted(map(str, found.select("doc_id", "text", "lang").collect())) == sorted(map(str, want)) and len(want) == 4
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
