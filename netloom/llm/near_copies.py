@@ -15,6 +15,7 @@ it out are candidates, and a task that holds both texts counts the shingles that
 Each set is held against the one before it and the first one of every shard, along with the links of
 the trees, then against all sets that this has not joined with it. There, rows of a shard's commonest
 group meet only the rows of other groups, so a large group of near copies costs links, not pairs.
+There, a pair is left to the shard of the first key that its sets share: see ``fit``.
 
 Equal sets are one class throughout; their equality is by 64 bits of hash, as the shingles' is.
 """
@@ -142,9 +143,10 @@ def described(docs: DataFrame, shingle: int, percent: int, seed: int) -> DataFra
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """key and cls of each of the ``keys`` that more than one class of ``rows`` has."""
-    rows = rows.groupBy("cls").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "cls")
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "cls")
+    """key and cls of each of the ``keys`` that more than one class of ``rows`` has, at: its place among them, past: the one before it (0 for the first)."""
+    placed = F.transform("keys", lambda k, i: F.struct(k.alias("key"), i.alias("at"), F.coalesce(F.get("keys", i - 1), F.lit(0)).alias("past")))
+    rows = rows.groupBy("cls").agg(F.first("keys").alias("keys")).select("cls", F.inline(placed))
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "cls", "at", "past")
 
 
 def tree_links(classes: DataFrame) -> DataFrame:
@@ -156,12 +158,25 @@ def tree_links(classes: DataFrame) -> DataFrame:
     return equal.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
-def candidates(keys: DataFrame, classes: DataFrame, percent: int, everything: bool) -> DataFrame:
-    """Pairs u, v of different ``root`` in a shard of ``keys`` that may be alike: of each class with the one before and the first, or all."""
+def met(keys: DataFrame, classes: DataFrame, percent: int, everything: bool) -> DataFrame:
+    """Pairs u, v of different ``root`` in a shard of ``keys`` that may be alike: of each class with the one before and the first, or all.
+
+    A pair may come from several shards.
+    """
+
+    def fit(i: np.ndarray, j: np.ndarray, size: np.ndarray, odd: np.ndarray, root: np.ndarray, at: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs i, j that may be alike and, where all are looked at, may have no earlier key in common.
 
-    def fit(i: np.ndarray, j: np.ndarray, size: np.ndarray, odd: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        Similar sets have all that they share at or after the first key in common, in either set's
+        order, so they pass in its shard. Elsewhere a pair goes if too little is left of a set from
+        there on, or if the keys just before are the same one: then an earlier shard has the pair, too.
+        """
         ok = (root[i] != root[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
         i, j = i[ok], j[ok]
+        if everything:
+            left = np.minimum(size[i] - at[i], size[j] - at[j])
+            ok = ((100 + percent) * left >= percent * (size[i] + size[j])) & ((past[i] != past[j]) | (at[i] == 0) | (at[j] == 0))
+            i, j = i[ok], j[ok]
         parts = [slice(at, at + COMPARED) for at in range(0, len(i), COMPARED)]
         apart = [np.bitwise_count(odd[i[p]] ^ odd[j[p]]).sum(axis=1, dtype=np.int64) for p in parts]
         ok = np.concatenate([np.zeros(0, np.int64), *apart]) <= most_apart(size[i], size[j], percent)
@@ -180,22 +195,23 @@ def candidates(keys: DataFrame, classes: DataFrame, percent: int, everything: bo
             size, root, cls = (np.asarray(held.column(c))[: whole[-1]] for c in ("size", "root", "cls"))
             odd = np.stack([np.asarray(held.column(c))[: whole[-1]] for c in WORDS], axis=1).view(np.uint64)
             size = size.astype(np.int64)
-            at = np.arange(len(size))
+            at, past = (np.asarray(held.column(c))[: whole[-1]].astype(np.int64) for c in ("at", "past"))
+            row = np.arange(len(size))
             first = np.repeat(whole[:-1], np.diff(whole))
             if everything:
                 sizes = np.diff(whole)
-                n = np.where(np.repeat(sizes <= SMALL, sizes), at - first, 0)
-                for i, j in ranges(at, first, n):
-                    yield pairs(cls, *fit(i, j, size, odd, root))
+                n = np.where(np.repeat(sizes <= SMALL, sizes), row - first, 0)
+                for i, j in ranges(row, first, n):
+                    yield pairs(cls, *fit(i, j, size, odd, root, at, past))
                 for begin, end in zip(whole[:-1][sizes > SMALL].tolist(), whole[1:][sizes > SMALL].tolist(), strict=True):
-                    yield from across(np.arange(begin, end), size, odd, root, cls)
+                    yield from across(np.arange(begin, end), cls, size, odd, root, at, past)
             else:
-                later = at[at > first]
-                i, j = fit(np.concatenate([later, later]), np.concatenate([later - 1, first[later]]), size, odd, root)
+                later = row[row > first]
+                i, j = fit(np.concatenate([later, later]), np.concatenate([later - 1, first[later]]), size, odd, root, at, past)
                 yield pairs(cls, i, j)
             held = held.slice(int(whole[-1]))
 
-    def across(rows: np.ndarray, size: np.ndarray, odd: np.ndarray, root: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def across(rows: np.ndarray, cls: np.ndarray, size: np.ndarray, odd: np.ndarray, root: np.ndarray, at: np.ndarray, past: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Pairs of a shard's rows (by size) of different roots: all but those of the commonest root, each with the rows before it and with that root's."""
         _, of, counts = np.unique(root[rows], return_inverse=True, return_counts=True)
         common = of == np.argmax(counts)
@@ -203,7 +219,7 @@ def candidates(keys: DataFrame, classes: DataFrame, percent: int, everything: bo
         least, most = -(-percent * size[others] // 100), 100 * size[others] // percent
         for given, low, high in ((others, np.searchsorted(size[others], least), np.arange(len(others))), (same, np.searchsorted(size[same], least), np.searchsorted(size[same], most, "right"))):
             for i, j in ranges(others, low, np.maximum(high - low, 0)):
-                yield pairs(cls, *fit(i, given[j], size, odd, root))
+                yield pairs(cls, *fit(i, given[j], size, odd, root, at, past))
 
     def ranges(rows: np.ndarray, low: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Each of ``rows`` with the n numbers from low on, about LOT pairs at once."""
@@ -219,8 +235,13 @@ def candidates(keys: DataFrame, classes: DataFrame, percent: int, everything: bo
         found = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
 
-    rows = keys.join(classes.select("cls", "size", "root", *WORDS), "cls").select("key", "size", "root", "cls", *WORDS)
-    return rows.repartition("key").sortWithinPartitions("key", "size", "cls").mapInArrow(run, "u long, v long").distinct()
+    rows = keys.join(classes.select("cls", "size", "root", *WORDS), "cls").select("key", "size", "root", "cls", "at", "past", *WORDS)
+    return rows.repartition("key").sortWithinPartitions("key", "size", "cls").mapInArrow(run, "u long, v long")
+
+
+def candidates(keys: DataFrame, classes: DataFrame, percent: int, everything: bool) -> DataFrame:
+    """The pairs of ``met``, each once."""
+    return met(keys, classes, percent, everything).distinct()
 
 
 def verified(found: DataFrame, texts: DataFrame, shingle: int, percent: int, seed: int) -> DataFrame:

@@ -141,3 +141,20 @@ def test_first_rows_are_chosen_without_their_texts(spark):
     found = near_copies(docs, first=["lang"])
     assert sorted(map(str, found.select("doc_id", "text", "lang").collect())) == sorted(map(str, want)) and len(want) == 4
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_pair_comes_from_the_shard_of_its_first_shared_key(spark):
+    """Two texts that share most of their keys meet in every one of those shards, but few of them give the pair."""
+    base = [f"w{i * i}" for i in range(300)]
+    df = spark.createDataFrame([(0, " ".join(base)), (1, " ".join([*base[:-1], "other"]))], "doc_id long, __text string")
+    found = module.described(df, 5, 80, 42).withColumn("root", F.col("cls"))
+    keys = module.shared_keys(found)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        pairs = module.met(keys, found, 80, True).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert keys.select("key").distinct().count() > 40 and len(set(pairs)) == 1 and len(pairs) <= 3
