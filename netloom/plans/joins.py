@@ -91,10 +91,7 @@ PLACED = "placed AS (SELECT L.*, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y
 
 @query("j9_close_pairs", f"WITH {PLACED} SELECT a.link_label AS first, b.link_label AS second FROM placed a JOIN placed b ON a.link_label < b.link_label WHERE sqrt(pow(a.ax - b.ax, 2) + pow(a.ay - b.ay, 2) + pow(a.az - b.az, 2)) <= 150 AND sqrt(pow(a.bx - b.bx, 2) + pow(a.by_ - b.by_, 2) + pow(a.bz - b.bz, 2)) <= 150")
 def j9(t: Tables) -> DataFrame:
-    starts = placed_links(t).select("link_label", *(F.col(f"a{k}").alias(k) for k in "xyz"), "bx", "by", "bz")
-    pairs = spatial.within(starts, starts, 150).where("a.link_label < b.link_label")
-    gap = F.sqrt(sum((F.pow((F.col(f"a.b{k}") - F.col(f"b.b{k}")).cast("double"), 2) for k in "xyz"), F.lit(0.0)))
-    return pairs.where(gap <= 150).select(F.col("a.link_label").alias("first"), F.col("b.link_label").alias("second"))
+    return spatial.close_pairs(placed_links(t), "link_label", 150)
 
 
 @query("j10_mask_share_of_blocks", "SELECT block_id, count(*) / (24 * 24 * 24.0) AS share FROM V WHERE r > 1 GROUP BY block_id")
