@@ -120,17 +120,26 @@ def _moments(rows: DataFrame, *more: str) -> DataFrame:
 def _inverted(moments: DataFrame, factor: float, *more: str) -> DataFrame:
     """m0.., and c00.. (times factor, plus the floors) turned into w00.. with distance = sum of (sum of w_ij (x_j - m_j))^2."""
     out = moments
-    for i, j in PAIRS:  # Cholesky factor, row by row
+
+    def lower(i: int, j: int) -> Column:
         value = F.col(f"c{i}{j}") * factor + (FLOORS[i] ** 2 if i == j else 0.0)
         for k in range(j):
             value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{i}{j}", F.sqrt(value) if i == j else value / F.col(f"l{j}{j}"))
-    for i in range(N):  # its inverse
-        for j in range(i + 1):
-            value = F.lit(1.0) if i == j else F.lit(0.0)
-            for k in range(j, i):
-                value = value - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
-            out = out.withColumn(f"w{i}{j}", value / F.col(f"l{i}{i}"))
+        return F.sqrt(value) if i == j else value / F.col(f"l{j}{j}")
+
+    def inverse(i: int, j: int) -> Column:
+        value = F.lit(1.0) if i == j else F.lit(0.0)
+        for k in range(j, i):
+            value = value - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
+        return value / F.col(f"l{i}{i}")
+
+    # what doesn't need each other is one step of the plan: steps, not columns, are what the driver has to hold
+    for j in range(N):  # Cholesky factor, column by column
+        out = out.withColumn(f"l{j}{j}", lower(j, j))
+        if j + 1 < N:
+            out = out.withColumns({f"l{i}{j}": lower(i, j) for i in range(j + 1, N)})
+    for d in range(N):  # its inverse, diagonal by diagonal
+        out = out.withColumns({f"w{j + d}{j}": inverse(j + d, j) for j in range(N - d)})
     determinant = sum((F.log(f"l{i}{i}") for i in range(1, N)), F.log("l00"))
     return out.select("key", *more, *(f"m{i}" for i in range(N)), *(f"w{i}{j}" for i, j in PAIRS), determinant.alias("logdet"))
 

@@ -111,3 +111,16 @@ def test_empty_and_hopeless_tables(spark):
     assert q.quality(spark.createDataFrame([], schema)).collect() == []
     assert [x.kept for x in q.quality(spark.createDataFrame([(1, "few words", None, "a"), (2, None, "en", None)], schema)).collect()] == [False, False]
     assert [x.kept for x in q.quality(spark.createDataFrame([(1, " ".join(map(str, range(50))), "en", "a")], schema)).collect()] == [True]
+
+
+def test_an_estimate_takes_few_steps_of_the_plan(spark):
+    """Entries of the factor and its inverse that don't need each other are one projection: 15, where each had its own (31)."""
+    names = [*(f"m{i}" for i in range(q.N)), *(f"c{i}{j}" for i, j in q.PAIRS)]
+    made = np.random.default_rng(4).normal(size=(9, q.N))
+    cov = np.cov(made.T, bias=True)
+    row = ["", *map(float, made.mean(axis=0)), *(float(cov[i, j]) for i, j in q.PAIRS)]
+    found = q._inverted(spark.createDataFrame([row], ["key", *names]), 1.5)
+    assert found._jdf.queryExecution().analyzed().toString().count("Project") <= 16
+    want = np.linalg.inv(np.linalg.cholesky(1.5 * cov + np.diag(np.square(q.FLOORS))))
+    got = found.first()
+    assert np.allclose([got[f"w{i}{j}"] for i, j in q.PAIRS], [want[i, j] for i, j in q.PAIRS], rtol=1e-9, atol=1e-12)
