@@ -61,7 +61,12 @@ def shingle_set(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
     stops = (ends - 1).tolist()
     k = min(shingle, len(words)) - 1
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops[k:], strict=False)], np.uint64))
+    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops[k:], strict=False)), np.uint64))
+
+
+def among(found: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Which hashes of ``found`` are in ``given``, ascending: each is looked up, so a text doesn't cost all that is given."""
+    return given[np.minimum(np.searchsorted(given, found), len(given) - 1)] == found if len(given) else np.zeros(len(found), bool)
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -131,7 +136,7 @@ def described(docs: DataFrame, shingle: int, percent: int, seed: int) -> DataFra
                 sizes.append(len(found))
                 odd.append(parities(found).view(np.int64))
                 take = len(found) + (percent * len(found)) // -100 + 1 if len(found) else 0
-                last = np.isin(found, late.value, assume_unique=True)
+                last = among(found, late.value)
                 keys.append(np.concatenate([found[~last], found[last]])[:take].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, fps)]
