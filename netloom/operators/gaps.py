@@ -32,12 +32,13 @@ def met(walk: DataFrame, voxels: DataFrame, reach: float) -> DataFrame:
     """``walk`` with the nearest voxel of ``voxels`` (voxel_id, x, y, z, r, link): distance, r, link, and ratio, the distance over its radius.
 
     Each place is looked up once, however many walks pass it; ``reach`` is where the search begins.
-    Of equally near voxels the least id is taken.
+    Of equally near voxels the least id is taken. Neither the voxels nor the places are broadcast:
+    they grow with the input, and much beyond what Spark takes them for.
     """
     places = walk.select(*AXES).distinct()
     near = spatial.nearest(places, voxels, "voxel_id", reach)
-    known = near.join(voxels.select("voxel_id", "r", "link"), "voxel_id").select(*AXES, "distance", F.col("r").cast("double").alias("r"), "link")
-    return walk.join(known, list(AXES)).withColumn("ratio", F.col("distance") / F.when(F.col("r") > 0, F.col("r")))
+    known = near.join(voxels.select("voxel_id", "r", "link").hint("merge"), "voxel_id").select(*AXES, "distance", F.col("r").cast("double").alias("r"), "link")
+    return walk.join(known.hint("merge"), list(AXES)).withColumn("ratio", F.col("distance") / F.when(F.col("r") > 0, F.col("r")))
 
 
 def features(walk: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def f23(t: Tables) -> DataFrame:
     walk = gaps.walks(pairs).select("a", "b", "k", "x", "y", "z")
     found = gaps.features(gaps.met(walk, voxels, LONGEST / 2 + 1))
     faint = t.V.where(F.col("r") < FAINT).groupBy("block_id").agg(F.avg("r").alias("level"), F.stddev_samp("r").alias("spread"))
-    rows = found.join(pairs, ["a", "b"]).withColumn("block_id", F.floor((F.col("az") - 1) / 24)).join(faint, "block_id", "left")
+    rows = found.join(pairs.hint("merge"), ["a", "b"]).withColumn("block_id", F.floor((F.col("az") - 1) / 24)).join(faint, "block_id", "left")
     c = F.col
     noise = F.when(c("spread") != 0, c("spread"))
     ahead = [(c(f"last.{k}") - c(f"a{k}")).cast("double") for k in "xyz"]
