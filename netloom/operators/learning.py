@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Model, Pipeline
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import QuantileDiscretizer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpointed
+
 
 def training_rows(df: DataFrame, to_remove: Column, unsure: Column, artefact: Column, unsure_is_remove: bool = False) -> DataFrame:
     """``df`` with label (1: remove) and part: normal, artefact or unsure."""
@@ -19,30 +21,52 @@ def training_rows(df: DataFrame, to_remove: Column, unsure: Column, artefact: Co
     return df.withColumn("label", F.when(to_remove | (unsure & F.lit(unsure_is_remove)), 1).otherwise(0)).withColumn("part", part)
 
 
-def hashed_split(df: DataFrame, key: str, label: str, share: float, seed: int, balance: bool = False, parts: int = 64) -> DataFrame:
+def hashed_split(df: DataFrame, key: str, label: str, share: float, seed: int, balance: bool = False, parts: int = 4096) -> DataFrame:
     """``df`` with train: rows of least md5 of key and seed, per class as many as ``share`` of the class, or of the smaller class.
 
-    Ranks are taken in parts of the hash range with offsets, so a class is not one task's.
+    Rows are counted in parts of the hash range. Of each class only the part in which the last one
+    lies is ranked; in those before it all rows are taken, in those after it none.
     """
-    hashed = df.withColumn("__h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))).withColumn("__p", F.floor(F.conv(F.substring("__h", 1, 2), 16, 10).cast("int") * parts / 256))
-    counts = hashed.groupBy(label, "__p").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__b", F.coalesce(F.sum("__n").over(Window.partitionBy(label).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    sizes = counts.groupBy(label).agg(F.sum("__n").alias("__s"))
+    hashed = df.withColumn("__h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))).withColumn("__p", F.floor(F.conv(F.substring("__h", 1, 4), 16, 10).cast("int") * parts / 65536))
+    counts = checkpointed(hashed.groupBy(F.col(label).alias("__l"), "__p").agg(F.count("*").alias("__n")))
+    upto = counts.withColumn("__u", F.sum("__n").over(Window.partitionBy("__l").orderBy("__p")))
+    sizes = counts.groupBy("__l").agg(F.sum("__n").alias("__s"))
     take = sizes.withColumn("__t", F.round(F.lit(share) * (F.min("__s").over(Window.partitionBy(F.lit(0))) if balance else F.col("__s")))).drop("__s")
-    ranked = hashed.withColumn("__r", F.row_number().over(Window.partitionBy(label, "__p").orderBy("__h", key)))
-    joined = ranked.join(before, [label, "__p"]).join(F.broadcast(take), label)  # one row a class
-    return joined.withColumn("train", F.col("__b") + F.col("__r") <= F.col("__t")).drop("__h", "__p", "__b", "__r", "__t")
+    # one row a class: its last part, and how many rows of it are taken
+    last = upto.join(take, "__l").where("__u >= __t").groupBy("__l").agg(F.min(F.struct("__p", (F.col("__t") - F.col("__u") + F.col("__n")).alias("__k"))).alias("__m"))
+    last = F.broadcast(checkpointed(last.select("__l", F.col("__m.__p").alias("__q"), F.col("__m.__k").alias("__k"))))
+    joined = hashed.join(last, F.col(label) == F.col("__l"))
+    plain = joined.where("__p <> __q").withColumn("train", F.col("__p") < F.col("__q"))
+    ranked = joined.where("__p = __q").withColumn("train", F.row_number().over(Window.partitionBy(label).orderBy("__h", key)) <= F.col("__k"))
+    return plain.unionByName(ranked).drop("__h", "__p", "__l", "__q", "__k")
+
+
+#: Levels of a feature that boosted trees tell apart: Spark's own default for its bins.
+LEVELS = 32
 
 
 def train(rows: DataFrame, features: Sequence[str], label: str = "label", kind: str = "forest", seed: int = 7) -> Model:
-    """A forest of 100 trees, or boosted trees, on the given features."""
-    classifier = RandomForestClassifier(numTrees=100, labelCol=label, seed=seed) if kind == "forest" else GBTClassifier(labelCol=label, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"), classifier]).fit(rows)
+    """A forest of 100 trees, or boosted trees, on the given features.
+
+    Boosted trees read their rows again for each level of each tree, but see ``LEVELS`` levels of a
+    feature alone. So rows are cut into levels by quantiles of all rows and equal ones stand once,
+    weighted by their number: what is read again and again doesn't grow with the rows.
+    """
+    if kind == "forest":
+        classifier = RandomForestClassifier(numTrees=100, labelCol=label, seed=seed)
+        return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"), classifier]).fit(rows)
+    levels = [f"__level_{f}" for f in features]
+    cut = QuantileDiscretizer(numBuckets=LEVELS, inputCols=list(features), outputCols=levels, handleInvalid="skip").fit(rows)
+    weighted = checkpointed(cut.transform(rows).groupBy(*levels, label).agg(F.count("*").cast("double").alias("__weight")))
+    classifier = GBTClassifier(labelCol=label, seed=seed, maxBins=LEVELS, weightCol="__weight")
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=levels, outputCol="features", handleInvalid="skip"), classifier]).fit(weighted)
+    return PipelineModel(stages=[cut, *fitted.stages])
 
 
 def score(model: Model, rows: DataFrame) -> DataFrame:
     """``rows`` with prediction."""
-    return model.transform(rows).drop("features", "rawPrediction", "probability")
+    scored = model.transform(rows).drop("features", "rawPrediction", "probability")
+    return scored.drop(*(c for c in scored.columns if c.startswith("__level_")))
 
 
 def validation(rows: DataFrame, label: Column, prediction: Column) -> DataFrame:

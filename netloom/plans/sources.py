@@ -42,7 +42,7 @@ def l2(t: Tables) -> DataFrame:
 @query("l3_l4_train_and_score")
 def l3(t: Tables) -> DataFrame:
     rows = t.C.withColumn("label", (F.col("r") > 2.5).cast("int"))
-    split = checkpointed(learning.hashed_split(rows, "link_label", "label", 0.5, 7).select("link_label", "label", "length", "r", "vx", "vy", "vz", "train"))  # fitting reads it again and again
+    split = checkpointed(learning.hashed_split(rows, "link_label", "label", 0.5, 7).select("link_label", "label", "length", "r", "vx", "vy", "vz", "train"))  # fitting and scoring read it
     model = learning.train(split.where("train"), ["length", "r", "vx", "vy", "vz"], kind="boosted")
     return learning.score(model, split.where("NOT train")).select("link_label", "label", "prediction")
 

@@ -1,8 +1,10 @@
 """What must not grow beyond the input, or not pass the driver."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from netloom.operators import gaps, spatial
+from netloom.operators import gaps, learning, spatial
 
 
 def plans_of(monkeypatch, module):
@@ -36,3 +38,28 @@ def test_places_of_walks_are_not_broadcast(spark):
     met = gaps.met(walk, voxels, 3)
     assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
     assert met.count() == walk.count()
+
+
+def test_boosted_trees_read_different_rows_once(spark, monkeypatch):
+    fitted, pipeline = [], learning.Pipeline
+    monkeypatch.setattr(learning, "Pipeline", lambda stages: type("P", (), {"fit": lambda self, rows: fitted.append(rows.count()) or pipeline(stages=stages).fit(rows)})())
+    rows = spark.range(20_000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"), F.lit(None).cast("double").alias("spare"))
+    rows = rows.withColumn("label", (F.col("a") > 3).cast("int"))
+    model = learning.train(rows, ["a", "b"], kind="boosted")
+    assert fitted == [77]
+    scored = learning.score(model, rows.unionByName(rows.limit(1).withColumn("a", F.lit(None).cast("double"))))
+    assert scored.columns == [*rows.columns, "prediction"] and scored.count() == 20_000
+    assert scored.where("prediction <> label").isEmpty()
+
+
+def test_split_ranks_one_part_of_a_class(spark):
+    rows = spark.range(5_000).select("id", (F.col("id") % 3 == 0).cast("int").alias("label"))
+    for share, balance in ((0.5, False), (0.3, True), (0.0, False), (1.0, False)):
+        got = learning.hashed_split(rows, "id", "label", share, 7, balance=balance).where("train").select("id", "label").collect()
+        least = 1667 if balance else None
+        for label in (0, 1):
+            ids = [r.id for r in rows.where(F.col("label") == label).select("id").collect()]
+            first = sorted(ids, key=lambda i: (hashlib.md5(f"{i}|7".encode()).hexdigest(), i))[: int(share * (least or len(ids)) + 0.5)]
+            assert sorted(r.id for r in got if r.label == label) == sorted(first)
+    plan = learning.hashed_split(rows, "id", "label", 0.5, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT (__p" in plan  # rows of all other parts pass no window
