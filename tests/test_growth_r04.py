@@ -7,7 +7,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from netloom.operators import gaps, learning, spatial
+from netloom.operators import forest, gaps, learning, paths, spatial
+from netloom.sources.scratch import checkpointed
 
 
 def plans_of(monkeypatch, module):
@@ -85,3 +86,27 @@ def test_pairs_are_counted_and_never_rows(spark):
         assert got.keys() == want.keys()
         for k, (n, far) in want.items():
             assert got[k][0] == n and math.isclose(got[k][1], far, rel_tol=1e-9)
+
+
+def test_rest_of_a_forest_in_one_task_and_in_rounds(spark, monkeypatch):
+    r = random.Random(5)
+    links = [(100 + i, r.randint(0, 60), r.randint(0, 60)) for i in range(70)]
+    rows = spark.createDataFrame(links, "link_label long, node_a long, node_b long")
+    edges = rows.selectExpr("link_label AS id", "node_a AS u", "node_b AS v")
+    found, rounds = [], []
+    for few in (forest.FEW, 20, 0):
+        monkeypatch.setattr(forest, "FEW", few)
+        calls, kept = [], checkpointed
+        monkeypatch.setattr(forest, "checkpointed", lambda df, calls=calls: calls.append(1) or kept(df))
+        taken = {x.id for x in forest.spanning_forest(edges).collect()}
+        tree = edges.where(F.col("id").isin(taken) & (F.col("u") != F.col("v")))
+        tour = {(x.tree, x.u, x.v, x.left) for x in forest.tours(tree.select("u", "v")).collect()}
+        found.append((taken, tour, {x.link_label for x in forest.bridges(rows).collect()}))
+        rounds.append(len(calls))
+    assert found[0] == found[1] == found[2] and found[0][2] and found[0][1]
+    assert rounds[0] < 15 < rounds[2]
+    assert forest.spanning_forest(edges.limit(0)).isEmpty()
+
+
+def test_radii_of_loops_widen_gently():
+    assert paths.WIDER < 2
